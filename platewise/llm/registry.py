@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language",)
+MODULES = ("decontaminate", "language")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
