@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "language")
+MODULES = ("decontaminate", "language", "mixture")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
