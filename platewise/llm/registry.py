@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "language", "mixture", "warc")
+MODULES = ("decontaminate", "language", "mixture", "tokens", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
