@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "language", "minhash", "mixture", "tokens", "warc")
+MODULES = ("decontaminate", "embeddings", "language", "minhash", "mixture", "tokens", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
