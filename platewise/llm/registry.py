@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "embeddings", "language", "minhash", "mixture", "substrings", "tokens", "warc")
+MODULES = ("decontaminate", "embeddings", "language", "minhash", "mixture", "substrings", "surrogates", "tokens", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

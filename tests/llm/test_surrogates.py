@@ -1,0 +1,67 @@
+import re
+
+import pytest
+
+from platewise.llm.surrogates import replace_private
+
+TEXTS = [
+    "Write to Ann.72@mail3.example.com, or ANN.72@MAIL3.EXAMPLE.COM today.",
+    "Call +1 (017) 555-7713 or +1 (017) 555-7714; card 4111 1111 1111 1111, also 4111111111111111 and 4952935900253052!!",
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" at 169.122.221.182.',
+    "Mrs Anna Schmidt met Mr Jan Schmidt and Г-жа Анна Иванова. SSN 123-45-6789",
+    "Clean text, version 2.0. of 10 things in 1999; 3.14.15 and 12:30.",
+    "",
+    None,
+    "again 169.122.221.182 and +1 (017) 555-7713",
+    "IBAN DE44 5001 0517 5407 3249 31 end",
+]
+
+
+def shape(x):
+    return re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", x))
+
+
+@pytest.fixture(scope="module")
+def got(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*TEXTS, TEXTS[0]])], "doc_id long, text string, kinds string")
+    rows = replace_private(df).collect()
+    assert len(rows) == len(TEXTS) + 1
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_clean_texts_stay(got):
+    for i in (4, 5, 6):
+        assert (got[i]["text"], got[i]["n_entities"], got[i]["kinds"]) == (TEXTS[i], 0, [])
+
+
+def test_nothing_real_is_left_and_formats_stay(got):
+    for real in ("72@mail3", "555-7713", "4111", "4952935900253052", "04dbebab", "169.122", "Schmidt", "Анна", "123-45-6789", "5001 0517"):
+        assert all(real not in (r["text"] or "") for r in got.values()), real
+    assert shape(got[1]["text"]) == shape(TEXTS[1])
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" at \d+\.\d+\.\d+\.\d+\.', got[2]["text"])
+    assert re.fullmatch(r"Mrs [A-Z][a-z]+na ([A-Z][a-z]+r) met Mr [A-Z][a-z]+n \1 and Г-жа [А-Я][а-я]+на [А-Я][а-я]+р\. SSN \d{3}-\d{2}-\d{4}", got[3]["text"])
+    assert re.fullmatch(r"IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d end", got[8]["text"])
+
+
+def test_coreference_and_distinctness(got):
+    low, high = re.findall(r"\S+@\S+?(?=[ ,])", got[0]["text"])
+    assert low == high.lower() and low.endswith(".example.net") and got[0]["text"] == got[len(TEXTS)]["text"]
+    spaced, plain, other = re.search(r"card ([\d ]+), also (\d+) and (\d+)!!", got[1]["text"]).groups()
+    assert spaced.replace(" ", "") == plain != other
+    digits = [int(c) for c in plain[::-1]]
+    assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    a, b = re.findall(r"\+\d \(\d{3}\) \d{3}-\d{4}", got[1]["text"])
+    assert a != b and a in got[7]["text"]
+    assert re.search(r"at ([\d.]+)\.$", got[2]["text"])[1] in got[7]["text"]
+    assert got[1]["kinds"] == ["card", "phone"] and got[1]["n_entities"] == 5
+
+
+def test_few_free_surrogates(spark):
+    # Nearly all numbers of the format are taken by real ones; the drawn ones must be free and distinct.
+    df = spark.createDataFrame([(i, f"x +1 (20{i % 10}) 555-000{i // 10}") for i in range(40)], "doc_id long, text string")
+    out = [r["text"] for r in replace_private(df).collect()]
+    assert len(set(out)) == 40
+
+
+def test_empty(spark):
+    assert replace_private(spark.createDataFrame([], "doc_id long, text string")).collect() == []
