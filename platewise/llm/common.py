@@ -38,6 +38,16 @@ def landed(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: So many ids (about 100 MB in a task's memory) are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """left_semi or left_anti join with a landed frame of ids. While the ids are few the rows of df stay where they are."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, how)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
