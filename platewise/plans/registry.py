@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("catalog", "results")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _name in MODULES:
+    _module = importlib.import_module(f"platewise.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
