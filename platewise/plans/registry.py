@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "results", "sky")
+MODULES = ("catalog", "images", "results", "sky")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
