@@ -18,3 +18,59 @@ def repeats(rows, window=100):
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[doc] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def words(text):
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", _lower(text or ""))
+
+
+def _lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def near(rows, k, least):
+    """{doc_id: (n_shingles, component_id)} of (doc_id, text) rows with distinct ids."""
+    sets = {}
+    for doc, text in rows:
+        w = words(text)
+        sets[doc] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    label = {d: d for d in sets}
+
+    def top(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= least * len(x | y):
+                p, q = sorted((top(a), top(b)))
+                label[q] = p
+    return {d: (len(sets[d]), top(d)) for d in sets}
+
+
+def hits(rows, items, window=10):
+    """{doc_id: (n_words, n_hit, items)} of (id, text) rows and items."""
+    import re
+
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(t or ""))
+    patterns = {}
+    for item, text in items:
+        w = cut(text)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            patterns.setdefault(tuple(w[i : i + n]), set()).add(item)
+    out = {}
+    for doc, text in rows:
+        w, hit, found = cut(text), set(), set()
+        for p, ids in patterns.items():
+            for i in range(len(w) - len(p) + 1):
+                if tuple(w[i : i + len(p)]) == p:
+                    hit.update(range(i, i + len(p)))
+                    found |= ids
+        out[doc] = (len(w), len(hit), sorted(found))
+    return out
