@@ -39,9 +39,11 @@ def digest(data: bytes) -> str:
 
 
 def train_dictionary(pages: DataFrame, *, key: str = "page_id", body: str = "html") -> bytes:
-    """A dictionary from the DICT_PAGES pages of least hash among those of at most DICT_PAGE_BYTES; empty if too few."""
-    small = pages.filter((F.octet_length(body) > 0) & (F.octet_length(body) <= DICT_PAGE_BYTES))
-    rows = small.select(F.col(body).alias("b"), F.xxhash64(key).alias("h")).orderBy("h", "b").limit(DICT_PAGES).collect()
+    """A dictionary from about DICT_PAGES pages, picked by a hash of their id, of at most DICT_PAGE_BYTES; empty if too few."""
+    share = min(1.0, DICT_PAGES / max(1, pages.count()))
+    picked = pages.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
+    small = picked.filter((F.octet_length(body) > 0) & (F.octet_length(body) <= DICT_PAGE_BYTES))
+    rows = small.select(F.col(body).alias("b")).collect()
     try:
         return zstandard.train_dictionary(DICT_BYTES, [r["b"].encode() for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too short samples
