@@ -103,7 +103,7 @@ def word_scores(c: Chunk, m: Model) -> tuple[np.ndarray, ...]:
     """Per word: row, first and end code point, letters, and scores by language."""
     at, row, cell, script, first, offsets = letters(c)
     w = np.flatnonzero(first)
-    if not len(w):
+    if not len(w) or not m.languages:
         z = np.zeros(0, np.int64)
         return z, z, z, z, np.zeros((0, len(m.languages)), np.float32)
     s = np.add.reduceat(m.table[cell], w, axis=0)

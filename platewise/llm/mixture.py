@@ -60,7 +60,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     s = s.withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("r"), "sid", "level"))).over(everything)["level"])
     s = s.withColumn("target", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.lit(0.0)))
     s = s.withColumn("blocks", F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / block_words)).cast("long")).otherwise(0))
-    s = s.withColumn("wanted", F.when(F.col("blocks") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")).otherwise(0))
+    s = s.withColumn("wanted", F.when(F.col("blocks") > 0, F.round(F.col("target") * F.col("blocks") / F.nullif(F.col("source_size"), F.lit(0))).cast("long")).otherwise(0))
     return s.withColumn("lo", F.sum("wanted").over(by_name.rowsBetween(W.unboundedPreceding, 0)) - F.col("wanted")).drop("cap", "level")
 
 
@@ -87,9 +87,10 @@ def document_blocks(sized: DataFrame, targets: DataFrame, documents: int) -> Dat
     x = x.withColumn("key", key).withColumn("shard", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(max(1, math.isqrt(documents))) / F.lit(1 << 32)))
     x = _sharded(x, ["sid"], "shard", [F.col("key"), F.col("doc_id"), F.col("size")], "size").drop("key")
     # The first ``more`` blocks hold per + 1 words, the others per.
-    per, more = F.expr("source_size div blocks"), F.col("source_size") % F.col("blocks")
+    blocks = F.nullif(F.col("blocks"), F.lit(0))  # of a source without words
+    per, more = F.expr("source_size div nullif(blocks, 0)"), F.col("source_size") % blocks
     edge = more * (per + 1)
-    q = F.floor(F.col("source_size") / F.col("blocks"))
+    q = F.floor(F.col("source_size") / blocks)
 
     def block_of(p: Column) -> Column:
         return F.when(p < edge, F.floor(p / (per + 1))).otherwise(more + F.floor((p - edge) / q))
