@@ -45,7 +45,7 @@ def parsed_name(stub: Column) -> tuple[Column, Column, Column]:
 
 def five_decimals(x: Column) -> Column:
     """five decimals; empty for null."""
-    return F.coalesce(F.format_string("%.5f", x), F.lit("")) if x is not None else F.lit("")
+    return F.when(x.isNull(), "").otherwise(F.format_string("%.5f", x))
 
 
 def spectral_class(x: Column) -> Column:
