@@ -10,8 +10,10 @@ either side. One shuffle brings together the anchors of all texts by K-gram hash
   log(WINDOW) steps. Neighbours in the order give the extension to the right of any two suffixes, a search on the
   same hashes the one to the left; together they give what each context shares with earlier ones. The bytes of the
   pairs that decide are compared in the end;
-* an anchor with more than CROWD different contexts (the edge of a passage that many texts hold) is cut into the
-  windows it owns, whose first occurrences are found by a combined minimum.
+* in a group of more than FEW suffixes the order is cut, for every offset of a window, into the runs that agree far
+  enough to the right; inside a run the hash of what lies to the left tells equal windows;
+* an anchor with more than CROWD different contexts (the edge of a passage that very many texts hold) is cut into the
+  windows it owns, whose first occurrences are found by a combined minimum, so no task gets more of it.
 
 All windows with a given anchor contain it, so what they cover is one run, known from its two ends.
 """
@@ -32,8 +34,10 @@ from platewise.llm.common import landed
 
 WINDOW = 100
 K = 29
-#: More different contexts than this of one anchor are compared window by window.
-CROWD = 512
+#: Contexts of one anchor that meet in one task; more are cut into windows.
+CROWD = 50_000
+#: Groups of up to so many suffixes are compared pair by pair, larger ones offset by offset.
+FEW = 64
 #: Contexts that one task compares at a time.
 BUCKET = 20_000
 LAST_ID = (1 << 63) - 1
@@ -159,6 +163,9 @@ class Suffixes:
         p, v = self.prefix, self.inverse
         return (p[s + n] - p[s]) * v[s] == (p[t + n] - p[t]) * v[t]
 
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.prefix[end] - self.prefix[start]) * self.inverse[start]
+
     def _search(self, most: np.ndarray, same) -> np.ndarray:
         lo, hi = np.zeros_like(most), most.copy()
         while (lo < hi).any():
@@ -213,7 +220,7 @@ class Suffixes:
         return order
 
 
-def shared_runs(group: np.ndarray, rank: np.ndarray, s: Suffixes, window: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_runs(group: np.ndarray, rank: np.ndarray, s: Suffixes, window: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix: how far to the left and right of its start reach the windows it shares with suffixes of its
     group that have a lower rank; 0 and 0 if it shares none. Groups are contiguous."""
     n = len(group)
@@ -223,25 +230,41 @@ def shared_runs(group: np.ndarray, rank: np.ndarray, s: Suffixes, window: int) -
     order = s.sorted(group)
     sorted_group = group[order]
     pairs = np.flatnonzero(sorted_group[1:] == sorted_group[:-1])
-    step = s.forward(order[pairs], order[pairs + 1])
-    near = np.zeros(n, np.int64)
-    near[pairs] = step
-    x, right = pairs, step.copy()
-    d = 1
+    near = np.full(n, -1, np.int64)  # common extension with the next suffix in order; -1 at the end of a group
+    near[pairs] = s.forward(order[pairs], order[pairs + 1])
+    size = np.diff(np.append(np.flatnonzero(np.diff(sorted_group, prepend=sorted_group[0] - 1)), n))
+    size = np.repeat(size, size)
+
+    def found(later: np.ndarray, other: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        np.maximum.at(best_l, later, (left << 32) | other)
+        np.maximum.at(best_r, later, (right << 32) | other)
+
+    x = np.flatnonzero((size <= few) & (near >= 0))
+    right, d = near[x], 1
     while len(x):
         i, j = order[x], order[x + d]
         left = s.backward(i, j)
-        good = np.flatnonzero(left + right >= window)
-        later = np.where(rank[i[good]] > rank[j[good]], i[good], j[good])
-        other = i[good] + j[good] - later
-        good = good[rank[later] != rank[other]]
-        later, other = (np.where(rank[i[good]] > rank[j[good]], a, b) for a, b in ((i[good], j[good]), (j[good], i[good])))
-        np.maximum.at(best_l, later, (left[good] << 32) | other)
-        np.maximum.at(best_r, later, (right[good] << 32) | other)
+        good = (left + right >= window) & (rank[i] != rank[j])
+        i, j, swap = i[good], j[good], (rank[i] < rank[j])[good]
+        found(np.where(swap, j, i), np.where(swap, i, j), left[good], right[good])
         d += 1
         on = (x + d < n) & (sorted_group[np.minimum(x + d, n - 1)] == sorted_group[x])
         x, right = x[on], right[on]
         right = np.minimum(right, near[x + d - 1])
+    many = np.flatnonzero(size > few)
+    if len(many):
+        who, ahead = order[many], np.concatenate([[-1], near[many][:-1]])
+        for o in range(int(s.left[who].max()) + 1):
+            fits = (s.left[who] >= o) & (s.right[who] >= window - o)
+            run = np.cumsum(ahead < window - o)[fits]
+            me = who[fits]
+            key = mix(s.span(s.at[me] - o, s.at[me]) + run.astype(U64) * U64(0x9FB21C651E98DF25))
+            by = np.lexsort((rank[me], key))
+            key, me = key[by], me[by]
+            head = np.maximum.accumulate(np.where(np.diff(key, prepend=~key[:1]) != 0, np.arange(len(key)), 0)) if len(key) else by
+            again = rank[me] > rank[me[head]]
+            one = np.full(int(again.sum()), o, np.int64)
+            found(me[again], me[head][again], one, window - one)
     mask = (1 << 32) - 1
     l, r = best_l >> 32, best_r >> 32
     # The pairs that decide are compared byte by byte.
@@ -256,7 +279,7 @@ def shared_runs(group: np.ndarray, rank: np.ndarray, s: Suffixes, window: int) -
     return l, r
 
 
-def compare_bucket(window: int):
+def compare_bucket(window: int, few: int = FEW):
     """Over rows (anchor, doc, pos, left, bytes) of whole anchors: runs (doc, from, to) to remove."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -266,7 +289,7 @@ def compare_bucket(window: int):
         at = offsets[:-1] - offsets[0] + left
         s = Suffixes(data[offsets[0] : offsets[-1]], at, left.astype(np.int64), offsets[1:] - offsets[0] - at)
         rank = np.cumsum((np.diff(doc, prepend=-1) != 0) | (np.diff(pos, prepend=-1) != 0))
-        l, r = shared_runs(anchor, rank, s, window)
+        l, r = shared_runs(anchor, rank, s, window, few)
         some = r > 0
         return pa.table({"doc": doc[some], "start": (pos - l)[some].astype(np.int32), "stop": (pos + r)[some].astype(np.int32)})
 
@@ -292,7 +315,7 @@ def own_windows(crowds: DataFrame, window: int, k: int) -> DataFrame:
     return crowds.mapInArrow(run, "window long, doc long, pos int, start int")
 
 
-def repeated_runs(texts: DataFrame, window: int = WINDOW, k: int = K, crowd: int = CROWD, bucket: int = BUCKET) -> DataFrame:
+def repeated_runs(texts: DataFrame, window: int = WINDOW, k: int = K, crowd: int = CROWD, bucket: int = BUCKET, few: int = FEW) -> DataFrame:
     """Runs (doc, start, stop) to remove from (doc, text) rows; they overlap, and stop may lie beyond the text."""
     here = F.struct("doc", "pos")
     rows = anchor_rows(texts, window, k).repartition("anchor")
@@ -306,7 +329,7 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW, k: int = K, crowd: int
     wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("pos", "anchor", "crowd")).alias("want"))
     cut = landed(contexts(packed(texts).join(wanted, "doc"), window, k).distinct(), "contexts")
     buckets = max(1, mixed.count() // bucket)
-    pairs = cut.filter("NOT crowd").withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(compare_bucket(window), "doc long, start int, stop int")
+    pairs = cut.filter("NOT crowd").withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(compare_bucket(window, few), "doc long, start int, stop int")
     every = own_windows(cut.filter("crowd"), window, k)
     first = every.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
     again = every.join(first, "window").filter(F.struct("doc", "start") > F.col("first"))
@@ -314,7 +337,7 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW, k: int = K, crowd: int
     return whole.unionByName(pairs).unionByName(again)
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", window: int = WINDOW, k: int = K, crowd: int = CROWD, bucket: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", window: int = WINDOW, k: int = K, crowd: int = CROWD, bucket: int = BUCKET, few: int = FEW) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) and kept_sha256 of each row.
 
     Null and empty texts have no bytes; texts shorter than the window lose nothing. Earlier means a smaller id (null
@@ -322,7 +345,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     and what is removed from one is removed from the others. Other columns don't matter; an empty frame stays empty.
     """
     texts = docs.select(document_id(F.col(key)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    runs = repeated_runs(texts, window, k, crowd, bucket).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    runs = repeated_runs(texts, window, k, crowd, bucket, few).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
