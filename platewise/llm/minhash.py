@@ -6,6 +6,10 @@ and again, until its parts are small enough or MOST_DEPTH is reached: the depth
 What is still too large there (texts that agree in that many minhashes) is cut by a hash, and one member goes with
 every part. Inside a region all pairs are compared on the full shingle sets, block against block.
 
+The cuts only order the work: of every crowded region, whatever its parts didn't join is then compared in whole, the
+members outside the region's largest component with all members, block against block. So all pairs that share a
+prefix of DEPTH values are compared or in one component already, however large their region is.
+
 Documents with equal sets are one class and only its smallest id enters the forest, so copies cost nothing. A pair
 with similarity s is missed by all trees with probability (1 - s**DEPTH)**TREES: 3e-5 at 0.8, 4e-7 at 0.85.
 """
@@ -25,6 +29,8 @@ from platewise.llm.common import by_ids, components, landed
 
 TREES, DEPTH, MOST_DEPTH = 20, 4, 16
 REGION = 4096
+#: Trees (first, end) whose crowded regions are compared in whole at a time.
+OPEN_ROUNDS = ((0, 1), (1, 4), (4, TREES))
 BLOCK = 256
 #: Columns of the incidence matrix that are multiplied at a time.
 WIDTH = 8192
@@ -100,8 +106,9 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, fp1 long, fp2 long, members binary")
 
 
-def regions(reps: DataFrame, region: int = REGION, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """tree, label, id and n (members of the region) for every region of two or more of the reps (id, sig)."""
+def regions(reps: DataFrame, region: int = REGION, most_depth: int = MOST_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """tree, label, id and n (members of the region) for every region of two or more of the reps (id, sig), crowded
+    ones in parts; and tree, label and id of the crowded regions, uncut."""
     size = TREES * DEPTH
 
     def value(tree: Column, depth: int) -> Column:
@@ -112,6 +119,7 @@ def regions(reps: DataFrame, region: int = REGION, most_depth: int = MOST_DEPTH)
     found = members.groupBy("tree", "label").agg(F.count("*").alias("n")).filter("n > 1")
     found = landed(members.join(found, ["tree", "label"]), "regions")
     done, crowded = found.filter(F.col("n") <= region), found.filter(F.col("n") > region).drop("n")
+    uncut = one_of_each(crowded)
     for depth in range(DEPTH + 1, most_depth + 1):
         if crowded.isEmpty():
             break
@@ -126,10 +134,34 @@ def regions(reps: DataFrame, region: int = REGION, most_depth: int = MOST_DEPTH)
         pivots = whole.select("tree", F.explode(F.transform(numbers, lambda i: F.xxhash64("label", i))).alias("label"), F.col("pivot").alias("id"))
         parts = spread.unionByName(pivots).distinct()
         done = done.unionByName(parts.join(parts.groupBy("tree", "label").agg(F.count("*").alias("n")), ["tree", "label"]))
-    # Trees often give the same region again: one of each set of members is enough.
-    same = done.groupBy("tree", "label").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"), F.count("*").alias("n"))
+    return one_of_each(done), uncut
+
+
+def one_of_each(member: DataFrame) -> DataFrame:
+    """Trees often give the same region again: one of each set of members is enough."""
+    same = member.groupBy("tree", "label").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"), F.count("*").alias("n"))
     one = same.groupBy("x", "y", "n").agg(F.min(F.struct("tree", "label")).alias("r")).select("r.tree", "r.label")
-    return done.join(one, ["tree", "label"])
+    return member.join(one, ["tree", "label"])
+
+
+def block_pairs(member: DataFrame, block: int) -> DataFrame:
+    """id, tree, label, i, j and side: every member in all pairs of blocks of its region that hold its own block."""
+    blocks = F.ceil(F.col("n") / block)
+    spread = member.withColumn("mine", F.pmod(F.xxhash64("id", "tree"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return spread.select("id", "tree", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"))
+
+
+def open_block_pairs(uncut: DataFrame, comp: DataFrame, block: int) -> DataFrame:
+    """As block_pairs, for regions that the components (id, component_id) don't join yet: blocks of the members outside
+    the largest component of a region (numbered first) against all blocks. Pairs inside the largest one are settled."""
+    at = uncut.join(comp, "id", "left").select("id", "tree", "label", F.coalesce("component_id", "id").alias("c"))
+    sizes = at.groupBy("tree", "label", "c").agg(F.count("*").alias("n"))
+    facts = sizes.groupBy("tree", "label").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n")).filter(F.col("n") > F.col("top.n"))
+    facts = facts.select("tree", "label", F.col("top.c").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("outside"), F.ceil(F.col("top.n") / block).alias("inside"))
+    h, last = F.xxhash64("id", "tree"), F.when(F.col("c") == F.col("top"), F.col("outside")).otherwise(F.col("outside") + F.col("inside"))
+    mine = F.when(F.col("c") == F.col("top"), F.col("outside") + F.pmod(h, "inside")).otherwise(F.pmod(h, "outside"))
+    spread = at.join(facts, ["tree", "label"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+    return spread.select("id", "tree", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"))
 
 
 def links_in_block(least: int, out_of: int):
@@ -180,14 +212,25 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     base = landed(signatures(docs, text=text, key=key, k=words), "signatures")
     same = ["n", "fp1", "fp2"]
     reps = landed(base.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
-    member = landed(regions(reps.select("id", "sig"), region, most_depth), "members")
-    needed = landed(member.select("id").distinct(), "ids")
+    member, uncut = regions(reps.select("id", "sig"), region, most_depth)
+    member, uncut = landed(member, "members"), landed(uncut, "crowded")
+    needed = landed(member.select("id").union(uncut.select("id")).distinct(), "ids")
     sets = landed(shingle_sets(by_ids(texts, needed, "id", "left_semi"), words).join(reps.select("id", "fp1", "fp2"), ["id", "fp1", "fp2"], "left_semi").distinct(), "sets")
-    blocks = F.ceil(F.col("n") / block)
-    spread = member.withColumn("mine", F.pmod(F.xxhash64("id", "tree"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    spread = spread.select("id", "tree", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"))
-    edges = spread.join(sets.select("id", "members"), "id").groupBy("tree", "label", "i", "j").applyInArrow(links_in_block(least, out_of), "a long, b long")
+
+    def links(spread: DataFrame) -> DataFrame:
+        return spread.join(sets.select("id", "members"), "id").groupBy("tree", "label", "i", "j").applyInArrow(links_in_block(least, out_of), "a long, b long")
+
+    edges = landed(links(block_pairs(member, block)), "links")
     found = components(edges)
+    # What the first trees join needn't be compared in the others.
+    for first, end in OPEN_ROUNDS:
+        part = uncut.filter(F.col("tree").between(first, end - 1))
+        if part.isEmpty():
+            continue
+        spread = landed(open_block_pairs(part, found, block), "open")
+        if not spread.isEmpty():
+            edges = edges.unionByName(landed(links(spread), "links"))
+            found = components(edges)
     rows = base.drop("sig").join(reps.select(*same, F.col("id").alias("rep")), same, "left")
     rows = rows.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     rows = rows.withColumn("component_id", F.coalesce("component_id", "rep", "id"))

@@ -55,6 +55,18 @@ def test_near_duplicates(spark, rows, limits):
         assert all(want[d][1] <= c and want[c][1] == want[d][1] for d, (_, c) in got.items())
 
 
+def test_crowded_regions_are_whole(spark, rows):
+    # Variants of one text that resemble it and not each other: only a comparison with that very text joins them.
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    star = [(1000 + i, " ".join(w if not i or k % 100 not in spots else f"v{i}.{k}" for k, w in enumerate(base))) for i in range(90) for spots in [r.sample(range(100), 2)]]
+    for part in (rows, rows + star):
+        want = near(part, 3, 85)
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, part), words=3, least=85, region=4, block=2, most_depth=6).collect()}
+        assert got == want
+    assert len({c for d, (_, c) in want.items() if d >= 1000}) < 45
+
+
 @pytest.mark.parametrize("limits", [{}, {"few": 2, "bucket": 10}, {"crowd": 2}])
 def test_repeats(spark, rows, limits):
     got = {r["doc"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(frame(spark, rows), **limits).collect()}
