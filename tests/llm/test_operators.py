@@ -1,4 +1,5 @@
 import struct
+import textwrap
 
 import pytest
 import zstandard
@@ -6,7 +7,7 @@ import zstandard
 import corpus_pipeline
 from platewise.llm import warc
 from platewise.llm.language import identify, train
-from platewise.llm.licenses import scan_licenses
+from platewise.llm.licenses import TEXTS, scan_licenses
 from platewise.llm.mixture import mix_sources
 
 ENGLISH = "the quick brown fox jumps over the lazy dog and then it rests under the old tree for a while"
@@ -106,6 +107,17 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0)).collect() == []
 
 
+def test_wrapped_headers_and_full_licences(spark):
+    mit, bsd2 = dict(TEXTS)["MIT"], dict(TEXTS)["BSD-2-Clause"]
+    files = [
+        ("m/LICENSE", f"Copyright (c) 2020 Jo Doe\n\n{textwrap.fill(mit, 72)}"), ("b/LICENSE", f"Copyright 2021, Jo Doe\n\n{textwrap.fill(bsd2, 40)}"), ("g/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy"),
+        ("a.c", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint x;"),
+        ("b.c", "// SPDX-License-Identifier: MIT\nint x;"), ("c.c", "# SPDX-License-Identifier: LGPL-2.1-or-later"), ("d.c", "a free licence\nto drive cars\nin the city"),
+    ]
+    got = {r["path"]: r["license"] for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"m/LICENSE": "MIT", "b/LICENSE": "BSD-2-Clause", "g/COPYING": "GPL-3.0", "a.c": "MPL-2.0", "b.c": "MIT", "c.c": "LGPL-2.1", "d.c": None}
+
+
 def test_pipeline_stages(spark, tmp_path, model):
     rows = [(i, f"{ENGLISH} number {i} {' '.join(str(j * i) for j in range(1, 40))}", "en", "s", 1, "x") for i in range(12)]
     rows += [(20, rows[3][1] + " more", "en", "s", 1, "x"), (21, "12345", "en", "s", 1, "x"), (22, None, None, None, None, None), (23, ENGLISH + " mail me at jo.1@mail3.example.com", "en", "t", 2, "x")]
