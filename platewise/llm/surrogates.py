@@ -5,7 +5,9 @@ form of an address, every token of a name. An entity's surrogate is drawn from a
 equal surrogates in all documents; it is checked against all other surrogates and all real entities of its kind and
 drawn again while it collides. A mention takes the surrogate in its own format: separators stay, capitals stay
 capitals. Names keep their title, take the gender that it shows, and stay in their script; a card number that
-satisfies the Luhn check is replaced by one that does; surrogate addresses lie in a reserved domain.
+satisfies the Luhn check is replaced by one that does; surrogate addresses lie in a reserved domain. The tokens of a
+titled name are replaced in the rest of its document too, where they stand without a title (n_entities doesn't count
+those); a neutral title takes the gender that other titles show for the given name.
 """
 
 from __future__ import annotations
@@ -26,20 +28,25 @@ NEUTRAL = ("Dr", "Prof")
 _TITLE = "|".join(sorted((*FEMALE, *MALE, *NEUTRAL), key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FREE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?!s(?!\p{L}))(?=\p{L})|-(?=\p{L}))+"
+_TOKEN = rf"(?:\p{{Lu}}\.(?= \p{{Lu}})|(?:(?:de|la|del|van|von|der|den|di|da|du|le|al|bin|ibn|el|dos) )*{_WORD})"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Tried in this order at every place of a text.
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": _FREE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "key": _FREE + r"(?:AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|(?:sk|pk|gh[pousr])[-_][A-Za-z0-9_-]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)" + _END,
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\p{{L}}\p{{N}}:])",
     "secret": _FREE + r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})" + _END,
     "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + rf"(?:\.{_OCTET}){{3}}" + r"(?![\p{L}\p{N}]|\.\d)",
-    "card": _FREE + r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})" + _END,
+    "card": _FREE + r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})" + _END,
     "ssn": _FREE + r"\d{3}-\d{2}-\d{4}" + _END,
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})" + _END,
-    "name": _FREE + rf"(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?(?:\(0\))?|0)\d(?:[ .-]?\d{2}){4}|\d{3}\.\d{3}\.\d{4}|\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})" + _END,
+    "name": _FREE + rf"(?:{_TITLE})\.?(?: {_TOKEN})+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every mention holds a match of this, which is quickly tested.
-HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?:{_TITLE})\.? [\p{{Lu}}dlvbe]|AKIA|AIza|(?:sk|pk|gh[pousr])[-_]|xox[abpr]-|eyJ"
 #: 32 hex letters without a digit would escape the hint; they are looked for on their own.
 HINT += r"|[a-f]{32}|[A-F]{32}"
 
@@ -57,13 +64,18 @@ def kind_of(mention: Column) -> Column:
     return reduce(lambda rest, kp: F.when(mention.rlike(f"^(?:{kp[1]})$"), kp[0]).otherwise(rest), reversed(list(PATTERNS.items())), F.lit("name"))
 
 
+def name_tokens(mention: Column) -> Column:
+    """All tokens after the title."""
+    return F.slice(F.split(mention, " "), F.lit(2), F.size(F.split(mention, " ")))
+
+
 def parts_of(mention: Column, kind: Column) -> Column:
     """The entities (kind, norm) of a mention: one, or one for each token of a name."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    norm = F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(F.lower(mention))
+    norm = F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "key", mention).otherwise(F.lower(mention))
     title = F.regexp_extract(mention, rf"^({_TITLE})", 1)
     gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("n")
-    tokens = F.slice(F.split(mention, " "), 2, 2)
+    tokens = name_tokens(mention)
     named = F.transform(tokens, lambda t, i: F.struct(F.when(i + 1 == F.size(tokens), "surname").otherwise(F.concat(F.lit("given_"), gender)).alias("kind"), F.lower(t).alias("norm")))
     # A single token after a title is a surname; its ending follows no gender.
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
@@ -105,7 +117,7 @@ def draw(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     ending = F.when(kind == "given_f", F.when(cyrillic, "на").otherwise("na")).when(kind == "given_m", F.when(cyrillic, "н").otherwise("n")).when(cyrillic, "р").otherwise("r")
     name = F.concat(*syllable, ending)
     return (
-        F.when(kind == "card", card).when(kind == "ssn", number).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "secret", F.substring(h, F.lit(1), n)).when(kind == "email", email).when(kind == "iban", iban).otherwise(name)
+        F.when(kind == "key", alike(norm)).when(kind == "ipv6", F.concat(F.lit("2001:db8"), *(x for i in range(6) for x in (F.lit(":"), F.substring(h, 4 * i + 1, 4))))).when(kind == "card", card).when(kind == "ssn", number).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "secret", F.substring(h, F.lit(1), n)).when(kind == "email", email).when(kind == "iban", iban).otherwise(name)
     )
 
 
@@ -136,9 +148,9 @@ def render(mention: Column, kind: Column, cores: Column) -> Column:
 
     filled = _each(mention, lambda c, i: F.when(c.rlike("^[0-9A-Z]$"), F.substring(core, place(i), F.lit(1))).otherwise(c))
     capitals = (mention == F.upper(mention)) & (mention != F.lower(mention))
-    title, given = F.substring_index(mention, " ", 1), F.slice(F.split(mention, " "), 2, 2)
+    title, given = F.substring_index(mention, " ", 1), name_tokens(mention)
     name = F.concat_ws(" ", title, F.array_join(F.zip_with(given, cores, lambda g, c: F.when(g == F.upper(g), F.upper(c)).otherwise(F.initcap(c))), " "))
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), filled).when(kind == "ip", core).when(kind == "name", name).when(capitals, F.upper(core)).otherwise(core)
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), filled).when(kind.isin("ip", "key"), core).when(kind == "name", name).when(capitals, F.upper(core)).otherwise(core)
 
 
 def replace_private(docs: DataFrame, *, text: str = "text", key_column: str = "doc_id", key: str = KEY) -> DataFrame:
@@ -155,18 +167,25 @@ def replace_private(docs: DataFrame, *, text: str = "text", key_column: str = "d
     each = found.select("_id", "_mark", F.posexplode("m").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
     each = landed(each.withColumn("parts", parts_of(F.col("mention"), F.col("kind"))), "mentions")
     part = each.select("_id", "_mark", "pos", F.posexplode("parts").alias("k", "p")).select("_id", "_mark", "pos", "k", F.col("p.kind").alias("kind"), F.col("p.norm").alias("norm"))
+    gender = part.filter(F.col("kind").isin("given_f", "given_m")).groupBy("norm").agg(F.min("kind").alias("least"), F.max("kind").alias("most"))
+    gender = gender.filter("least = most").select("norm", F.lit("given_n").alias("kind"), F.col("least").alias("shown"))
+    part = landed(part.join(gender, ["kind", "norm"], "left").withColumn("kind", F.coalesce("shown", "kind")).drop("shown"), "parts")
     cores = surrogates(part.select("kind", "norm"), key)
     wanted = part.join(cores, ["kind", "norm"]).select("_id", "_mark", "pos", "k", "core")
     by_text = wanted.groupBy("_id", "_mark").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "core"))).alias("cores"))
     listed = each.groupBy("_id", "_mark").agg(F.array_sort(F.collect_list(F.struct("pos", "mention", "kind"))).alias("ms"), F.array_sort(F.collect_set("kind")).alias("kinds"))
     plan = listed.join(by_text, ["_id", "_mark"])
     mine = F.transform("ms", lambda m: render(m["mention"], m["kind"], F.transform(F.filter("cores", lambda c: c["pos"] == m["pos"]), lambda c: c["core"])))
-    plan = landed(plan.select("_id", "_mark", mine.alias("new"), "kinds"), "plan")
+    plan = plan.select("_id", "_mark", mine.alias("new"), "kinds", "ms")
+    # Tokens of the names and what replaces them where they stand alone.
+    named = F.zip_with("ms", "new", lambda m, x: F.when(m["kind"] == "name", F.zip_with(name_tokens(m["mention"]), name_tokens(x), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast("array<struct<a:string,b:string>>")))
+    alone = F.array_distinct(F.filter(F.flatten(named), lambda p: p["a"].rlike(rf"^{_WORD}$")))
+    plan = landed(plan.select("_id", "_mark", "new", "kinds", alone.alias("alone")), "plan")
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     none = F.array().cast("array<string>")
     marked = docs.filter(hinted).withColumn("_id", id_).withColumn("_mark", mark).join(plan, ["_id", "_mark"], "left")
     pieces = F.zip_with(F.split(F.col(text), ANY, -1), F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    changed = F.when(F.col("new").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text))
+    changed = F.when(F.col("new").isNotNull(), F.aggregate("alone", F.array_join(pieces, ""), lambda t, p: F.regexp_replace(t, F.concat(F.lit(_FREE), p["a"], F.lit(_END)), p["b"]))).otherwise(F.col(text))
     count, kinds = F.coalesce(F.size("new"), F.lit(0)), F.coalesce("kinds", none)
     marked = marked.select(*(changed.alias(text) if c == text else F.col(c) for c in columns), F.when(F.col("new").isNull(), 0).otherwise(count).cast("long").alias("n_entities"), kinds.alias("kinds"))
     plain = docs.filter(~hinted).select(*columns, F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"))
