@@ -7,6 +7,7 @@ whatever the number of rows Spark puts into a batch; a single longer text makes
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -74,6 +75,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Longer strings are hashed one by one with BLAKE2b.
+LONG = 256
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings data[start:end]: eight bytes after eight are scrambled in, so no pattern of bytes
+    makes two of them meet."""
+    v, size = lanes(data), end - start
+    h = mix(size.astype(U64) + U64(BASE))
+    some = np.flatnonzero((size > 0) & (size <= LONG))
+    off = 0
+    while len(some):
+        x = v[start[some] + off] & _MASKS[np.minimum(size[some] - off, 8)]
+        h[some] = mix((h[some] ^ x) + U64(BASE))
+        off += 8
+        some = some[size[some] > off]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] are equal, byte by byte."""
+    v, same = lanes(data), np.ones(len(a), bool)
+    some, off = np.flatnonzero(size > 0), 0
+    while len(some):
+        mask = _MASKS[np.minimum(size[some] - off, 8)]
+        same[some] = (v[a[some] + off] & mask) == (v[b[some] + off] & mask)
+        off += 8
+        some = some[same[some] & (size[some] > off)]
+    return same
+
+
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -91,18 +133,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """prefix[i] = sum of (values[j] + 1) * BASE**j over j < i."""
-    out = np.zeros(len(values) + 1, U64)
-    v = values.astype(U64)
-    v += U64(1)
-    v *= powers(len(values))[0]
+@lru_cache
+def byte_values(seed: int) -> np.ndarray:
+    """What a byte counts for in a polynomial hash."""
+    return mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93) + U64(seed) * U64(BASE)) | U64(1)
+
+
+def prefix_hashes(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """prefix[i] = sum of value(data[j]) * BASE**j over j < i, for strings of up to a few hundred bytes: modulo 2**64
+    longer ones of a regular pattern can meet, so what is equal by these hashes is compared by bytes."""
+    out = np.zeros(len(data) + 1, U64)
+    v = byte_values(seed)[data]
+    v *= powers(len(data))[0]
     np.cumsum(v, out=out[1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of values[starts:ends] that don't depend on where the spans lie."""
+    """Hashes of data[starts:ends] that don't depend on where the spans lie."""
     return (prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts]
 
 

@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master, which has one machine
+    only, takes a temporary one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -48,6 +51,17 @@ def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, how)
 
 
+SALTS = 16
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """inner or left join of many rows with one row per key. Rows of big that share a key, however many, are spread over
+    ``salts`` tasks by a hash of their column ``salt``; small, which is small against big, is repeated as often."""
+    big = big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.join(small, [*on, "_salt"], how).drop("_salt")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -44,29 +44,49 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "n", "z") for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize("limits", [{}, {"region": 4, "block": 2, "most_depth": 6}])
+@pytest.mark.parametrize("limits", [{}, {"block": 4}, {"block": 2}, {"shingles_": 300}])
 def test_near_duplicates(spark, rows, limits):
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, rows), words=3, least=85, **limits).collect()}
-    want = near(rows, 3, 85)
-    assert {d: n for d, (n, _) in got.items()} == {d: n for d, (n, _) in want.items()}
-    if not limits:
-        assert got == want
-    else:  # small regions: what is linked is linked rightly
-        assert all(want[d][1] <= c and want[c][1] == want[d][1] for d, (_, c) in got.items())
+    assert got == near(rows, 3, 85)
 
 
-def test_crowded_regions_are_whole(spark, rows):
+@pytest.mark.parametrize("limits", [{}, {"block": 8}])
+def test_regions_that_were_cut_are_whole(spark, rows, limits):
     # Variants of one text that resemble it and not each other: only a comparison with that very text joins them.
     r = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     star = [(1000 + i, " ".join(w if not i or k % 100 not in spots else f"v{i}.{k}" for k, w in enumerate(base))) for i in range(90) for spots in [r.sample(range(100), 2)]]
-    for part in (rows, rows + star):
-        want = near(part, 3, 85)
-        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, part), words=3, least=85, region=4, block=2, most_depth=6).collect()}
-        assert got == want
+    want = near(rows + star, 3, 85)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, rows + star), words=3, least=85, **limits).collect()}
+    assert got == want
     assert len({c for d, (_, c) in want.items() if d >= 1000}) < 45
 
 
+def test_many_near_copies_are_one_component(spark):
+    # 5,000 different variants of one text, far more than a block holds.
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: i % 100], f"x{i}", *base[i % 100 :]])) for i in range(5000)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, least=85)
+    assert [tuple(r) for r in got.groupBy("component_id").count().collect()] == [(0, 5000)]
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_patterned_words_are_told_apart(spark):
+    rows = [(2 * k + f, thue_morse(1 << (8 + k), f)) for k in range(5) for f in (0, 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, least=85).collect()
+    assert all(r["kept"] for r in got) and len(got) == len(rows)
+
+
+def test_long_texts_and_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (None, "a b c d"), (None, long)]
+    got = {(r["id"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, least=85, shingles_=1000).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False), (None, None, None)}
+
+
 @pytest.mark.parametrize("limits", [{}, {"few": 2, "bucket": 10}, {"crowd": 2}])
 def test_repeats(spark, rows, limits):
     got = {r["doc"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(frame(spark, rows), **limits).collect()}
