@@ -2,7 +2,8 @@
 
 Stages take any table with columns doc_id, text, source and lang, and more; all but the last return the columns they
 got. Columns are renamed while an operator works, so none can clash with what the operator adds. Null texts have no
-letters and go with the first stage; repeated rows get equal results; an empty table stays empty.
+letters and go with the first stage; repeated rows get equal results, so rows that share an id and a text all stay or all
+go; an empty table stays empty.
 """
 
 from __future__ import annotations

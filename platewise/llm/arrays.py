@@ -87,11 +87,11 @@ def lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of the strings data[start:end]: eight bytes after eight are scrambled in, so no pattern of bytes
     makes two of them meet."""
     v, size = lanes(data), end - start
-    h = mix(size.astype(U64) + U64(BASE))
+    h = mix(size.astype(U64) + mix(np.full(1, seed + 1, U64)))
     some = np.flatnonzero((size > 0) & (size <= LONG))
     off = 0
     while len(some):
@@ -100,13 +100,21 @@ def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
         off += 8
         some = some[size[some] > off]
     for i in np.flatnonzero(size > LONG):
-        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     return h
 
 
-def same_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a:a + size] and data[b:b + size] are equal, byte by byte."""
-    v, same = lanes(data), np.ones(len(a), bool)
+def fixed_hashes(v: np.ndarray, start: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """string_hashes of strings of one length up to LONG, from the lanes of their bytes."""
+    h = mix(np.full(len(start), n, U64) + mix(np.full(1, seed + 1, U64)))
+    for off in range(0, n, 8):
+        h = mix((h ^ (v[start + off] & _MASKS[min(n - off, 8)])) + U64(BASE))
+    return h
+
+
+def same_lanes(v: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of ``size`` bytes at a and at b are equal, byte by byte, from the lanes of the bytes."""
+    same = np.ones(len(a), bool)
     some, off = np.flatnonzero(size > 0), 0
     while len(some):
         mask = _MASKS[np.minimum(size[some] - off, 8)]
@@ -116,6 +124,16 @@ def same_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarra
     return same
 
 
+def same_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] are equal, byte by byte."""
+    out = np.ones(len(a), bool)
+    short = np.flatnonzero(size <= LONG)
+    out[short] = same_lanes(lanes(data), a[short], b[short], size[short])
+    for i in np.flatnonzero((size > LONG) & (a != b)):
+        out[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
+    return out
+
+
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 

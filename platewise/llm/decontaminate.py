@@ -5,8 +5,9 @@ one length are searched together: the last two words of the text window index a
 skipped by more than one word, and where the shift is 0 the block's hash selects the bucket of patterns that end so,
 which are compared word by word and confirmed on the bytes.
 
-Patterns reach the tasks with the function itself, in blocks of about BLOCK_BYTES of item text; every block is one
-more pass over each batch of documents, so a large benchmark costs time.
+Patterns are numbers of words in one array of the items' bytes. They reach the tasks with the function itself, in
+blocks of about BLOCK_BYTES of item text, each some ten times as large in memory; every block is one more pass over
+each batch of documents, so a large benchmark costs time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.arrays import U64, Chunk, chunks, column, lower_table, mix, prefix_hashes, ranges, runs, span_hashes
+from platewise.llm.arrays import LONG, U64, Chunk, chunks, column, lanes, lower_table, mix, ranges, runs, same_lanes, string_hashes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -40,19 +41,29 @@ def words(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.
     """Lower-cased bytes; starts, ends, rows and 64-bit hashes of the words."""
     low = lower_table()[c.data]
     start, end, row = runs(word_table()[low], c.starts, c.ends)
-    return low, start, end, row, mix(span_hashes(prefix_hashes(low), start, end) + (end - start).astype(U64))
+    return low, start, end, row, string_hashes(low, start, end)
+
+
+@dataclass
+class Words:
+    """The words of the items of a block."""
+
+    low: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+    ids: list  # of the items
 
 
 @dataclass
 class Patterns:
-    """Patterns of one length m, ordered by the hash of their last block."""
+    """Patterns of one length m, ordered by the hash of their last block: first word and item of each."""
 
     m: int
-    hashes: np.ndarray  # patterns x m
+    first: np.ndarray
+    item: np.ndarray
     block: np.ndarray
     shift: np.ndarray
-    texts: list[bytes]
-    items: list[int]
 
 
 def block_hash(hashes: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
@@ -61,36 +72,43 @@ def block_hash(hashes: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     return last if m == 1 else mix(hashes[at + (m - 2)] * U64(3) + last)
 
 
-def compile_patterns(items: pa.RecordBatch | pa.Table, window: int = WINDOW) -> list[Patterns]:
-    """Patterns of the items (item_id, text), by length."""
-    found: dict[int, list[tuple[np.ndarray, bytes, int]]] = {}
+def compile_patterns(items: pa.RecordBatch | pa.Table, window: int = WINDOW) -> tuple[Words, list[Patterns]]:
+    """Words of the items (item_id, text) and their patterns by length."""
+    parts, ids, bytes_, items_ = [[np.zeros(0, np.uint8), *(np.zeros(0, np.int64),) * 3, np.zeros(0, U64)]], [], 0, 0
     for batch in items.to_batches() if isinstance(items, pa.Table) else [items]:
-        ids = column(batch, "item_id").to_pylist()
+        ids += column(batch, "item_id").to_pylist()
         for c in chunks(column(batch, "text")):
             low, start, end, row, h = words(c)
-            for i in np.unique(row):
-                w = np.flatnonzero(row == i)
-                m = min(window, len(w))
-                for k in range(len(w) - m + 1):
-                    part = w[k : k + m]
-                    text = b" ".join(low[start[j] : end[j]].tobytes() for j in part)
-                    found.setdefault(m, []).append((h[part], text, ids[c.lo + i]))
+            parts.append([low, start + bytes_, end + bytes_, row + c.lo + items_, h])
+            bytes_ += len(low)
+        items_ += batch.num_rows
+    low, start, end, item, h = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    count = np.bincount(item, minlength=1)
+    before = np.cumsum(count) - count
+    length = np.minimum(window, count)[item] if len(item) else item
+    first = np.flatnonzero(np.arange(len(item)) + length <= (before + count)[item]) if len(item) else item
     out = []
-    for m, rows in sorted(found.items()):
-        hashes = np.stack([r[0] for r in rows])
+    for m in np.unique(length[first]).tolist():
+        at = first[length[first] == m]
         width = min(2, m)
-        flat, n = hashes.ravel(), len(rows)
         shift = np.full(1 << SLOT_BITS, m - width + 1, np.uint8)
         for j in range(m - width + 1):  # the block that starts at word j lies m - width - j words before the end
-            slot = block_hash(flat, np.arange(n) * m + j, width) >> U64(64 - SLOT_BITS)
+            slot = block_hash(h, at + j, width) >> U64(64 - SLOT_BITS)
             np.minimum.at(shift, slot.astype(np.int64), np.uint8(m - width - j))
-        last = block_hash(flat, np.arange(n) * m, m)
+        last = block_hash(h, at, m)
         order = np.argsort(last, kind="stable")
-        out.append(Patterns(m, hashes[order], last[order], shift, [rows[i][1] for i in order], [rows[i][2] for i in order]))
-    return out
+        out.append(Patterns(m, at[order], item[at[order]], last[order], shift))
+    return Words(low, start, end, h, ids), out
 
 
-def search(p: Patterns, low: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def same_words(x: Words, seen: np.ndarray, own: int, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether words a of a text and words b of the items are equal by bytes. ``seen`` are the lanes of the text's bytes
+    and, from ``own`` on, the items'; words of more than LONG bytes are known by their BLAKE2b hashes alone."""
+    size = end[a] - start[a]
+    return (size == x.end[b] - x.start[b]) & ((size > LONG) | same_lanes(seen, start[a], own + x.start[b], np.minimum(np.where(size > LONG, 0, size), x.end[b] - x.start[b])))
+
+
+def search(p: Patterns, x: Words, seen: np.ndarray, own: int, start: np.ndarray, end: np.ndarray, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words of the occurrences, and which pattern each is."""
     none = np.zeros(0, np.int64)
     if len(h) < p.m:
@@ -117,32 +135,36 @@ def search(p: Patterns, low: np.ndarray, start: np.ndarray, end: np.ndarray, row
     which = np.repeat(lo, hi - lo) + ranges(hi - lo)
     at = np.repeat(at, hi - lo)
     for j in range(p.m):
-        same = p.hashes[which, j] == h[at + j]
+        same = x.hashes[p.first[which] + j] == h[at + j]
+        at, which = at[same], which[same]
+    for j in range(p.m):
+        same = same_words(x, seen, own, start, end, at + j, p.first[which] + j)
         at, which = at[same], which[same]
-    sure = np.fromiter((b" ".join(low[start[j] : end[j]].tobytes() for j in range(a, a + p.m)) == p.texts[k] for a, k in zip(at.tolist(), which.tolist())), bool, len(at))
-    return at[sure], which[sure]
+    return at, which
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns of each row plus n_words, hits (a bit per word, packed), n_hit and items (ids, sorted).
 
     A word is hit if it lies in an occurrence of any pattern; items are those with a pattern that occurs. Null and
-    empty texts have no words; items without words have no patterns; an empty benchmark hits nothing. Rows are
-    independent, repeated rows get equal results, and other columns don't matter. Repeated items count once.
+    empty texts have no words; items without words have no patterns; an empty benchmark hits nothing. Items are named by
+    their ids, of any type; repeated ids count once, and a null id is one more name, listed last. Rows are independent,
+    repeated rows get equal results, and other columns don't matter. A very long text is a chunk of its own, of some
+    fifty bytes of work space a byte.
     """
     names = list(keep)
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    schema = docs.select(*names).schema.add("n_words", "long").add("hits", "binary").add("n_hit", "long").add("items", T.ArrayType(T.LongType()))
+    schema = docs.select(*names).schema.add("n_words", "long").add("hits", "binary").add("n_hit", "long").add("items", T.ArrayType(benchmark.schema["item_id"].dataType))
     out = docs.select(*names, *([text] if text not in names else []))
     for b in range(blocks):
-        part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text").toArrow()
+        part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").toArrow()
         last = b == blocks - 1
-        out = _pass(out, compile_patterns(part, window), schema, names, text, b == 0, last)
+        out = _pass(out, *compile_patterns(part, window), schema, names, text, b == 0, last, pa.list_(part.schema.field("item_id").type))
     return out
 
 
-def _pass(df: DataFrame, patterns: list[Patterns], schema, names: list[str], text: str, first: bool, last: bool) -> DataFrame:
+def _pass(df: DataFrame, known: Words, patterns: list[Patterns], schema, names: list[str], text: str, first: bool, last: bool, id_type: pa.DataType) -> DataFrame:
     """One search; what earlier passes found is carried in the columns that this one adds to."""
     carried = [] if last or text in names else [text]
     if carried:
@@ -155,13 +177,14 @@ def _pass(df: DataFrame, patterns: list[Patterns], schema, names: list[str], tex
             for c in chunks(column(batch, text)):
                 low, start, end, row, h = words(c)
                 edge = np.zeros(len(h) + 1, np.int64)
+                seen = lanes(np.concatenate([low, known.low]))
                 mine: list[set] = [set() for _ in range(c.rows)] if first else [set(x) for x in before[1][c.lo : c.hi]]
                 for p in patterns:
-                    at, which = search(p, low, start, end, row, h)
+                    at, which = search(p, known, seen, len(low), start, end, row, h)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + p.m, -1)
                     for r, k in zip(row[at].tolist(), which.tolist()):
-                        mine[r].add(p.items[k])
+                        mine[r].add(known.ids[p.item[k]])
                 hit = np.cumsum(edge[:-1]) > 0
                 cut = np.searchsorted(row, np.arange(c.rows + 1))
                 for i in range(c.rows):
@@ -171,9 +194,9 @@ def _pass(df: DataFrame, patterns: list[Patterns], schema, names: list[str], tex
                     n_words.append(len(bits))
                     n_hit.append(int(bits.sum()))
                     hits.append(np.packbits(bits).tobytes())
-                    items.append(sorted(mine[i]))
+                    items.append(sorted(mine[i], key=lambda x: (x is None, x)))
             yield pa.RecordBatch.from_arrays(
-                [*(column(batch, x) for x in names), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), *(column(batch, x) for x in carried)],
+                [*(column(batch, x) for x in names), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(n_hit, pa.int64()), pa.array(items, id_type), *(column(batch, x) for x in carried)],
                 [*names, "n_words", "hits", "n_hit", "items", *carried],
             )
 

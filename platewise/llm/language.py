@@ -22,8 +22,10 @@ from platewise.llm.arrays import Chunk, chunks, column, ranges
 
 #: Trigrams are hashed into so many cells.
 CELLS = 1 << 17
-#: At most about so many labelled rows are learned from; they are picked by a hash of their id.
+#: At most about so many labelled rows are learned from, as many of every language; they are picked by a hash of their id.
 TRAIN_ROWS = 20_000
+#: Letters that are scored at a time.
+LETTERS = 1 << 18
 SWITCH_PENALTY = 10.0
 #: Candidates of a script: languages with at least this share of their training letters in it.
 SCRIPT_SHARE = 0.01
@@ -100,19 +102,23 @@ def letters(c: Chunk) -> tuple[np.ndarray, ...]:
 
 
 def word_scores(c: Chunk, m: Model) -> tuple[np.ndarray, ...]:
-    """Per word: row, first and end code point, letters, and scores by language."""
+    """Per word: row, first and end code point, letters, scores by language, and letters in a script of a language."""
     at, row, cell, script, first, offsets = letters(c)
     w = np.flatnonzero(first)
     if not len(w) or not m.languages:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, np.zeros((0, len(m.languages)), np.float32)
-    s = np.add.reduceat(m.table[cell], w, axis=0)
+        return z, z, z, z, np.zeros((0, len(m.languages)), np.float32), z
+    s, word = np.zeros((len(w), len(m.languages)), np.float32), np.cumsum(first) - 1
+    for lo in range(0, len(at), LETTERS):
+        here = word[lo : lo + LETTERS]
+        head = np.flatnonzero(np.diff(here, prepend=-1))
+        s[here[head]] += np.add.reduceat(m.table[cell[lo : lo + LETTERS]], head, axis=0)
     ends = np.append(w[1:], len(at))
     ok = m.allowed[script[w]]
     s[~ok & ok.any(1, keepdims=True)] += FAR
     s -= s.max(1, keepdims=True)
     start = at[w]
-    return row[w], start - offsets[row[w]], at[ends - 1] + 1 - offsets[row[w]], ends - w, s
+    return row[w], start - offsets[row[w]], at[ends - 1] + 1 - offsets[row[w]], ends - w, s, (ends - w) * ok.any(1)
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
@@ -158,10 +164,12 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), switch_penalty: float = SWITCH_PENALTY) -> DataFrame:
     """``keep`` columns plus lang_pred, score and spans of each row.
 
-    lang_pred labels most letters of the text, score is their share (0 to 1), spans are the runs of equal labels as
+    lang_pred labels most letters of the text, score is their share of all letters (0 to 1), and letters of a script in
+    which no language was seen count for none; spans are the runs of equal labels as
     code point offsets. Null, empty and letterless texts: ``und``, score 0, no spans. Rows are independent, so
     repeated rows get equal results; other columns don't matter; an empty frame stays empty. A tie between languages
-    goes to the one that sorts first.
+    goes to the one that sorts first. A very long text is scored some letters at a time and labelled as one sequence,
+    with four bytes a word and language.
     """
     names = list(keep)
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("spans", SPANS)
@@ -169,11 +177,11 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
 
     def group(parts: list[tuple[Chunk, tuple]]) -> tuple[np.ndarray, ...]:
         rows = np.concatenate([r + c.lo for c, (r, *_) in parts])
-        start, end, size = (np.concatenate([p[k] for _, p in parts]) for k in (1, 2, 3))
+        start, end, size, known = (np.concatenate([p[k] for _, p in parts]) for k in (1, 2, 3, 5))
         scores = np.concatenate([p[4] for _, p in parts])
         cut = np.flatnonzero(np.diff(rows, prepend=-1))
         path = viterbi(scores, np.diff(np.append(cut, len(rows))), switch_penalty) if len(rows) else np.zeros(0, np.int32)
-        return rows, start, end, size, path
+        return rows, start, end, size, path, known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,10 +194,10 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
                     parts, held = [], 0
             if parts:
                 found.append(group(parts))
-            rows, start, end, size, path = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(5))
+            rows, start, end, size, path, known = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(6))
             share = np.zeros((n, max(1, len(langs))))
-            np.add.at(share, (rows, path), size)
-            total = share.sum(1)
+            np.add.at(share, (rows, path), known)
+            total = np.bincount(rows, weights=size, minlength=n)
             best = share.argmax(1)
             pred = [langs[b] if t else UNKNOWN for b, t in zip(best, total)]
             score = np.where(total > 0, share.max(1) / np.maximum(total, 1), 0.0)
@@ -203,7 +211,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
 
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS, smoothing: float = 0.05) -> Model:
-    """Learns from about ``rows`` rows with non-null lang and text, picked by a hash of ``key``; fewer rows are all used.
+    """Learns from about ``rows`` rows with non-null lang and text, picked by a hash of ``key``: the same number of every
+    language, and all rows of a language that has fewer, so that a rare language is learned however large the table is.
 
     The driver receives sums per language and trigram cell, at most CELLS of them a language. Without any labelled
     row the model knows no language and every text is ``und``.
@@ -213,8 +222,9 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     langs = sorted(r["lang"] for r in seen)
     if not langs:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
-    share = min(1.0, rows / sum(r["n"] for r in seen))
-    picked = docs.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    quota, scale = max(1, rows // len(langs)), 1 << 60
+    share = F.create_map(*(F.lit(x) for r in seen for x in (r["lang"], min(scale, scale * quota // r["n"] + 1))))
+    picked = docs.filter(F.pmod(F.xxhash64("k"), F.lit(scale)) < share[F.col("lang")])
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

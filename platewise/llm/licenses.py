@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import landed
+from platewise.llm.common import landed, salted_join
 
 #: Name and text of the templates: usual notices.
 TEMPLATES = (
@@ -78,7 +78,8 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
 In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org"""),
 )
-LICENSE_FILES = ("LICENSE", "LICENCE", "COPYING", "NOTICE")
+#: Names of licence files, in any case, with any ending.
+LICENSE_FILES = r"(?i)^(?:licen[sc]e|copying|notice|unlicense)(?:[._-].*)?$"
 MENTION = r"(?i)licen[sc]e|copyright|redistribut|permission is hereby|spdx"
 #: What else a header or a full text has.
 MORE = MENTION + r"|free software|unencumbered|permission to use|creative commons|cc0"
@@ -94,6 +95,10 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+def is_license_file(path: Column) -> Column:
+    return F.coalesce(base_name(path).rlike(LICENSE_FILES), F.lit(False))
+
+
 def directory(path: Column) -> Column:
     """The path without its last part; empty at the top."""
     return F.regexp_replace(path, r"/?[^/]*$", "")
@@ -127,36 +132,37 @@ def scan_licenses(files: DataFrame, *, path: str = "path", text: str = "text", t
 
     origin is own, inherited or none. Of several licences in a file the most similar counts, then the one that sorts
     first. Null and empty texts have none of their own. Rows that share a path are one file and give one row; a null
-    path is a path that inherits nothing. Other columns don't matter; an empty frame stays empty.
+    path is a path that inherits nothing. Very long texts are scanned line by line like others, inside the expression.
+    Other columns don't matter; an empty frame stays empty.
     """
     files = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(MENTION))
-    whole = F.when(base_name(F.col("path")).isin(*LICENSE_FILES), F.array("text")).otherwise(F.array().cast("array<string>"))
+    whole = F.when(is_license_file(F.col("path")), F.array("text")).otherwise(F.array().cast("array<string>"))
     held = files.filter(F.col("text").rlike(MENTION)).select("path", F.explode(F.array_distinct(F.concat(lines, whole))).alias("line"))
     held = landed(held.withColumn("unit", F.md5(F.col("line").cast("binary"))), "licence-lines")
     scored = score(held.groupBy("unit").agg(F.first("line").alias("line")), templates, least)
-    single = held.select("path", "unit").join(scored, "unit").select("path", "license", "score")
+    single = salted_join(held.select("path", "unit"), scored, ["unit"], "path").select("path", "license", "score")
     every = F.split("text", "\n")
     near = F.filter(F.sequence(F.lit(1), F.size(every)), lambda i: F.element_at(every, i).rlike(MORE))
     spans = F.flatten(F.transform(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(n).alias("n")) for x in range(BEFORE + 1) for n in range(x + 1, x + AHEAD + 1))), lambda w: F.transform(near, lambda i: F.array_join(F.slice(every, F.greatest(i - w["x"], F.lit(1)), w["n"]), " "))))
     noted = files.filter(F.col("text").rlike(MORE))
-    windows, wholes = noted.select("path", F.explode(F.array_distinct(spans)).alias("line")), noted.filter(base_name(F.col("path")).isin(*LICENSE_FILES)).select("path", F.col("text").alias("line"))
+    windows, wholes = noted.select("path", F.explode(F.array_distinct(spans)).alias("line")), noted.filter(is_license_file(F.col("path"))).select("path", F.col("text").alias("line"))
     for units, known in ((windows, HEADERS), (wholes, TEXTS)):
         units = landed(units.withColumn("unit", F.md5(F.col("line").cast("binary"))), "licence-windows")
         more = score(units.groupBy("unit").agg(F.first("line").alias("line")), known, least)
-        single = single.unionByName(units.select("path", "unit").join(more, "unit").select("path", "license", "score"))
+        single = single.unionByName(salted_join(units.select("path", "unit"), more, ["unit"], "path").select("path", "license", "score"))
     tags = noted.select("path", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("license"), F.lit(1.0).alias("score"))
     own = single.unionByName(tags).groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     paths = files.select("path").distinct()
     own = paths.join(own.select(F.col("path").alias("p"), F.col("b.license").alias("own"), (-F.col("b.s")).alias("score")), F.col("path").eqNullSafe(F.col("p")), "left").drop("p")
     own = landed(own.withColumn("dir", directory(F.col("path"))), "licences")
-    given = own.filter(F.col("own").isNotNull() & base_name(F.col("path")).isin(*LICENSE_FILES)).groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("score")).alias("s"), "own")).alias("g"))
+    given = own.filter(F.col("own").isNotNull() & is_license_file(F.col("path"))).groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("score")).alias("s"), "own")).alias("g"))
     # Every directory finds the nearest one above (or itself) that gives a licence.
     steps = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
     dirs = own.filter(F.col("own").isNull() & F.col("dir").isNotNull()).select("dir").distinct().select("dir", F.explode(F.array_distinct(above)).alias("above"))
-    nearest = dirs.join(given, "above").groupBy("dir").agg(F.max_by(F.struct("above", F.col("g.own").alias("license")), F.length("above")).alias("n"))
-    out = own.join(nearest, "dir", "left")
+    nearest = salted_join(dirs, given, ["above"], "dir").groupBy("dir").agg(F.max_by(F.struct("above", F.col("g.own").alias("license")), F.length("above")).alias("n"))
+    out = salted_join(own, nearest, ["dir"], "path", "left")
     license_ = F.coalesce("own", F.col("n.license"))
     origin = F.when(F.col("own").isNotNull(), "own").when(F.col("n").isNotNull(), "inherited").otherwise("none")
     return out.select("path", "own", "score", license_.alias("license"), origin.alias("origin"), F.when(origin == "inherited", F.col("n.above")).alias("directory"))

@@ -183,7 +183,7 @@ def open_block_pairs(uncut: DataFrame, comp: DataFrame, block: int, shingles_: i
     facts = facts.select("tree", "label", F.col("top.c").alias("top"), blocks(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("outside"), blocks(F.col("top.rows"), F.col("top.n")).alias("inside"))
     h, last = F.xxhash64("id", "tree"), F.when(F.col("c") == F.col("top"), F.col("outside")).otherwise(F.col("outside") + F.col("inside"))
     mine = F.when(F.col("c") == F.col("top"), F.col("outside") + F.pmod(h, "inside")).otherwise(F.pmod(h, "outside"))
-    spread = at.join(facts, ["tree", "label"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+    spread = salted_join(at, facts, ["tree", "label"], "id").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
     return spread.select("id", "tree", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"))
 
 
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     Two documents are linked if out_of * common >= least * union over their sets of shingles of ``words`` words; a
     text with fewer words is one shingle, null and wordless texts have none and link with nothing. component_id is the
     smallest id reachable over links. Repeated rows get equal results; rows that share an id are one document, and
-    what is linked with one of them is linked with it; rows with a null id stay alone. A very long text is one set of
+    what is linked with one of them is linked with it; rows with a null id stay alone and are kept. A very long text is one set of
     eight bytes a shingle in one task. Other columns don't matter; an empty frame stays empty. ``block`` and
     ``shingles_`` bound what a task compares and change no result.
     """
@@ -264,4 +264,4 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     told = reps.join(comp, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")).filter("copies > 1 OR component_id <> id").select(*same, "component_id")
     rows = salted_join(base.drop("sig"), told, same, "id", "left")
     rows = rows.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-    return rows.select("id", F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return rows.select("id", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -1,12 +1,14 @@
 """A training mix of sources with target weights, from DataFrame operations only.
 
-Every source's documents are shuffled by a hash, laid end to end and cut into blocks of (within one word) equal size.
-A schedule of slots is drawn from the golden-ratio sequence: the point of slot i, taken through the cumulative
-weights, names its source, so any stretch of the schedule holds the sources in nearly their proportions. The n-th
-slot of a source takes its n-th block, over and over from the start when the blocks run out.
+Every source's documents are shuffled by a hash, laid end to end and cut into blocks of (within one word) equal size:
+size / max(BLOCK_WORDS, size / MOST_BLOCKS) of them, so that a large source has MOST_BLOCKS blocks, whatever its size,
+and meets its target within half a block. A schedule of slots is drawn from the golden-ratio sequence: the point of
+slot i, taken through the cumulative numbers of wanted slots, names its source, so any stretch of the schedule holds
+the sources in nearly their proportions. The n-th slot of a source takes its n-th block, over and over from the start
+when the blocks run out. Points are fractions of POINTS in integers, so they stay distinct in a schedule of any length.
 
 Running sums are taken in two steps, inside shards of about sqrt(n) rows and over the shards' sums, so that no task
-has to order a whole source.
+has to order a whole source. The sources themselves, a row each, are ordered in one task: there may be some millions.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from pyspark.sql import functions as F
 
 from platewise.llm.common import WORD, landed
 
-GOLDEN = 0.6180339887498949
+#: Points are numbers below 2 ** POINT_BITS; GOLDEN is the golden ratio's fraction of it.
+POINT_BITS = 60
+GOLDEN = 712544676207699905
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
 MOST_EPOCHS = 3
-BLOCK_WORDS = 32
-#: The unit interval is cut into so many cells when points are matched with sources.
-CELLS = 4096
+#: The least block, and the most blocks of a source.
+BLOCK_WORDS, MOST_BLOCKS = 32, 1 << 17
+#: Points are cut into 2 ** CELL_BITS cells when they are matched with sources.
+CELL_BITS = 12
 
 
 def _sharded(df: DataFrame, group: list[str], shard: str, order: list[Column], value: str) -> DataFrame:
@@ -38,7 +43,7 @@ def _sharded(df: DataFrame, group: list[str], shard: str, order: list[Column], v
     return df.join(sums, [*group, shard]).withColumn("before", F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
-def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """One row per source (null is one): sid, weight, source_size, target, blocks, wanted (slots) and lo (slots before).
 
     Targets share the total of all sizes by weight; none exceeds ``most`` times its source's size, and what is cut
@@ -59,19 +64,29 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     s = s.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(after))
     s = s.withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("r"), "sid", "level"))).over(everything)["level"])
     s = s.withColumn("target", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.lit(0.0)))
-    s = s.withColumn("blocks", F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / block_words)).cast("long")).otherwise(0))
+    per_block = F.greatest(F.lit(float(block_words)), F.col("source_size") / most_blocks)
+    s = s.withColumn("blocks", F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / per_block)).cast("long")).otherwise(0))
     s = s.withColumn("wanted", F.when(F.col("blocks") > 0, F.round(F.col("target") * F.col("blocks") / F.nullif(F.col("source_size"), F.lit(0))).cast("long")).otherwise(0))
     return s.withColumn("lo", F.sum("wanted").over(by_name.rowsBetween(W.unboundedPreceding, 0)) - F.col("wanted")).drop("cap", "level")
 
 
+def point(i: Column) -> Column:
+    """i * GOLDEN modulo 2 ** POINT_BITS, in halves that don't overflow."""
+    half = POINT_BITS // 2
+    low = (1 << half) - 1
+    lo, hi = i.bitwiseAND(F.lit(low)), F.shiftright(i, half)
+    cross = (lo * F.lit(GOLDEN >> half) + hi * F.lit(GOLDEN & low)).bitwiseAND(F.lit(low))
+    return (lo * F.lit(GOLDEN & low) + F.shiftleft(cross, half)).bitwiseAND(F.lit((1 << POINT_BITS) - 1))
+
+
 def schedule(targets: DataFrame, slots: int, most: int = MOST_EPOCHS) -> DataFrame:
     """slot, sid, rank (among its source's slots), block and epoch; a slot beyond the last epoch is left out."""
     spark = targets.sparkSession
-    total = F.lit(max(1, slots))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * GOLDEN % 1.0 * total).alias("p"))
-    points = points.withColumn("cell", F.floor(F.col("p") * CELLS / total))
-    reach = targets.filter("wanted > 0").select("sid", "blocks", "lo", (F.col("lo") + F.col("wanted")).alias("hi"))
-    reach = reach.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * F.lit(CELLS) / total), F.floor(F.col("hi") * F.lit(CELLS) / total))))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("p"))
+    points = points.withColumn("cell", F.shiftright("p", POINT_BITS - CELL_BITS))
+    share = lambda c: F.expr(f"cast({c} AS decimal(19,0)) * cast({1 << POINT_BITS} AS decimal(19,0)) div cast({max(1, slots)} AS decimal(19,0))")
+    reach = targets.filter("wanted > 0").select("sid", "blocks", share("lo").alias("lo"), share("(lo + wanted)").alias("hi"))
+    reach = reach.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", POINT_BITS - CELL_BITS), F.shiftright(F.col("hi") - 1, POINT_BITS - CELL_BITS))))
     s = points.join(reach, "cell").filter("p >= lo AND p < hi").select("slot", "sid", "blocks", F.lit(1).cast("long").alias("one"))
     s = s.withColumn("shard", F.floor(F.col("slot") / max(1, math.isqrt(slots))))
     s = _sharded(s, ["sid"], "shard", [F.col("slot")], "one").withColumnRenamed("before", "rank")
@@ -107,16 +122,16 @@ def sizes(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def mix_sources(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, block_words: int = BLOCK_WORDS, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """The mix as two frames: (per document row, what the mix takes of it) and (per slot, the word ranges it takes).
 
     The first has doc_id, source, size, source_size, target and taken (words, repeats counted); the second slot, sid,
     epoch, block, doc_id, from_word, to_word. Null texts have size 0 and are never taken; null sources are one
-    source. Repeated rows are rows of their own. Ties in the shuffle go to the smaller doc_id. An empty frame gives
+    source. A very long text counts its words as any other. Repeated rows are rows of their own. Ties in the shuffle go to the smaller doc_id. An empty frame gives
     empty frames. Other columns don't matter. Nothing depends on the order of rows or on partitions.
     """
     sized = landed(sizes(docs, text, key, source), "sizes")
-    targets = landed(source_targets(sized, weights, most, block_words), "targets")
+    targets = landed(source_targets(sized, weights, most, block_words, most_blocks), "targets")
     slots = targets.agg(F.sum("wanted")).first()[0] or 0
     parts = document_blocks(sized, targets, sized.count())
     plan = schedule(targets, slots, most)

@@ -12,7 +12,8 @@ FOLDS = 5
 
 
 def fold(c: str = "doc_id"):
-    return F.crc32(F.col(c).cast("string").cast("binary")) % FOLDS
+    """Fold of a row; a row without an id is not held out."""
+    return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % FOLDS, F.lit(1))
 
 
 def fitted(docs: DataFrame) -> Model:

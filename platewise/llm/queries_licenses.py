@@ -17,7 +17,9 @@ _PATH = """concat(coalesce(source, 'none'), '/d', cast(doc_id div 1000 as string
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_PATH).alias("path"))
     found = scan_licenses(docs)
-    return docs.select("doc_id", "path").join(found, "path")
+    # A document without an id has no path; such documents are one file.
+    found = found.withColumnRenamed("path", "_path")
+    return docs.select("doc_id", "path").join(found, F.col("path").eqNullSafe(F.col("_path"))).drop("_path")
 
 
 _VALUES = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))

@@ -22,11 +22,13 @@ s2 AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
 s3 AS (SELECT *, CAST((SELECT sum(source_size) FROM s2) - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
     / CAST(sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lvl FROM s2),
 s4 AS (SELECT *, coalesce(least(CAST(cap AS DOUBLE), (SELECT lvl FROM s3 WHERE cap >= lvl * weight ORDER BY cap / weight, sid LIMIT 1) * weight), 0.0) AS target FROM s3),
-s5 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(greatest(1, round(source_size / 32.0::DOUBLE)) AS BIGINT) ELSE 0 END AS blocks FROM s4),
+s5 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(greatest(1, round(source_size / greatest(32.0::DOUBLE, source_size / 131072.0::DOUBLE))) AS BIGINT) ELSE 0 END AS blocks FROM s4),
 s6 AS (SELECT *, CASE WHEN blocks > 0 THEN CAST(round(target * blocks / source_size) AS BIGINT) ELSE 0 END AS wanted FROM s5),
 s7 AS (SELECT *, CAST(sum(wanted) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) - wanted AS BIGINT) AS lo FROM s6),
-pts AS (SELECT i, (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE % 1.0::DOUBLE * (SELECT greatest(1, sum(wanted)) FROM s7) AS p FROM range((SELECT CAST(coalesce(sum(wanted), 0) AS BIGINT) FROM s7)) t(i)),
-sl AS (SELECT sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rnk FROM pts JOIN s7 ON p >= lo AND p < lo + wanted),
+pts AS (SELECT i, CAST((CAST(i AS HUGEINT) * 712544676207699905) % 1152921504606846976 AS BIGINT) AS p FROM range((SELECT CAST(coalesce(sum(wanted), 0) AS BIGINT) FROM s7)) t(i)),
+s8 AS (SELECT *, CAST(CAST(lo AS HUGEINT) * 1152921504606846976 // (SELECT greatest(1, sum(wanted)) FROM s7)::HUGEINT AS BIGINT) AS p0,
+  CAST(CAST(lo + wanted AS HUGEINT) * 1152921504606846976 // (SELECT greatest(1, sum(wanted)) FROM s7)::HUGEINT AS BIGINT) AS p1 FROM s7),
+sl AS (SELECT sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rnk FROM pts JOIN s8 ON p >= p0 AND p < p1),
 tm AS (SELECT sid, rnk % blocks AS block, count(*) AS times FROM sl WHERE rnk < 3 * blocks GROUP BY ALL),
 d AS (SELECT doc_id, size, s7.*, CAST(sum(size) OVER (PARTITION BY sid ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS a
   FROM sized JOIN s7 ON sized.source IS NOT DISTINCT FROM s7.source),

@@ -4,18 +4,23 @@ Every window of WINDOW bytes holds an anchor, its least hashed K-gram (the leftm
 equal anchors at equal places, so it is enough to compare the contexts of equal anchors, the WINDOW - K bytes on
 either side. One shuffle brings together the anchors of all texts by K-gram hash, with a hash of the context:
 
-* an anchor whose whole context occurs earlier loses the whole context;
+* an anchor whose whole context occurs earlier loses the whole context. Inside a batch of texts the bytes are compared
+  at once and only the outcome goes on, so an anchor meets at most one row per context and batch. Across batches the
+  repeats of a text are joined to spans that lie alike in an earlier text, and the spans are compared by BLAKE2b
+  digests of their bytes. Where these differ, two contexts had one hash, and the search is repeated with another hash;
 * contexts that differ are cut out of the texts and compared. The suffixes that start at their anchors are sorted by
   mergesort; a comparison finds the common extension by binary search on prefix polynomial hashes, so it takes
   log(WINDOW) steps. Neighbours in the order give the extension to the right of any two suffixes, a search on the
   same hashes the one to the left; together they give what each context shares with earlier ones. The bytes of the
-  pairs that decide are compared in the end;
+  pairs that decide are compared in the end, and if they differ the bucket is sorted again with other hashes;
 * in a group of more than FEW suffixes the order is cut, for every offset of a window, into the runs that agree far
   enough to the right; inside a run the hash of what lies to the left tells equal windows;
 * an anchor with more than CROWD different contexts (the edge of a passage that very many texts hold) is cut into the
-  windows it owns, whose first occurrences are found by a combined minimum, so no task gets more of it.
+  windows it owns, known by 128-bit digests, whose first occurrences are found by a combined minimum. Anchors that are
+  crowded within the batches are told apart beforehand and spread by context, so no task gets all rows of one.
 
-All windows with a given anchor contain it, so what they cover is one run, known from its two ends.
+All windows with a given anchor contain it, so what they cover is one run, known from its two ends. The three ways
+give the same result; CROWD and FEW choose the cheapest.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.arrays import U64, chunks, column, mix, powers, prefix_hashes, ranges, span_hashes, text_buffers
-from platewise.llm.common import landed
+from platewise.llm.arrays import U64, chunks, column, mix, powers, prefix_hashes, ranges, same_strings, span_hashes, string_hashes, text_buffers
+from platewise.llm.common import by_ids, landed, salted_join
 
 WINDOW = 100
 K = 29
@@ -40,24 +45,25 @@ CROWD = 50_000
 FEW = 64
 #: Contexts that one task compares at a time.
 BUCKET = 20_000
+#: Different contexts in one batch from which on an anchor may be a crowded one.
+BUSY = 4
+#: Bits of the context hashes of the first search and of those that a collision asks for.
+HASH_BITS = (64, 64, 64)
+#: Windows whose anchors are found at a time.
+SLICE = 1 << 20
 LAST_ID = (1 << 63) - 1
 POSITION = U64((1 << 24) - 1)
 
 
-def anchors_of_windows(data: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every start of a window in data: the place of its anchor; and the hash of the K-gram at every place."""
-    prefix = prefix_hashes(data)
-    at = np.arange(max(0, len(data) - k + 1))
-    h = mix(span_hashes(prefix, at, at + k))
+def anchors_of_windows(data: np.ndarray, window: int, k: int) -> np.ndarray:
+    """For every start of a window in data: the place of its anchor."""
     width, n = window - k + 1, len(data) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), h
-    out = np.empty(n, np.int64)
-    step = 1 << 22  # places are numbered in 24 bits
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        part = h[lo : hi + width - 1]
-        key = (part & ~POSITION) | np.arange(len(part)).astype(U64)
+    out = np.empty(max(0, n), np.int64)
+    for lo in range(0, n, SLICE):
+        hi = min(n, lo + SLICE)
+        part = data[lo : hi + window - 1]
+        at = np.arange(len(part) - k + 1)
+        key = (mix(span_hashes(prefix_hashes(part), at, at + k)) & ~POSITION) | at.astype(U64)
         w = 1
         while 2 * w <= width:
             key = np.minimum(key[:-w], key[w:])
@@ -65,7 +71,7 @@ def anchors_of_windows(data: np.ndarray, window: int, k: int) -> tuple[np.ndarra
         if w < width:
             key = np.minimum(key[: hi - lo], key[width - w : width - w + hi - lo])
         out[lo:hi] = (key & POSITION).astype(np.int64) + lo
-    return out, h
+    return out
 
 
 def document_id(c: Column) -> Column:
@@ -73,20 +79,33 @@ def document_id(c: Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit(LAST_ID))
 
 
-def anchor_rows(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """anchor and context hashes, doc and pos of the anchors of (doc, text) rows.
+def joined(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of overlapping intervals of equal key: index of the first, start and stop of each; sorted by key, start."""
+    if not len(key):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    group = np.cumsum(np.diff(key, prepend=key[0]) != 0)
+    far = int(stop.max()) + 1  # so that a running maximum doesn't cross groups
+    reach = np.maximum.accumulate(stop + group * far)
+    new = np.ones(len(key), bool)
+    new[1:] = start[1:] + group[1:] * far > reach[:-1]
+    head = np.flatnonzero(new)
+    return head, start[head], np.maximum.reduceat(stop, head)
 
-    Of equal contexts in one batch only the first is compared with other batches; the others are certain repeats and
-    are marked by a null context and a random anchor, so that no passage gathers in one place by being frequent.
-    """
+
+def anchor_rows(texts: DataFrame, window: int, k: int, seed: int, bits: int) -> DataFrame:
+    """Of (doc, mark, text) rows: anchor and context hashes, doc, mark and pos of the anchors, and whether the anchor is
+    busy here; with a null anchor, spans pos..stop that lie in an earlier text of the batch byte by byte."""
     side = window - k
+    mask = U64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = column(batch, "doc").to_numpy()
-            found = [tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int32))]
+            ids, marks = column(batch, "doc").to_numpy(), column(batch, "mark").to_numpy()
+            data, offsets, _ = text_buffers(column(batch, "text"))
+            found = [tuple(np.zeros(0, t) for t in (U64, U64, *[np.int64] * 5))]
             for c in chunks(column(batch, "text")):
-                place, h = anchors_of_windows(c.data, window, k)
+                place = anchors_of_windows(c.data, window, k)
                 if not len(place):
                     continue
                 row = np.searchsorted(c.ends, np.arange(len(place)), "right")
@@ -94,69 +113,117 @@ def anchor_rows(texts: DataFrame, window: int, k: int) -> DataFrame:
                 a = np.unique(place[inside])
                 row = np.searchsorted(c.ends, a, "right")
                 l, r = np.maximum(a - side, c.starts[row]), np.minimum(a + window, c.ends[row])
-                context = mix(span_hashes(prefix_hashes(c.data), l, r) + (a - l).astype(U64) * U64(0xC2B2AE3D27D4EB4F) + (r - a).astype(U64) * U64(0x165667B19E3779F9))
-                found.append((h[a], context, ids[row + c.lo], (a - c.starts[row]).astype(np.int32)))
-            anchor, context, doc, pos = (np.concatenate([f[i] for f in found]) for i in range(4))
+                context = mix(string_hashes(c.data, l, r, seed) + (a - l).astype(U64) * U64(0xC2B2AE3D27D4EB4F)) & mask
+                found.append((string_hashes(c.data, a, a + k), context, row + c.lo, a - c.starts[row], l + offsets[c.lo], a - l, r - l))
+            anchor, context, row, pos, at, left, size = (np.concatenate([f[i] for f in found]) for i in range(7))
+            doc, mark = ids[row], marks[row]
             order = np.lexsort((pos, doc, context, anchor))
-            anchor, context, doc, pos = anchor[order], context[order], doc[order], pos[order]
+            anchor, context, doc, mark, pos, at, left, size = (x[order] for x in (anchor, context, doc, mark, pos, at, left, size))
             again = np.zeros(len(order), bool)
             again[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
+            group = np.cumsum(np.diff(anchor, prepend=~anchor[:1]) != 0) - 1
+            busy = (np.bincount(group, weights=~again) >= BUSY)[group] if len(group) else again
             head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order)))) if len(order) else order
-            same_place = again & (doc == doc[head]) & (pos == pos[head])  # rows with one id
-            anchor = np.where(again, mix(doc.view(U64) * U64(0x9E3779B97F4A7C15) + pos.astype(U64)), anchor)
-            keep = ~same_place
-            mask = again[keep]
-            for lo in range(0, int(keep.sum()), 100_000):
-                part = slice(lo, lo + 100_000)
+            here = again & (doc == doc[head]) & (pos == pos[head]) & (mark == mark[head])  # a repeated row
+            sure = np.flatnonzero(again & ~here & ((doc != doc[head]) | (pos != pos[head])) & (left == left[head]) & (size == size[head]))
+            sure = sure[same_strings(data, at[sure], at[head[sure]], size[sure])]
+            keep = ~here
+            keep[sure] = False
+            sure = sure[np.lexsort((pos[sure], mark[sure], doc[sure]))]
+            text = np.cumsum((np.diff(doc[sure], prepend=-1) != 0) | (np.diff(mark[sure], prepend=0) != 0))
+            first, start, stop = joined(text, pos[sure] - left[sure], pos[sure] - left[sure] + size[sure])
+            first = sure[first]
+            none = np.zeros(len(first), np.int64)
+            columns = [np.concatenate(x) for x in ((anchor[keep].view(np.int64), none), (context[keep].view(np.int64), none), (doc[keep], doc[first]), (mark[keep], mark[first]), (pos[keep], start), (none[:0], np.zeros(int(keep.sum()), np.int64), stop), (busy[keep], none.astype(bool)))]
+            masks = np.arange(len(columns[0])) >= int(keep.sum())
+            for lo in range(0, len(masks), 100_000):
+                p = slice(lo, lo + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[keep][part].view(np.int64)), pa.array(context[keep][part].view(np.int64), mask=mask[part]), pa.array(doc[keep][part]), pa.array(pos[keep][part])],
-                    ["anchor", "context", "doc", "pos"],
+                    [*(pa.array(x[p], mask=masks[p]) for x in columns[:2]), *(pa.array(x[p]) for x in columns[2:4]), *(pa.array(x[p].astype(np.int32)) for x in columns[4:6]), pa.array(columns[6][p])],
+                    ["anchor", "context", "doc", "mark", "pos", "stop", "busy"],
                 )
 
-    return texts.mapInArrow(run, "anchor long, context long, doc long, pos int")
+    return texts.mapInArrow(run, "anchor long, context long, doc long, mark long, pos int, stop int, busy boolean")
 
 
 def packed(texts: DataFrame) -> DataFrame:
-    """(doc, text) with the texts compressed, for the joins that move them."""
+    """(doc, mark, text) with the texts compressed, for the joins that move them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data, offsets, valid = text_buffers(column(batch, "text"))
             small = [z.compress(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc"), pa.array(small, pa.binary())], ["doc", "z"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc"), column(batch, "mark"), pa.array(small, pa.binary())], ["doc", "mark", "z"])
+
+    return texts.mapInArrow(run, "doc long, mark long, z binary")
+
 
-    return texts.mapInArrow(run, "doc long, z binary")
+CUT = "anchor long, crowd boolean, doc long, mark long, pos int, left int, bytes binary, stop int, ydoc long, ymark long, ystart int"
 
 
 def contexts(found: DataFrame, window: int, k: int) -> DataFrame:
-    """Rows (doc, z, want: array of (pos, anchor, crowd)) as one row per wanted anchor with its bytes."""
+    """Rows (doc, mark, z, want: array of (pos, anchor, crowd, y)) as rows CUT: one per wanted anchor with its bytes, and
+    with a null anchor one per span pos..stop that should lie at ystart of ydoc too, with the digest of its bytes."""
     side = window - k
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in CUT.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            docs, packs, wants = column(batch, "doc").to_pylist(), column(batch, "z"), column(batch, "want")
+            docs, marks, packs, wants = column(batch, "doc").to_pylist(), column(batch, "mark").to_pylist(), column(batch, "z"), column(batch, "want")
             rows: list[tuple] = []
-            for i, doc in enumerate(docs):
+            for i, (doc, mark) in enumerate(zip(docs, marks)):
                 text, want = z.decompress(packs[i].as_py()), wants[i].values
-                for pos, anchor, crowd in zip(want.field("pos").to_pylist(), want.field("anchor").to_pylist(), want.field("crowd").to_pylist()):
+                new = np.asarray(want.field("anchor").is_valid())
+                some = want.filter(pa.array(new))
+                for pos, anchor, crowd in zip(some.field("pos").to_pylist(), some.field("anchor").to_pylist(), some.field("crowd").to_pylist()):
                     l = max(0, pos - side)
-                    rows.append((anchor, crowd, doc, pos, pos - l, text[l : pos + window]))
+                    rows.append((anchor, crowd, doc, mark, pos, pos - l, text[l : pos + window], None, None, None, None))
+                rest = want.filter(pa.array(~new))
+                if len(rest):
+                    y = rest.field("y")
+                    pos = rest.field("pos").to_numpy().astype(np.int64)
+                    shift = pos - y.field("pos").to_numpy()
+                    other, theirs = y.field("doc").to_numpy(), y.field("mark").to_numpy()
+                    order = np.lexsort((pos, theirs, shift, other))
+                    pos, shift, other, theirs = pos[order], shift[order], other[order], theirs[order]
+                    key = np.cumsum((np.diff(other, prepend=-1) != 0) | (np.diff(shift, prepend=0) != 0) | (np.diff(theirs, prepend=0) != 0))
+                    for h, a, b in zip(*(x.tolist() for x in joined(key, np.maximum(pos - side, 0), np.minimum(pos + window, len(text))))):
+                        rows.append((None, False, doc, mark, a, 0, digest(text[a:b]), b, int(other[h]), int(theirs[h]), a - int(shift[h])))
                 if len(rows) >= 50_000 or i == len(docs) - 1:
-                    t = list(zip(*rows)) or [()] * 6
-                    yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(t, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["anchor", "crowd", "doc", "pos", "left", "bytes"])
+                    t = list(zip(*rows)) or [()] * len(schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(t, schema)], schema=schema)
                     rows = []
 
-    return found.mapInArrow(run, "anchor long, crowd boolean, doc long, pos int, left int, bytes binary")
+    return found.mapInArrow(run, CUT)
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def unlike(asked: DataFrame) -> DataFrame:
+    """Of rows (doc, mark, z, want: array of (start, n, digest)): ids of texts whose bytes there have another digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            packs, wants, out = column(batch, "z"), column(batch, "want").to_pylist(), []
+            for i, doc in enumerate(column(batch, "doc").to_pylist()):
+                text = z.decompress(packs[i].as_py())
+                out += [doc for w in wants[i] if digest(text[w["start"] : w["start"] + w["n"]]) != w["digest"]]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["doc"])
+
+    return asked.mapInArrow(run, "doc long")
 
 
 class Suffixes:
     """Suffixes of some bytes that start at ``at``, reaching ``left`` bytes back and ``right`` bytes on."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray):
+    def __init__(self, data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, seed: int = 0):
         self.data, self.at, self.left, self.right = data, at, left, right
-        self.prefix = prefix_hashes(data)
+        self.prefix = prefix_hashes(data, seed)
         self.inverse = powers(len(self.prefix))[1]
 
     def equal(self, s: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -220,9 +287,9 @@ class Suffixes:
         return order
 
 
-def shared_runs(group: np.ndarray, rank: np.ndarray, s: Suffixes, window: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+def shared_runs(group: np.ndarray, rank: np.ndarray, s: Suffixes, window: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray] | None:
     """For each suffix: how far to the left and right of its start reach the windows it shares with suffixes of its
-    group that have a lower rank; 0 and 0 if it shares none. Groups are contiguous."""
+    group that have a lower rank; 0 and 0 if it shares none. Groups are contiguous. None if two strings have one hash."""
     n = len(group)
     best_l, best_r = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if n < 2:
@@ -275,77 +342,104 @@ def shared_runs(group: np.ndarray, rank: np.ndarray, s: Suffixes, window: int, f
         mine = np.repeat(s.at[some], n_bytes) + at - shift
         theirs = np.repeat(s.at[partner[some]], n_bytes) + at - shift
         if not np.array_equal(s.data[mine], s.data[theirs]):
-            raise ValueError("two different strings have one hash")
+            return None
     return l, r
 
 
 def compare_bucket(window: int, few: int = FEW):
-    """Over rows (anchor, doc, pos, left, bytes) of whole anchors: runs (doc, from, to) to remove."""
+    """Over rows (anchor, doc, mark, pos, left, bytes) of whole anchors: runs (doc, mark, from, to) to remove."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("anchor", "ascending"), ("doc", "ascending"), ("pos", "ascending")]).combine_chunks()
-        anchor, doc, pos, left = (t[c].to_numpy() for c in ("anchor", "doc", "pos", "left"))
+        anchor, doc, mark, pos, left = (t[c].to_numpy() for c in ("anchor", "doc", "mark", "pos", "left"))
         data, offsets, _ = text_buffers(t["bytes"].combine_chunks())
         at = offsets[:-1] - offsets[0] + left
-        s = Suffixes(data[offsets[0] : offsets[-1]], at, left.astype(np.int64), offsets[1:] - offsets[0] - at)
         rank = np.cumsum((np.diff(doc, prepend=-1) != 0) | (np.diff(pos, prepend=-1) != 0))
-        l, r = shared_runs(anchor, rank, s, window, few)
+        seed, found = 0, None
+        while found is None:
+            found = shared_runs(anchor, rank, Suffixes(data[offsets[0] : offsets[-1]], at, left.astype(np.int64), offsets[1:] - offsets[0] - at, seed), window, few)
+            seed += 1
+        l, r = found
         some = r > 0
-        return pa.table({"doc": doc[some], "start": (pos - l)[some].astype(np.int32), "stop": (pos + r)[some].astype(np.int32)})
+        return pa.table({"doc": doc[some], "mark": mark[some], "start": (pos - l)[some].astype(np.int32), "stop": (pos + r)[some].astype(np.int32)})
 
     return run
 
 
 def own_windows(crowds: DataFrame, window: int, k: int) -> DataFrame:
-    """The windows of the contexts that have their anchor: hash, doc, pos of the anchor, start."""
+    """The windows of the contexts that have their anchor: digest, doc, mark, pos of the anchor, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(column(batch, "bytes")):
-                place, _ = anchors_of_windows(c.data, window, k)
+                place, data = anchors_of_windows(c.data, window, k), c.data.tobytes()
                 start = np.arange(len(place))
                 row = np.searchsorted(c.ends, start, "right")
                 left = column(batch, "left").to_numpy()[c.lo : c.hi]
                 mine = (start + window <= c.ends[row]) & (place == c.starts[row] + left[row])
                 start, row = start[mine], row[mine]
-                h = mix(span_hashes(prefix_hashes(c.data), start, start + window))
-                doc, pos = (column(batch, x).to_numpy()[c.lo : c.hi][row] for x in ("doc", "pos"))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(pos), pa.array((pos - left[row] + start - c.starts[row]).astype(np.int32))], ["window", "doc", "pos", "start"])
-
-    return crowds.mapInArrow(run, "window long, doc long, pos int, start int")
-
-
-def repeated_runs(texts: DataFrame, window: int = WINDOW, k: int = K, crowd: int = CROWD, bucket: int = BUCKET, few: int = FEW) -> DataFrame:
-    """Runs (doc, start, stop) to remove from (doc, text) rows; they overlap, and stop may lie beyond the text."""
-    here = F.struct("doc", "pos")
-    rows = anchor_rows(texts, window, k).repartition("anchor")
-    rows = rows.withColumn("first", F.expr("min(struct(doc, pos)) OVER (PARTITION BY anchor, context)"))
-    new = F.col("context").isNotNull() & (here == F.col("first"))
-    rows = rows.withColumn("new", new).withColumn("different", F.expr("count_if(new) OVER (PARTITION BY anchor)"))
-    hits = rows.filter(~F.col("new") | (F.col("different") > 1)).select("anchor", "doc", "pos", "new", (F.col("different") > crowd).alias("crowd"))
-    hits = landed(hits, "anchors")
-    whole = hits.filter(~F.col("new")).select("doc", F.greatest(F.col("pos") - (window - k), F.lit(0)).alias("start"), (F.col("pos") + window).alias("stop"))
-    mixed = hits.filter("new")
-    wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("pos", "anchor", "crowd")).alias("want"))
-    cut = landed(contexts(packed(texts).join(wanted, "doc"), window, k).distinct(), "contexts")
+                doc, mark, pos = (column(batch, x).to_numpy()[c.lo : c.hi][row] for x in ("doc", "mark", "pos"))
+                yield pa.RecordBatch.from_arrays([pa.array([digest(data[x : x + window]) for x in start.tolist()], pa.binary()), pa.array(doc), pa.array(mark), pa.array(pos), pa.array((pos - left[row] + start - c.starts[row]).astype(np.int32))], ["window", "doc", "mark", "pos", "start"])
+
+    return crowds.mapInArrow(run, "window binary, doc long, mark long, pos int, start int")
+
+
+def repeated_runs(texts: DataFrame, window: int = WINDOW, k: int = K, crowd: int = CROWD, bucket: int = BUCKET, few: int = FEW, hash_bits: tuple[int, ...] = HASH_BITS) -> DataFrame:
+    """Runs (doc, mark, start, stop) to remove from (doc, mark, text) rows; they overlap, and stop may lie beyond the
+    text. A search whose hashes collide is repeated with the next of ``hash_bits``."""
+    for seed, bits in enumerate(hash_bits):
+        runs = _search(texts, window, k, crowd, bucket, few, seed, bits)
+        if runs is not None:
+            return runs
+    raise RuntimeError("different strings had one hash in every search")
+
+
+def _search(texts: DataFrame, window: int, k: int, crowd: int, bucket: int, few: int, seed: int, bits: int) -> DataFrame | None:
+    place = ["doc", "mark"]
+    rows = landed(anchor_rows(texts, window, k, seed, bits), "anchors")
+    near = rows.filter("anchor IS NULL").select(*place, F.col("pos").alias("start"), "stop")
+    # Anchors with more than ``crowd`` rows, of those that are busy in some batch: their rows are spread by context. What
+    # isn't busy anywhere has fewer than BUSY rows a batch.
+    open_ = rows.filter("anchor IS NOT NULL").drop("stop")
+    hot = landed(open_.filter("busy").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("anchor"), "hot")
+    some_hot = not hot.isEmpty()
+    cold = (by_ids(open_, hot, "anchor", "left_anti") if some_hot else open_).repartition("anchor")
+    new = F.struct("doc", "pos") == F.struct("first.doc", "first.pos")
+    first = F.expr("min(struct(doc, pos, mark)) OVER (PARTITION BY anchor, context)")
+    cold = cold.withColumn("first", first).withColumn("new", new).withColumn("different", F.expr("count_if(new) OVER (PARTITION BY anchor)"))
+    hits = cold.filter(~F.col("new") | (F.col("different") > 1)).withColumn("crowd", F.col("different") > crowd).drop("different")
+    if some_hot:
+        hits = hits.unionByName(by_ids(open_, hot, "anchor", "left_semi").withColumn("first", first).withColumn("new", new).withColumn("crowd", F.lit(True)))
+    hits = hits.select(*place, F.struct("pos", F.when(F.col("new"), F.col("anchor")).alias("anchor"), "crowd", F.when(~F.col("new"), F.col("first")).alias("y")).alias("w"))
+    wanted = hits.groupBy(*place).agg(F.collect_list("w").alias("want"))
+    cut = landed(contexts(packed(texts).join(wanted, place), window, k), "contexts")
+    spans = cut.filter("anchor IS NULL")
+    asked = spans.select(F.col("ydoc").alias("doc"), F.col("ymark").alias("mark"), F.col("ystart").alias("start"), (F.col("stop") - F.col("pos")).alias("n"), F.col("bytes").alias("digest")).distinct()
+    asked = landed(asked.groupBy(*place).agg(F.collect_list(F.struct("start", "n", "digest")).alias("want")), "asked")
+    held = packed(by_ids(texts, asked.select("doc").distinct(), "doc", "left_semi")).join(asked, place)
+    if not unlike(held).isEmpty():
+        return None
+    whole = spans.select(*place, F.col("pos").alias("start"), "stop")
+    mixed = cut.filter("anchor IS NOT NULL AND NOT crowd").select("anchor", *place, "pos", "left", "bytes")
     buckets = max(1, mixed.count() // bucket)
-    pairs = cut.filter("NOT crowd").withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(compare_bucket(window, few), "doc long, start int, stop int")
+    pairs = mixed.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(compare_bucket(window, few), "doc long, mark long, start int, stop int")
     every = own_windows(cut.filter("crowd"), window, k)
-    first = every.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"))
-    again = every.join(first, "window").filter(F.struct("doc", "start") > F.col("first"))
-    again = again.groupBy("doc", "pos").agg(F.min("start").alias("start"), (F.max("start") + window).alias("stop")).drop("pos")
-    return whole.unionByName(pairs).unionByName(again)
+    earliest = every.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = salted_join(every, earliest, ["window"], "doc").filter(F.struct("doc", "start") > F.col("first"))
+    again = again.groupBy(*place, "pos").agg(F.min("start").alias("start"), (F.max("start") + window).alias("stop")).drop("pos")
+    return near.unionByName(whole).unionByName(pairs).unionByName(again)
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", window: int = WINDOW, k: int = K, crowd: int = CROWD, bucket: int = BUCKET, few: int = FEW) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", window: int = WINDOW, k: int = K, crowd: int = CROWD, bucket: int = BUCKET, few: int = FEW, hash_bits: tuple[int, ...] = HASH_BITS) -> DataFrame:
     """doc, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) and kept_sha256 of each row.
 
     Null and empty texts have no bytes; texts shorter than the window lose nothing. Earlier means a smaller id (null
-    is the largest), then an earlier start. Rows that share an id count as the same place: none of them is earlier,
-    and what is removed from one is removed from the others. Other columns don't matter; an empty frame stays empty.
+    is the largest), then an earlier start. Rows that share an id count as the same place: of equal strings that start
+    at one place of theirs none is earlier, and repeated rows get equal results. A text of any length is one value in
+    a task, with some twenty bytes of work space a byte. Other columns don't matter; an empty frame stays empty.
     """
-    texts = docs.select(document_id(F.col(key)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    runs = repeated_runs(texts, window, k, crowd, bucket, few).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    texts = docs.select(document_id(F.col(key)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    runs = repeated_runs(texts, window, k, crowd, bucket, few, hash_bits).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -370,4 +464,4 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], ["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
                     out, held = [], 0
 
-    return packed(texts).join(runs, "doc", "left").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return packed(texts).join(runs, ["doc", "mark"], "left").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -3,11 +3,14 @@
 Mentions are found by regular expressions and reduced to entities (kind, norm): the digits of a number, the lower-case
 form of an address, every token of a name. An entity's surrogate is drawn from a keyed hash, so equal entities get
 equal surrogates in all documents; it is checked against all other surrogates and all real entities of its kind and
-drawn again while it collides. A mention takes the surrogate in its own format: separators stay, capitals stay
-capitals. Names keep their title, take the gender that it shows, and stay in their script; a card number that
-satisfies the Luhn check is replaced by one that does; surrogate addresses lie in a reserved domain. The tokens of a
-titled name are replaced in the rest of its document too, where they stand without a title (n_entities doesn't count
-those); a neutral title takes the gender that other titles show for the given name.
+drawn again while it collides; where a format is so full that draws don't end, the values that are still free are
+given out in order. A mention takes the surrogate in its own format: separators stay, capitals stay capitals. Names
+keep their title and stay in their script; a card number that satisfies the Luhn check is replaced by one that does;
+surrogate addresses lie in a reserved domain.
+
+A token of a name is one entity wherever it stands, as a given name or a surname. It takes the gender that the titles
+show of the people it is a given name of, and none if they differ or show none. The tokens of a titled name are
+replaced in the rest of its document too, where they stand without a title (n_entities doesn't count those).
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from platewise.llm.common import landed
+from platewise.llm.common import landed, salted_join
 
 KEY = "set a secret of your own"
 MOST_DRAWS = 40
@@ -30,6 +34,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FREE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _WORD = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?!s(?!\p{L}))(?=\p{L})|-(?=\p{L}))+"
 _TOKEN = rf"(?:\p{{Lu}}\.(?= \p{{Lu}})|(?:(?:de|la|del|van|von|der|den|di|da|du|le|al|bin|ibn|el|dos) )*{_WORD})"
+#: Where a capitalised word starts.
+_WORDS = r"(?<![\p{L}\p{N}]|[\p{L}\p{M}]['’-])(?=\p{Lu})"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Tried in this order at every place of a text.
 PATTERNS = {
@@ -50,8 +56,12 @@ HINT = rf"[0-9@]|(?:{_TITLE})\.? [\p{{Lu}}dlvbe]|AKIA|AIza|(?:sk|pk|gh[pousr])[-
 #: 32 hex letters without a digit would escape the hint; they are looked for on their own.
 HINT += r"|[a-f]{32}|[A-F]{32}"
 
+# Script, syllables of names in it, and endings of female, male and other names.
 _LATIN = ("ba", "de", "ki", "lo", "mu", "na", "re", "si", "to", "vu", "ga", "le", "mi", "no", "ru", "ta")
 _CYRILLIC = ("ба", "де", "ки", "ло", "му", "на", "ре", "си", "то", "ву", "га", "ле", "ми", "но", "ру", "та")
+_GREEK = ("βα", "δε", "κι", "λο", "μυ", "να", "ρε", "σι", "το", "βυ", "γα", "λε", "μι", "νο", "ρυ", "τα")
+_ARMENIAN = ("բա", "դե", "կի", "լո", "մու", "նա", "ռե", "սի", "տո", "վու", "գա", "լե", "մի", "նո", "ռու", "տա")
+SCRIPTS = {"Cyrillic": (_CYRILLIC, ("на", "н", "р")), "Greek": (_GREEK, ("να", "ν", "ρ")), "Armenian": (_ARMENIAN, ("նա", "ն", "ր")), "Latin": (_LATIN, ("na", "n", "r"))}
 
 
 def mentions(text: Column) -> Column:
@@ -70,15 +80,15 @@ def name_tokens(mention: Column) -> Column:
 
 
 def parts_of(mention: Column, kind: Column) -> Column:
-    """The entities (kind, norm) of a mention: one, or one for each token of a name."""
+    """The entities (kind, norm, gender) of a mention: one, or one for each token of a name. gender is f, m or null.
+    A single token after a title is a surname, of which the title tells no gender."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
     norm = F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "key", mention).otherwise(F.lower(mention))
     title = F.regexp_extract(mention, rf"^({_TITLE})", 1)
-    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m").otherwise("n")
+    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m")
     tokens = name_tokens(mention)
-    named = F.transform(tokens, lambda t, i: F.struct(F.when(i + 1 == F.size(tokens), "surname").otherwise(F.concat(F.lit("given_"), gender)).alias("kind"), F.lower(t).alias("norm")))
-    # A single token after a title is a surname; its ending follows no gender.
-    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+    named = F.transform(tokens, lambda t, i: F.struct(kind.alias("kind"), F.lower(t).alias("norm"), F.when(i + 1 < F.size(tokens), gender).alias("gender")))
+    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"), F.lit(None).cast("string").alias("gender"))))
 
 
 def _each(x: Column, f) -> Column:
@@ -91,8 +101,8 @@ def _luhn(x: Column) -> Column:
     return F.aggregate(twice, F.lit(0), lambda a, b: a + b) % 10
 
 
-def draw(kind: Column, norm: Column, key: str, attempt: int) -> Column:
-    """The surrogate of an entity, in normal form."""
+def draw(kind: Column, norm: Column, gender: Column, key: str, attempt: int) -> Column:
+    """The surrogate of an entity, in normal form. Names and addresses grow with the attempts."""
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, F.lit(str(attempt))), 256)
     digits, letters = F.translate(h, "abcdef", "012345"), F.translate(h, "0123456789", "ghijklmnop")
     n = F.length(norm)
@@ -109,26 +119,29 @@ def draw(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     phone = F.concat(F.substring(norm, 1, 1), F.substring(digits, F.lit(2), n - 1))
     byte = [F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") for i in range(4)]
     ip = F.concat_ws(".", (1 + byte[0] % 223).cast("string"), *(b.cast("string") for b in byte[1:]))
-    email = F.concat(alike(F.substring_index(norm, "@", 1)), F.lit("@m"), F.substring(letters, 41, 6), F.lit(".example.net"))
+    email = F.concat(alike(F.substring_index(norm, "@", 1)), F.lit("@m"), F.substring(letters, 41, 6 + min(attempt, 18)), F.lit(".example.net"))
     iban = F.concat(F.substring(norm, 1, 2), alike(F.substring(norm, F.lit(3), n - 2)))
-    script = F.when(norm.rlike(r"\p{IsCyrillic}"), F.array(*map(F.lit, _CYRILLIC))).otherwise(F.array(*map(F.lit, _LATIN)))
-    syllable = [F.element_at(script, F.conv(F.substring(h, i, 1), 16, 10).cast("int") + 1) for i in range(1, 6)]
-    cyrillic = norm.rlike(r"\p{IsCyrillic}")
-    ending = F.when(kind == "given_f", F.when(cyrillic, "на").otherwise("na")).when(kind == "given_m", F.when(cyrillic, "н").otherwise("n")).when(cyrillic, "р").otherwise("r")
-    name = F.concat(*syllable, ending)
+    name = None
+    for script, (syllables, endings) in reversed(SCRIPTS.items()):
+        known = F.array(*map(F.lit, syllables))
+        body_ = [F.element_at(known, F.conv(F.substring(h, i, 1), 16, 10).cast("int") + 1) for i in range(1, 6 + min(attempt, 30))]
+        x = F.concat(*body_, F.when(gender == "f", endings[0]).when(gender == "m", endings[1]).otherwise(endings[2]))
+        name = x if name is None else F.when(norm.rlike(rf"\p{{Is{script}}}"), x).otherwise(name)
     return (
         F.when(kind == "key", alike(norm)).when(kind == "ipv6", F.concat(F.lit("2001:db8"), *(x for i in range(6) for x in (F.lit(":"), F.substring(h, 4 * i + 1, 4))))).when(kind == "card", card).when(kind == "ssn", number).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "secret", F.substring(h, F.lit(1), n)).when(kind == "email", email).when(kind == "iban", iban).otherwise(name)
     )
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, norm and core of distinct entities (kind, norm): no core equals another one or a real entity of its kind."""
+def surrogates(entities: DataFrame, key: str = KEY, most_draws: int = MOST_DRAWS) -> DataFrame:
+    """kind, norm and core of distinct entities (kind, norm, gender): no core equals another one or a real entity of its
+    kind."""
     entities = landed(entities.distinct(), "entities")
+    real = entities.select("kind", F.col("norm").alias("core"))
     done, open_ = None, entities
-    for attempt in range(MOST_DRAWS):
-        new = open_.select("kind", "norm", draw(F.col("kind"), F.col("norm"), key, attempt).alias("core"))
+    for attempt in range(most_draws):
+        new = open_.select("kind", "norm", draw(F.col("kind"), F.col("norm"), F.col("gender"), key, attempt).alias("core"))
         best = new.groupBy("kind", "core").agg(F.min("norm").alias("norm"))  # one of several keeps it
-        best = best.join(entities.select("kind", F.col("norm").alias("core")), ["kind", "core"], "left_anti")
+        best = best.join(real, ["kind", "core"], "left_anti")
         if done is not None:
             best = best.join(done.select("kind", "core"), ["kind", "core"], "left_anti")
         best = best.select("kind", "norm", "core")
@@ -136,7 +149,37 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         open_ = landed(entities.join(done, ["kind", "norm"], "left_anti"), "open")
         if open_.isEmpty():
             return done
-    raise RuntimeError("an entity has no free surrogate; its format allows too few")
+    return done.unionByName(free_values(open_, done, real))
+
+
+def free_values(open_: DataFrame, done: DataFrame, real: DataFrame) -> DataFrame:
+    """kind, norm and core of the open entities: the first values of their format that are neither taken nor real.
+
+    Formats are numbers of one length (of one first digit for telephones) and addresses of four bytes; a number whose
+    format has no free value left gets more digits.
+    """
+    odd = open_.filter(~F.col("kind").isin("card", "ssn", "phone", "ip")).first()
+    if odd is not None:
+        raise RuntimeError(f"no surrogate found for a {odd['kind']}")
+    wide, lead = F.when(F.col("kind") == "ip", 0).otherwise(F.length("norm")).alias("wide"), F.when(F.col("kind") == "phone", F.substring("norm", 1, 1)).otherwise("").alias("lead")
+    open_ = landed(open_.select("kind", "norm", wide, lead), "open")
+    formats = landed(open_.groupBy("kind", "wide", "lead").agg(F.count("*").alias("wanted")), "formats")
+    most = formats.agg(F.max("wanted")).first()[0]
+    i = F.col("i")
+    number = F.concat("lead", F.lpad(i.cast("string"), F.greatest(F.col("wide") - F.length("lead"), F.length(i.cast("string"))), F.lit("0")))
+    address = F.concat_ws(".", *(F.shiftright(i + (1 << 24), k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)))
+    size = 4 * most
+    while True:
+        values = open_.sparkSession.range(size).withColumnRenamed("id", "i").crossJoin(F.broadcast(formats)).withColumn("core", F.when(F.col("kind") == "ip", address).otherwise(number))
+        values = values.join(done, ["kind", "core"], "left_anti").join(real, ["kind", "core"], "left_anti")
+        free = landed(values.select("kind", "wide", "lead", "core", "i", "wanted"), "free")
+        if free.groupBy("kind", "wide", "lead").agg(F.count("*").alias("n"), F.first("wanted").alias("w")).filter("n < w").isEmpty():
+            break
+        size *= 4
+    by = W.partitionBy("kind", "wide", "lead")
+    free = free.withColumn("place", F.row_number().over(by.orderBy("i"))).filter("place <= wanted")
+    open_ = open_.withColumn("place", F.row_number().over(by.orderBy("norm")))
+    return open_.join(free, ["kind", "wide", "lead", "place"]).select("kind", "norm", "core")
 
 
 def render(mention: Column, kind: Column, cores: Column) -> Column:
@@ -158,35 +201,39 @@ def replace_private(docs: DataFrame, *, text: str = "text", key_column: str = "d
 
     Null and empty texts and texts without mentions stay as they are. Repeated rows get equal results. Columns of the
     names n_entities and kinds are replaced; others stay. Equal entities get equal surrogates wherever they occur,
-    different ones different surrogates.
+    different ones different surrogates. A very long text is one value of an expression; its cost grows with its length,
+    and with the number of its words times that of its different names.
     """
     columns = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    docs = docs.select(*columns)
-    id_, mark = F.coalesce(F.col(key_column).cast("string"), F.lit("")), F.xxhash64(text)
-    found = docs.filter(F.col(text).rlike(HINT)).select(id_.alias("_id"), mark.alias("_mark"), mentions(F.col(text)).alias("m")).filter(F.size("m") > 0).distinct()
-    each = found.select("_id", "_mark", F.posexplode("m").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    at = ["_id", "_mark"]
+    # Texts pass the patterns once; what follows reads the mentions.
+    base = docs.select(*columns, F.coalesce(F.col(key_column).cast("string"), F.lit("")).alias("_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_mark"), mentions(F.col(text)).alias("_m"))
+    base = landed(base, "read")
+    found = base.filter(F.size("_m") > 0).select(*at, F.col("_m").alias("m")).distinct()
+    each = found.select(*at, F.posexplode("m").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
     each = landed(each.withColumn("parts", parts_of(F.col("mention"), F.col("kind"))), "mentions")
-    part = each.select("_id", "_mark", "pos", F.posexplode("parts").alias("k", "p")).select("_id", "_mark", "pos", "k", F.col("p.kind").alias("kind"), F.col("p.norm").alias("norm"))
-    gender = part.filter(F.col("kind").isin("given_f", "given_m")).groupBy("norm").agg(F.min("kind").alias("least"), F.max("kind").alias("most"))
-    gender = gender.filter("least = most").select("norm", F.lit("given_n").alias("kind"), F.col("least").alias("shown"))
-    part = landed(part.join(gender, ["kind", "norm"], "left").withColumn("kind", F.coalesce("shown", "kind")).drop("shown"), "parts")
-    cores = surrogates(part.select("kind", "norm"), key)
-    wanted = part.join(cores, ["kind", "norm"]).select("_id", "_mark", "pos", "k", "core")
-    by_text = wanted.groupBy("_id", "_mark").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "core"))).alias("cores"))
-    listed = each.groupBy("_id", "_mark").agg(F.array_sort(F.collect_list(F.struct("pos", "mention", "kind"))).alias("ms"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    plan = listed.join(by_text, ["_id", "_mark"])
-    mine = F.transform("ms", lambda m: render(m["mention"], m["kind"], F.transform(F.filter("cores", lambda c: c["pos"] == m["pos"]), lambda c: c["core"])))
-    plan = plan.select("_id", "_mark", mine.alias("new"), "kinds", "ms")
+    part = each.select(*at, "pos", F.posexplode("parts").alias("k", "p")).select(*at, "pos", "k", "p.*")
+    known = part.groupBy("kind", "norm").agg(F.min("gender").alias("least"), F.max("gender").alias("most"))
+    cores = surrogates(known.select("kind", "norm", F.when(F.col("least") == F.col("most"), F.col("least")).alias("gender")), key)
+    wanted = salted_join(part.select(*at, "pos", "k", "kind", "norm"), cores, ["kind", "norm"], "_id")
+    wanted = wanted.groupBy(*at, "pos").agg(F.array_sort(F.collect_list(F.struct("k", "core"))).alias("cores"))
+    new = each.join(wanted, [*at, "pos"]).withColumn("new", render(F.col("mention"), F.col("kind"), F.transform("cores", lambda c: c["core"])))
     # Tokens of the names and what replaces them where they stand alone.
-    named = F.zip_with("ms", "new", lambda m, x: F.when(m["kind"] == "name", F.zip_with(name_tokens(m["mention"]), name_tokens(x), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).otherwise(F.array().cast("array<struct<a:string,b:string>>")))
-    alone = F.array_distinct(F.filter(F.flatten(named), lambda p: p["a"].rlike(rf"^{_WORD}$")))
-    plan = landed(plan.select("_id", "_mark", "new", "kinds", alone.alias("alone")), "plan")
-    hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    tokens = F.zip_with(name_tokens(F.col("mention")), name_tokens(F.col("new")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    tokens = F.when(F.col("kind") == "name", F.filter(tokens, lambda p: p["a"].rlike(rf"^{_WORD}$")))
+    plan = new.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("new"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_distinct(F.flatten(F.collect_list(tokens))).alias("alone"))
+    plan = landed(plan.select(*at, F.transform("new", lambda x: x["new"]).alias("new"), "kinds", "alone"), "plan")
+    marked = base.filter(F.size("_m") > 0).drop("_m").join(plan.hint("merge"), at)
+    pieces = F.array_join(F.zip_with(F.split(F.col(text), ANY, -1), F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    def renamed(piece: Column) -> Column:
+        """A piece that starts with a capitalised word, which is replaced if it is one of the tokens."""
+        head = F.regexp_extract(piece, rf"^({_WORD}){_END}", 1)
+        place = F.array_position(F.col("alone.a"), head).cast("int")
+        return F.when((head != "") & (place > 0), F.concat(F.element_at("alone.b", place), F.substring(piece, F.length(head) + 1, F.length(piece)))).otherwise(piece)
+
+    changed = F.when(F.size("alone") > 0, F.array_join(F.transform(F.split(pieces, _WORDS, -1), renamed), "")).otherwise(pieces)
+    marked = marked.select(*(changed.alias(text) if c == text else F.col(c) for c in columns), F.size("new").cast("long").alias("n_entities"), "kinds")
     none = F.array().cast("array<string>")
-    marked = docs.filter(hinted).withColumn("_id", id_).withColumn("_mark", mark).join(plan, ["_id", "_mark"], "left")
-    pieces = F.zip_with(F.split(F.col(text), ANY, -1), F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    changed = F.when(F.col("new").isNotNull(), F.aggregate("alone", F.array_join(pieces, ""), lambda t, p: F.regexp_replace(t, F.concat(F.lit(_FREE), p["a"], F.lit(_END)), p["b"]))).otherwise(F.col(text))
-    count, kinds = F.coalesce(F.size("new"), F.lit(0)), F.coalesce("kinds", none)
-    marked = marked.select(*(changed.alias(text) if c == text else F.col(c) for c in columns), F.when(F.col("new").isNull(), 0).otherwise(count).cast("long").alias("n_entities"), kinds.alias("kinds"))
-    plain = docs.filter(~hinted).select(*columns, F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"))
+    plain = base.filter(F.size("_m") == 0).select(*columns, F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"))
     return marked.unionByName(plain)

@@ -44,7 +44,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "n", "z") for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize("limits", [{}, {"block": 4}, {"block": 2}, {"shingles_": 300}])
+@pytest.mark.parametrize("limits", [{}, {"block": 4}, {"shingles_": 300}])
 def test_near_duplicates(spark, rows, limits):
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, rows), words=3, least=85, **limits).collect()}
     assert got == near(rows, 3, 85)
@@ -84,15 +84,34 @@ def test_long_texts_and_null_ids(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (None, "a b c d"), (None, long)]
     got = {(r["id"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, least=85, shingles_=1000).collect()}
-    assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False), (None, None, None)}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False), (None, None, True)}
 
 
-@pytest.mark.parametrize("limits", [{}, {"few": 2, "bucket": 10}, {"crowd": 2}])
+@pytest.mark.parametrize("limits", [{}, {"few": 2, "bucket": 10}, {"crowd": 2}, {"hash_bits": (6, 64)}])
 def test_repeats(spark, rows, limits):
     got = {r["doc"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(frame(spark, rows), **limits).collect()}
     assert got == repeats(rows)
 
 
+def test_repeats_of_one_passage_in_many_texts(spark):
+    # One passage with different surroundings, more often than CROWD, so that its anchors are crowded.
+    passage = " ".join(f"p{i * i}" for i in range(30))
+    rows = [(i, f"{i * 7919} {i} {passage} {i * 104729}") for i in range(3000)]
+    want = repeats(rows)
+    for limits in ({"crowd": 500}, {}):
+        got = {r["doc"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), **limits).collect()}
+        assert got == want
+
+
+def test_repeats_in_a_long_text_and_rows_with_one_id(spark):
+    r = random.Random(9)
+    line = "".join(r.choice("abcdefgh ") for _ in range(5000))
+    long = "".join(r.choice("abcdefgh ") for _ in range(1_500_000)) + line
+    df = spark.createDataFrame([(1, line), (2, long), (2, long), (3, line[:150]), (3, "other text"), (None, line)], "doc_id long, text string")
+    got = [(r["doc"], r["n_bytes"], r["n_removed"]) for r in remove_repeats(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 5000, 0), (2, 1_505_000, 5000), (2, 1_505_000, 5000), (3, 150, 150), (3, 10, 0), (None, 5000, 5000)], key=str)
+
+
 def test_decontaminate(spark, rows):
     items = [(1, " ".join((rows[30][1] or "a b").split()[:14])), (2, "one"), (3, None), (4, "..."), (5, rows[40][1]), (5, rows[40][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -102,6 +121,14 @@ def test_decontaminate(spark, rows):
         assert got == want
 
 
+def test_decontaminate_ids_and_long_texts(spark):
+    long = "word " * 200_000 + "alpha beta gamma " + "x" * 1_000_000 + " end"
+    items = [(None, "alpha beta gamma"), ("b", "x" * 1_000_000), ("a", "end"), (None, None), ("c", "y" * 1_000_000)]
+    df = spark.createDataFrame([(1, long), (2, "end"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate(df, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {1: (200_005, 5, ["a", "b", None]), 2: (1, 1, ["a"]), 3: (0, 0, [])}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((150, 16))
@@ -109,7 +136,7 @@ def test_vectors(spark):
     ring = base[:1] + rng.standard_normal((200, 16)) * 0.05
     vectors = [v.astype(np.float32).tolist() for v in np.concatenate([base, near_, ring, base[:5]])]
     rows = [(i, v) for i, v in enumerate(vectors)]
-    odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [1.0, None] + [0.0] * 14), (904, [float("nan")] * 16), (905, [float("inf")] + [0.0] * 15), (906, [1.0, 2.0]), (907, [2.0, 4.0])]
+    odd = [(900, None), (901, []), (902, [0.0] * 16), (903, [1.0, None] + [0.0] * 14), (904, [float("nan")] * 16), (905, [float("inf")] + [0.0] * 15), (906, [1.0, 2.0]), (907, [2.0, 4.0]), (None, vectors[0])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     x = np.array(vectors, np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -118,10 +145,11 @@ def test_vectors(spark):
     label = np.arange(len(x))
     while (new := np.where(linked | np.eye(len(x), dtype=bool), label[None, :], len(x)).min(1)).tolist() != label.tolist():
         label = new
-    for limits in ({}, {"leaf": 40, "block": 16}):
+    # The third limits let a sample of 60 vectors grow trees whose leaves are too large and split again.
+    for limits in ({}, {"leaf": 40, "block": 16}, {"leaf": 20, "block": 16, "sample": 60, "most": 60}):
         got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df, **limits).collect()}
         assert [got[i] for i in range(len(x))] == [(int(linked[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(x))]
-        assert got[907] == (1, 906, False) and all(got[i] == (0, i, True) for i, _ in odd[:6])
+        assert got[907] == (1, 906, False) and all(got[i] == (0, i, True) for i, _ in odd[:6]) and got[None] == (0, None, True)
 
 
 def test_components(spark):

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from platewise.llm.surrogates import replace_private
+from platewise.llm.surrogates import replace_private, surrogates
 
 TEXTS = [
     "Write to Ann.72@mail3.example.com, or ANN.72@MAIL3.EXAMPLE.COM today.",
@@ -78,5 +78,51 @@ def test_whole_names_and_more_formats(spark):
     assert dr[3:] == ms[3:]
 
 
+def test_names_are_one_entity_in_their_script(spark):
+    texts = ["Mrs Anna Maria Schmidt came. Anna left.", "Mr. Jan met Mr Jan Schmidt", "Mr Παπαδόπουλος, Dr Գրիգորյան", "Mrs Kim Lee, Mr Kim Lee"]
+    got = [r["text"] for r in replace_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Mrs (\w+na) \w+na (\w+) came\. (\w+) left\.", got[0])
+    assert a and a[1] == a[3]
+    b = re.fullmatch(r"Mr\. (\w+) met Mr (\w+) (\w+)", got[1])
+    assert b and b[1] == b[2] and b[3] == a[2]
+    assert re.fullmatch(r"Mr [Α-Ω][α-ω]+, Dr [Ա-Ֆ][ա-և]+", got[2]) and got[2] != texts[2]
+    c = re.fullmatch(r"Mrs (\w+) (\w+), Mr (\w+) (\w+)", got[3])
+    assert c and c[1] == c[3] and c[2] == c[4] and c[1] != c[2]
+
+
+def test_a_full_format_gets_the_free_values(spark):
+    # 997 of the 1,000 telephone numbers of a made-up four-digit format are real: three are free and the rest get five digits.
+    rows = [("phone", f"0{i:03d}", None) for i in range(997)]
+    out = surrogates(spark.createDataFrame(rows, "kind string, norm string, gender string"), most_draws=2).collect()
+    cores = [r["core"] for r in out]
+    assert len(set(cores)) == 997 and not {n for _, n, _ in rows} & set(cores)
+    assert {"0997", "0998", "0999"} <= set(cores)
+
+
+def plain_mapping(texts):
+    """Every mention of the simple formats below, by its digits or lower case, in order of first sight."""
+    seen = {}
+    for t in texts:
+        for kind, norm in re.findall(r"(ssn|ip) (\S+)", t):
+            seen.setdefault((kind, norm), len(seen))
+    return seen
+
+
+def test_many_mentions_of_one_text(spark):
+    # The mapping of surrogates to entities is one to one, checked against a plain list of the mentions.
+    text = " ".join(f"ssn {i % 700 + 100:03d}-12-{i % 9000 + 1000:04d} ip 10.{i % 250}.{i % 7}.9" for i in range(50_000))
+    out = replace_private(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out["n_entities"] == 100_000
+    before, after = re.findall(r"(?:ssn|ip) (\S+)", text), re.findall(r"(?:ssn|ip) (\S+)", out["text"])
+    assert len(before) == len(after) and len(set(zip(before, after))) == len(set(before)) == len(set(after)) == len(plain_mapping([text]))
+    assert not set(before) & set(after)
+
+
+def test_long_text(spark):
+    text = "Mrs Anna Schmidt wrote. " + "Clean words and Nouns go on. " * 300_000 + "Then Anna left."
+    out = replace_private(spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")).collect()
+    assert len(out) == 2 and all("Anna" not in r["text"] and len(r["text"]) > 8_000_000 for r in out)
+
+
 def test_empty(spark):
     assert replace_private(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -1,4 +1,5 @@
 import re
+import time
 
 from platewise.llm.tokens import COUNT_BITS, UNKNOWN_COST, count_tokens, load_vocabulary, pre_tokens
 
@@ -42,5 +43,23 @@ def test_small_vocabulary_and_ties(spark):
     assert COUNT_BITS == 24
 
 
+def test_long_words(spark):
+    costs = {b"a": 5, b"b": 7, b"ab": 10, b"aba": 15, b"ba" * 20: 30}
+    texts = ["ab" * 400, "ab" * 400 + "z" * 300 + "ba" * 100, ("a" * 256) + " " + "b" * 257, "".join("ab"[bin(i).count("1") % 2] for i in range(2048)), "".join("ba"[bin(i).count("1") % 2] for i in range(2048))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_tokens"] for r in count_tokens(df, costs).orderBy("doc_id").collect()] == [brute(t, costs)[1] for t in texts]
+
+
+def test_a_word_of_a_megabyte_and_a_long_text(spark):
+    costs = load_vocabulary()
+    word = "".join(chr(97 + (i * i * 7919) % 26) for i in range(1_000_000))
+    df = spark.createDataFrame([(1, word), (2, "lorem ipsum " * 400_000)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(df, costs).collect()}
+    assert time.perf_counter() - start < 30
+    one = brute(" lorem", costs)[1] + brute(" ipsum", costs)[1]
+    assert got[2] == one * 399_999 + brute("lorem", costs)[1] + brute(" ipsum", costs)[1] + 1 and got[1] > 100_000
+
+
 def test_empty_table(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), {b"a": 1}).collect() == []
