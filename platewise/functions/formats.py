@@ -33,6 +33,7 @@ def offset_text(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), r"\.$", "")
 
 
+# Fixed value: the form of result files' names.
 RESULT_NAME = r"^(.+)_(-?\d+\.?\d*)_(-?\d+\.?\d*)$"
 
 

@@ -49,6 +49,9 @@ def in_degrees(value: Column, units: Column, name: Column) -> Column:
     return F.when((units == "rad") | (units.isNull() & angular), F.degrees(value)).otherwise(value)
 
 
-def body_id(name: Column, known: Column) -> Column:
-    """the known number of a body, or one from 10000 to 29999 by a hash of its name."""
-    return F.coalesce(known.cast("long"), F.pmod(F.xxhash64(name), F.lit(20000)) + 10000)
+def body_id(name: Column, known: Column, simulated: Column | None = None) -> Column:
+    """the known number of a body. A simulated body without one gets a number from 10000 to 29999 by a hash of its
+    name (two may share it); any other is an error when it is met."""
+    made_up = F.pmod(F.xxhash64(name), F.lit(20000)) + 10000
+    unknown = F.raise_error(F.concat(F.lit("unknown body "), F.coalesce(name, F.lit("null")))).cast("long")
+    return F.coalesce(known.cast("long"), F.when(F.lit(False) if simulated is None else simulated, made_up).otherwise(unknown))

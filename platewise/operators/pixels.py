@@ -45,6 +45,31 @@ def shifted(px: DataFrame, dv: int, du: int, n_v: int, n_u: int, fill: float = 0
     return grid(px.select("image_ord").distinct(), n_v, n_u).join(moved, ["image_ord", "v", "u"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
 
 
+def padded(px: DataFrame, margin_v: int, margin_u: int, n_v: int, n_u: int, fill: float = 0.0) -> DataFrame:
+    """Images with a margin of ``fill`` at every edge, the old pixels in the middle."""
+    moved = px.select("image_ord", (F.col("v") + margin_v).alias("v"), (F.col("u") + margin_u).alias("u"), "value")
+    return grid(px.select("image_ord").distinct(), n_v + 2 * margin_v, n_u + 2 * margin_u).join(moved, ["image_ord", "v", "u"], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
+
+
+def unpadded(px: DataFrame, margin_v: int, margin_u: int, n_v: int, n_u: int) -> DataFrame:
+    """Images without their margins; n_v and n_u are the sizes with them."""
+    inside = F.col("v").between(margin_v, n_v - 1 - margin_v) & F.col("u").between(margin_u, n_u - 1 - margin_u)
+    return px.filter(inside).withColumn("v", F.col("v") - margin_v).withColumn("u", F.col("u") - margin_u)
+
+
+def cropped(px: DataFrame, n_v: int, n_u: int, to_v: int, to_u: int) -> DataFrame:
+    """The middle of images, to_v x to_u pixels of n_v x n_u; the odd pixel stays at the end."""
+    v0, u0 = (n_v - to_v) // 2, (n_u - to_u) // 2
+    inside = F.col("v").between(v0, v0 + to_v - 1) & F.col("u").between(u0, u0 + to_u - 1)
+    return px.filter(inside).withColumn("v", F.col("v") - v0).withColumn("u", F.col("u") - u0)
+
+
+def at_top_left(px: DataFrame, to_v: int, to_u: int) -> DataFrame:
+    """Images placed at (0, 0) of to_v x to_u zeros; what is beyond is lost."""
+    kept = px.filter((F.col("v") < to_v) & (F.col("u") < to_u)).select("image_ord", "v", "u", "value")
+    return grid(px.select("image_ord").distinct(), to_v, to_u).join(kept, ["image_ord", "v", "u"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
 def gradient(px: DataFrame) -> DataFrame:
     """Gv, gu (central differences, one-sided at borders) and their magnitude."""
     def along(axis: str, other: str) -> Column:
@@ -88,19 +113,25 @@ def local_maxima(px: DataFrame, radius: int, n_v: int, n_u: int, tolerance: floa
     return px.join(top, ["image_ord", "v", "u"]).join(low, ["image_ord", "v", "u"]).filter((F.col("value") == F.col("_top")) & (F.col("value") >= F.col("_low") * tolerance)).drop("_top", "_low")
 
 
-def minus_median(px: DataFrame, radius: int, n_v: int, n_u: int) -> DataFrame:
-    """The value less the median of its square."""
+def minus_median(px: DataFrame, radius: int, n_v: int, n_u: int, footprint: str = "square") -> DataFrame:
+    """The value less the median of its square, or of the circle of radius + 0.5 in it."""
+    if footprint not in ("square", "circle"):
+        raise ValueError(f"unknown footprint {footprint!r}")
     reach = F.sequence(F.lit(-radius), F.lit(radius))
     ask = px.select("image_ord", F.col("v").alias("_v"), F.col("u").alias("_u")).withColumn("_i", F.explode(reach)).withColumn("_j", F.explode(reach))
+    if footprint == "circle":
+        ask = ask.filter(F.sqrt(F.col("_i") * F.col("_i") + F.col("_j") * F.col("_j")) <= radius + 0.5)
     ask = ask.withColumn("v", reflected(F.col("_v") + F.col("_i"), n_v)).withColumn("u", reflected(F.col("_u") + F.col("_j"), n_u))
     med = ask.join(px.select("image_ord", "v", "u", "value"), ["image_ord", "v", "u"]).groupBy("image_ord", F.col("_v").alias("v"), F.col("_u").alias("u")).agg(F.percentile("value", F.lit(0.5)).alias("_med"))
     return px.join(med, ["image_ord", "v", "u"]).withColumn("value", F.col("value") - F.col("_med")).drop("_med")
 
 
-def stretched(px: DataFrame, low: float = 0.001, high: float = 0.999, gamma: float = 1.0) -> DataFrame:
-    """Level 0..255 of every pixel between two quantiles of its image; equal quantiles are set 0.01 apart."""
-    q = px.groupBy("image_ord").agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("_q"))
+def stretched(px: DataFrame, low: float = 0.001, high: float = 0.999, gamma: float = 1.0, regions: tuple[str, ...] = ()) -> DataFrame:
+    """Level 0..255 of every pixel between two quantiles of its image, or of its region of the image where
+    columns name one; equal quantiles are set 0.01 apart."""
+    keys = ["image_ord", *regions]
+    q = px.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("_q"))
     black, white = F.col("_q")[0], F.col("_q")[1]
     white = F.when(white == black, black + 0.01).otherwise(white)
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - black) / (white - black)))
-    return px.join(q, "image_ord").withColumn("level", F.least(F.lit(255), F.floor(F.pow(x, F.lit(gamma)) * 256)).cast("long")).drop("_q")
+    return px.join(q, keys).withColumn("level", F.least(F.lit(255), F.floor(F.pow(x, F.lit(gamma)) * 256)).cast("long")).drop("_q")

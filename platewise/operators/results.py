@@ -74,6 +74,29 @@ def final_result(techniques: DataFrame) -> DataFrame:
     return techniques.groupBy("image_ord").agg(best.alias("b")).select("image_ord", "b.*")
 
 
+def result_documents(results: DataFrame, dataset: str, key: str = "results_path_stub") -> DataFrame:
+    """One JSON document per image, failures too: dataset, volume (the first step of the path stub), stub, document.
+    Fields without a value are left out of the document."""
+    fields = [c for c in results.columns if c != key]
+    return results.select(F.lit(dataset).alias("dataset"), F.substring_index(key, "/", 1).alias("volume"), F.col(key), F.to_json(F.struct(*fields)).alias("document"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Result documents as Parquet, a folder per dataset and volume."""
+    documents.repartition("dataset", "volume").sortWithinPartitions("results_path_stub").write.mode("overwrite").partitionBy("dataset", "volume").parquet(path)
+
+
+TWIST_COLUMNS = ("url", "img_name", "twist", "rotation_error", "int_offset_x", "int_offset_y", "opt_offset_x", "opt_offset_y", "error")
+
+
+def twist_rows(results: DataFrame) -> DataFrame:
+    """Rows of the results table of a twist search as texts, eight wide with three decimals for offsets and five for
+    the rest; images without a result (null twist) are left out."""
+    wide = lambda c, form: F.format_string(form, c).alias(c)
+    name = F.substring_index(F.substring_index("url", "/", -1), ".", 1).alias("img_name")
+    return results.filter(F.col("twist").isNotNull()).select("url", name, wide("twist", "%8.5f"), wide("rotation_error", "%9.5f"), *(wide(c, "%8.3f") for c in TWIST_COLUMNS[4:8]), wide("error", "%9.5f"))
+
+
 def last_result(results: DataFrame) -> DataFrame:
     """Per template and cell the result that comes last by its path."""
     return results.groupBy("template", "u", "v").agg(F.max_by(F.struct("results_path_stub", "dv", "du"), "results_path_stub").alias("r")).select("template", "u", "v", "r.*")
@@ -85,7 +108,7 @@ def error_grid(results: DataFrame) -> DataFrame:
     return axes.join(results, ["template", "u", "v"], "left").select("template", "u", "v", (F.col("du") - F.col("u")).alias("error_u"), (F.col("dv") - F.col("v")).alias("error_v"))
 
 
-# The first check that fails names the error.
+# Error codes of tasks. P31: the first check that fails names the error.
 TASK_CHECKS = ("no_nav_root", "no_dataset_name", "unknown_dataset", "no_files", "no_image_file_url", "no_label_file_url", "no_results_path_stub")
 
 

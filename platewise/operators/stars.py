@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from platewise.functions.formats import spectral_class
+
 RA_CELL, DEC_CELL = 15.0, 5.0
+#: Pixels of the cells in which star boxes of an image are compared.
+BOX_CELL = 64.0
 #: Degrees within which stars of two catalogues may be one, and magnitudes.
 SAME_DEGREES, SAME_MAGNITUDES = 5.0 / 3600.0, 3.0
 
@@ -81,10 +85,15 @@ def overlap_marks(df: DataFrame) -> DataFrame:
 
     Of two, ordered by v and star, both are marked if the later is less than 2 magnitudes fainter, else the later.
     """
-    order = F.struct("v", "star")
-    a = df.select("image_ord", *(F.col(c).alias(f"a_{c}") for c in ("star", "v0", "v1", "u0", "u1", "vmag")), order.alias("a_o"))
-    b = df.select("image_ord", *(F.col(c).alias(f"b_{c}") for c in ("star", "v0", "v1", "u0", "u1", "vmag")), order.alias("b_o"))
-    meet = a.join(b, "image_ord").filter("a_o < b_o AND a_v0 <= b_v1 AND b_v0 <= a_v1 AND a_u0 <= b_u1 AND b_u0 <= a_u1")
+    order, cell = F.struct("v", "star"), lambda c: F.floor(F.col(c) / BOX_CELL)
+    # Boxes meet in the cell that holds the corner of least v and u of what they share.
+    at = df.withColumn("_cv", F.explode(F.sequence(cell("v0"), cell("v1")))).withColumn("_cu", F.explode(F.sequence(cell("u0"), cell("u1"))))
+    keys = ["image_ord", "_cv", "_cu"]
+    a = at.select(*keys, *(F.col(c).alias(f"a_{c}") for c in ("star", "v0", "v1", "u0", "u1", "vmag")), order.alias("a_o"))
+    b = at.select(*keys, *(F.col(c).alias(f"b_{c}") for c in ("star", "v0", "v1", "u0", "u1", "vmag")), order.alias("b_o"))
+    corner = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / BOX_CELL)
+    meet = a.join(b, keys).filter("a_o < b_o AND a_v0 <= b_v1 AND b_v0 <= a_v1 AND a_u0 <= b_u1 AND b_u0 <= a_u1")
+    meet = meet.filter((corner("v0") == F.col("_cv")) & (corner("u0") == F.col("_cu")))
     both = F.when(F.col("b_vmag") - F.col("a_vmag") < 2, F.array("a_star", "b_star")).otherwise(F.array("b_star"))
     return meet.select("image_ord", F.explode(both).alias("star")).distinct()
 
@@ -113,3 +122,80 @@ def outliers(df: DataFrame, keys: list[str], axes: tuple[str, ...], sigmas: floa
 def refined(df: DataFrame, keys: list[str]) -> DataFrame:
     """Median and population std of the differences that are no outliers; groups without any have no row."""
     return df.filter("NOT outlier").groupBy(*keys).agg(*(F.percentile(c, F.lit(0.5)).alias(f"{c}_shift") for c in ("diff_u", "diff_v")), *(F.stddev_pop(c).alias(f"{c}_sigma") for c in ("diff_u", "diff_v")))
+
+
+def with_defaults(stars: DataFrame, classes: DataFrame, default: str = "G0") -> DataFrame:
+    """Stars (ra, dec, vmag, temperature, spectral_class, b_v, johnson_mag_v, johnson_mag_b, catalog) with what
+    they lack, and flags of what was made up; stars without a place or a magnitude are dropped.
+
+    A star without a temperature gets that of the default class, and the class; one without both Johnson magnitudes gets
+    vmag, and vmag plus the colour of its class. In catalogue ybsc the Johnson magnitudes are vmag and vmag plus b_v.
+    ``classes`` (spectral_class, class_temperature, class_b_v) has a row per class, some hundreds at most.
+    """
+    ybsc = F.col("catalog") == "ybsc"
+    s = stars.dropna(subset=["ra", "dec", "vmag"])
+    s = s.withColumn("johnson_mag_v", F.when(ybsc, F.col("vmag")).otherwise(F.col("johnson_mag_v"))).withColumn("johnson_mag_b", F.when(ybsc, F.col("vmag") + F.coalesce("b_v", F.lit(0.0))).otherwise(F.col("johnson_mag_b")))
+    s = s.withColumn("temperature_faked", F.col("temperature").isNull()).withColumn("johnson_mag_faked", F.col("johnson_mag_v").isNull() | F.col("johnson_mag_b").isNull())
+    s = s.withColumn("spectral_class", F.when(F.col("temperature_faked"), default).otherwise(F.col("spectral_class")))
+    s = s.withColumn("_class", spectral_class(F.col("spectral_class")))
+    s = s.join(F.broadcast(classes.withColumnRenamed("spectral_class", "_class")), "_class", "left")
+    s = s.withColumn("temperature", F.coalesce("temperature", "class_temperature"))
+    s = s.withColumn("johnson_mag_b", F.when(F.col("johnson_mag_faked"), F.col("vmag") + F.col("class_b_v")).otherwise(F.col("johnson_mag_b"))).withColumn("johnson_mag_v", F.when(F.col("johnson_mag_faked"), F.col("vmag")).otherwise(F.col("johnson_mag_v")))
+    return s.drop("_class", "class_temperature", "class_b_v")
+
+
+STAR_FIELDS = ("catalog_name", "unique_number", "pretty_name", "ra", "dec", "vmag", "johnson_mag_v", "johnson_mag_b", "johnson_mag_faked", "temperature", "temperature_faked", "spectral_class", "conflicts", "u", "v", "movement_v", "movement_u")
+
+
+def star_lists(stars: DataFrame) -> DataFrame:
+    """Per image the list of its stars as a result document holds it, in order of v and number: positions (ra_pm and
+    dec_pm, in radians) in degrees, the motion from start (u1, v1) to end (u2, v2). No more stars than one image has."""
+    s = stars.withColumn("ra", F.degrees("ra_pm")).withColumn("dec", F.degrees("dec_pm")).withColumn("movement_u", F.col("u2") - F.col("u1")).withColumn("movement_v", F.col("v2") - F.col("v1"))
+    listed = F.array_sort(F.collect_list(F.struct(F.struct("v", "unique_number").alias("o"), F.struct(*STAR_FIELDS).alias("s"))))
+    return s.groupBy("image_ord").agg(F.transform(listed, lambda x: x["s"]).alias("star_list"))
+
+
+def listed_stars(documents: DataFrame) -> DataFrame:
+    """One row per star of result documents (image_ord, star_list)."""
+    return documents.select("image_ord", F.explode("star_list").alias("s")).select("image_ord", "s.*")
+
+
+def body_conflicts(stars: DataFrame, bodies: DataFrame, margin: float = 5.0) -> DataFrame:
+    """Stars (image_ord, star, v, u) with conflicts: 'BODY: name' of the first body (body_ord, body, v, u of its
+    pixels) that covers a pixel within ``margin`` of the star, else empty.
+
+    Pixels lie in one cell, a star asks the cells its square touches.
+    """
+    size = 2 * margin + 1
+    cell = lambda c: F.floor(c / size)
+    ask = stars.select("image_ord", "star", F.col("v").alias("_v"), F.col("u").alias("_u"))
+    for axis in ("v", "u"):
+        ask = ask.withColumn(f"_c{axis}", F.explode(F.sequence(cell(F.col(f"_{axis}") - margin - 1), cell(F.col(f"_{axis}") + margin))))
+    at = bodies.select("image_ord", "body_ord", "body", "v", "u", cell(F.col("v")).alias("_cv"), cell(F.col("u")).alias("_cu"))
+    near = lambda a, b: (a + 1 > b - margin) & (a < b + margin)
+    hit = ask.join(at, ["image_ord", "_cv", "_cu"]).filter(near(F.col("v"), F.col("_v")) & near(F.col("u"), F.col("_u")))
+    first = hit.groupBy("image_ord", "star").agg(F.min(F.struct("body_ord", "body")).alias("_b"))
+    return stars.join(first, ["image_ord", "star"], "left").withColumn("conflicts", F.when(F.col("_b").isNotNull(), F.concat(F.lit("BODY: "), F.col("_b.body"))).otherwise("")).drop("_b")
+
+
+def refinement_marks(stars: DataFrame, n_v: int, n_u: int) -> DataFrame:
+    """Conflicts of stars (u, v, du, dv, psf, opt_u, opt_v, conflicts) after the search for their positions:
+    'REFINEMENT EDGE' if the moved star lies within its PSF size of a border, 'REFINEMENT FAILED' if nothing was found,
+    and diff_u, diff_v of the others. Stars with a conflict keep it."""
+    u, v = F.col("u") + F.col("du"), F.col("v") + F.col("dv")
+    edge = (u < F.col("psf")) | (u > n_u - F.col("psf")) | (v < F.col("psf")) | (v > n_v - F.col("psf"))
+    free = F.coalesce("conflicts", F.lit("")) == ""
+    s = stars.withColumn("conflicts", F.when(~free, F.col("conflicts")).when(edge, "REFINEMENT EDGE").when(F.col("opt_u").isNull() | F.col("opt_v").isNull(), "REFINEMENT FAILED").otherwise(""))
+    clear = F.col("conflicts") == ""
+    return s.withColumn("diff_u", F.when(clear, F.col("opt_u") - u)).withColumn("diff_v", F.when(clear, F.col("opt_v") - v))
+
+
+def twist_accepted(stars: DataFrame, n_v: int, n_u: int, *, clip: float, peak_factor: float, most: float = 1.5) -> DataFrame:
+    """Measured stars (u, v, psf, opt_u, opt_v, peak, background) inside the image, not clipped, moved by at most
+    ``most`` pixels either way and bright enough, with diff_u and diff_v."""
+    def inside(x: str, n: int, margin) -> Column:
+        return (F.col(x) >= margin) & (F.col(x) <= n - margin)
+
+    s = stars.withColumn("diff_u", F.col("opt_u") - F.col("u")).withColumn("diff_v", F.col("opt_v") - F.col("v"))
+    ok = inside("u", n_u, F.col("psf")) & inside("v", n_v, F.col("psf")) & inside("opt_u", n_u, clip) & inside("opt_v", n_v, clip)
+    return s.filter(ok & (F.abs("diff_u") <= most) & (F.abs("diff_v") <= most) & (F.col("peak") >= F.col("background") * peak_factor))

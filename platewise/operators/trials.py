@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.functions.formats import offset_text
 
 
-def task_grid(spark: SparkSession, template: str, u: tuple[float, float, float], v: tuple[float, float, float]) -> DataFrame:
-    """Tasks of a sweep over u and v (least, most, stride), with the id and JSON of each."""
+def task_grid(spark: SparkSession, template: str | DataFrame, u: tuple[float, float, float], v: tuple[float, float, float]) -> DataFrame:
+    """Tasks of a sweep over u and v (least, most, stride) for a template or a column of templates, with the id
+    and JSON of each. The grid is a list of numbers and goes to every template."""
     def axis(name: str, least: float, most: float, stride: float) -> DataFrame:
         n = int((most - least) / stride + 1e-9) + 1
         return spark.range(n).select((F.lit(least) + F.col("id") * F.lit(stride)).alias(name))
 
     g = axis("u", *u).crossJoin(F.broadcast(axis("v", *v)))
-    g = g.withColumn("task_id", F.concat_ws("_", F.lit(template), offset_text(F.col("u")), offset_text(F.col("v"))))
-    return g.withColumn("task", F.to_json(F.struct("task_id", F.struct(F.lit(template).alias("template"), "u", "v").alias("data"))))
+    g = g.withColumn("template", F.lit(template)) if isinstance(template, str) else template.select("template").crossJoin(F.broadcast(g))
+    g = g.withColumn("task_id", F.concat_ws("_", "template", offset_text(F.col("u")), offset_text(F.col("v"))))
+    return g.withColumn("task", F.to_json(F.struct("task_id", F.struct("template", "u", "v").alias("data"))))
 
 
 def percentile_clipped(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
@@ -39,8 +42,42 @@ def narrowed(errors: DataFrame, keys: list[str], step: float) -> DataFrame:
 
 
 def corpus_summary(df: DataFrame, corner: float) -> DataFrame:
-    """Mean, std (population), median, least and largest twist, and the same of sin(twist) times the corner distance."""
-    out = []
+    """Mean, std (population), median, least and largest twist, and the same of sin(twist) times the corner distance.
+
+    The median is exact and weighs every value with its count, so that what one task orders are the counts of ranges of
+    values: 4,096 of them between the extremes, and the values of the two ranges that hold the middle.
+    """
+    out, medians = [], None
     for name, x in (("twist", F.col("twist")), ("rotation", F.sin("twist") * corner)):
-        out += [f(x).alias(f"{name}_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("median", lambda c: F.percentile(c, F.lit(0.5))), ("min", F.min), ("max", F.max))]
-    return df.agg(*out)
+        out += [f(x).alias(f"{name}_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+        m = exact_median(df.select(x.alias("x")), "x").select(F.col("median").alias(f"{name}_median"))
+        medians = m if medians is None else medians.crossJoin(m)
+    found = df.agg(*out).crossJoin(medians)
+    return found.select(*(f"{name}_{n}" for name in ("twist", "rotation") for n in ("mean", "std", "median", "min", "max")))
+
+
+def exact_median(df: DataFrame, value: str, cells: int = 4096) -> DataFrame:
+    """One row with the median of a column over the whole table, nulls aside, by counts in equal cells between its
+    extremes and then by the counted values of the cells that hold the middle; null for an empty column."""
+    x = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    at = x.crossJoin(F.broadcast(ends)).withColumn("cell", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(cells - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells))).otherwise(0))
+    upto = W.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    counted = at.groupBy("cell", "n").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(upto) - F.col("c"))
+    middle = counted.filter((F.col("before") <= high) & (F.col("before") + F.col("c") > low)).select("cell", "before")
+    values = at.join(F.broadcast(middle), "cell").groupBy("cell", "before", "n", "x").agg(F.count("*").alias("c"))
+    inside = W.partitionBy("cell").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+    values = values.withColumn("upto", F.col("before") + F.sum("c").over(inside)).withColumn("from", F.col("upto") - F.col("c"))
+    pick = lambda k: F.max(F.when((F.col("from") <= k) & (F.col("upto") > k), F.col("x")))
+    return values.agg(((pick(low) + pick(high)) / 2).alias("median"))
+
+
+def median_adjusted(first: DataFrame, second: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Per trial the offset (dv, du) less the median differences (diff_v, diff_u) of its first measurement, and mean
+    differences of the second one, which was taken at that offset; trials with fewer than ``least`` stars in either are
+    dropped. Both are rows per star; offsets stand in the first."""
+    med = first.groupBy(*keys).agg(F.count("*").alias("n_first"), F.first("dv").alias("dv"), F.first("du").alias("du"), *(F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in ("diff_v", "diff_u")))
+    med = med.filter(F.col("n_first") >= least).select(*keys, "n_first", (F.col("dv") - F.col("_diff_v")).alias("dv"), (F.col("du") - F.col("_diff_u")).alias("du"))
+    again = second.groupBy(*keys).agg(F.count("*").alias("n_second"), F.avg("diff_v").alias("mean_v"), F.avg("diff_u").alias("mean_u")).filter(F.col("n_second") >= least)
+    return med.join(again, keys)

@@ -55,10 +55,10 @@ def p38_p39_p41_boxes(spark, sf_dir):
     return b.filter(P.overlaps(u0, u1, zero, last, (zero, last, zero, last))).select("image_ord", "body_ord", lo.alias("u_lo"), hi.alias("u_hi"), slo.cast("double").alias("slop_lo"), shi.cast("double").alias("slop_hi"))
 
 
-@query(_PX + " SELECT s.image_ord, s.body_ord, round(s.hi, 6) AS hi, b.distance FROM (SELECT image_ord, body_ord, max(value) AS hi FROM pixels WHERE valid GROUP BY ALL) s LEFT JOIN (SELECT * FROM bd WHERE body_ord % 2 = 0) b USING (image_ord, body_ord)")
+@query(with_("pixels", "inventory") + " SELECT s.image_ord, s.body_ord, round(s.hi, 6) AS hi, center_u, center_v FROM (SELECT image_ord, body_ord, max(value) AS hi FROM pixels WHERE valid GROUP BY ALL) s LEFT JOIN inventory USING (image_ord, body_ord)")
 def j14_inventory(spark, sf_dir):
     stats = fixture(spark, sf_dir, "pixels").filter("valid").groupBy("image_ord", "body_ord").agg(F.round(F.max("value"), 6).alias("hi"))
-    return L.with_inventory(stats, _bodies(spark, sf_dir).filter("body_ord % 2 = 0").select("image_ord", "body_ord", "distance"))
+    return L.with_inventory(stats, fixture(spark, sf_dir, "inventory").select("image_ord", "body_ord", "center_u", "center_v"))
 
 
 @query(_PX + " SELECT image_ord, body_ord, round(greatest(coalesce(max(value) FILTER (valid), 0.0), 1e-12), 9) AS scale FROM pixels GROUP BY ALL")
@@ -67,10 +67,22 @@ def a32_peak_scales(spark, sf_dir):
 
 
 @query(_PX + """, sc AS (SELECT image_ord, body_ord, greatest(coalesce(max(value) FILTER (valid), 0.0), 1e-12) AS scale FROM pixels GROUP BY ALL), cf AS (SELECT image_ord, body_ord, 1.0 / (1 + distance) AS confidence FROM bd), tt AS (SELECT image_ord, sum(confidence) AS total FROM cf GROUP BY 1)
-  SELECT image_ord, v, u, round(sum(CASE WHEN valid THEN value / scale * confidence ELSE 0 END) / any_value(total), 6) AS value FROM pixels JOIN sc USING (image_ord, body_ord) JOIN cf USING (image_ord, body_ord) JOIN tt USING (image_ord) GROUP BY ALL""")
+  SELECT image_ord, body_ord, v, u, round(CASE WHEN valid THEN value / scale * confidence / total ELSE 0 END, 6) AS value, round(CASE WHEN valid THEN confidence / total ELSE 0 END, 6) AS weighted_mask FROM pixels JOIN sc USING (image_ord, body_ord) JOIN cf USING (image_ord, body_ord) JOIN tt USING (image_ord)""")
 def w04_composite(spark, sf_dir):
-    c = L.composite(fixture(spark, sf_dir, "pixels"), _bodies(spark, sf_dir).select("image_ord", "body_ord", (1.0 / (1 + F.col("distance"))).alias("confidence")))
-    return c.select("image_ord", "v", "u", F.round("value", 6).alias("value"))
+    c = L.composite(fixture(spark, sf_dir, "pixels"), _confidences(spark, sf_dir))
+    return c.select("image_ord", "body_ord", "v", "u", F.round("value", 6).alias("value"), F.round("weighted_mask", 6).alias("weighted_mask"))
+
+
+def _confidences(spark, sf_dir):
+    return _bodies(spark, sf_dir).select("image_ord", "body_ord", (1.0 / (1 + F.col("distance"))).alias("confidence"))
+
+
+@query(_PX + """, sc AS (SELECT image_ord, body_ord, greatest(coalesce(max(value) FILTER (valid), 0.0), 1e-12) AS scale FROM pixels GROUP BY ALL), cf AS (SELECT image_ord, body_ord, 1.0 / (1 + distance) AS confidence FROM bd), tt AS (SELECT image_ord, sum(confidence) AS total FROM cf GROUP BY 1),
+  fr AS (SELECT p.*, confidence / total AS w, value / scale AS x FROM pixels p JOIN sc USING (image_ord, body_ord) JOIN cf USING (image_ord, body_ord) JOIN tt USING (image_ord) QUALIFY row_number() OVER (PARTITION BY image_ord, v, u ORDER BY CASE WHEN valid THEN distance ELSE 'inf'::DOUBLE END, body_ord) = 1)
+  SELECT image_ord, v, u, body_ord AS front, round(CASE WHEN valid THEN x * w ELSE 0 END, 6) AS value, valid, round(CASE WHEN valid THEN w ELSE 0 END, 6) AS weighted_mask FROM fr""")
+def w03_front_model(spark, sf_dir):
+    f = L.front_model(fixture(spark, sf_dir, "pixels"), _confidences(spark, sf_dir))
+    return f.select("image_ord", "v", "u", "front", F.round("value", 6).alias("value"), "valid", F.round("weighted_mask", 6).alias("weighted_mask"))
 
 
 @query(with_("navigation") + " SELECT image_ord FROM navigation WHERE abs(value) % 50 < 9 AND abs(image_ord % 30 - 15) < 9")

@@ -40,6 +40,13 @@ SELECT event_id AS image_ord, concat('v', user_id % 20, '/i', event_id) AS resul
   concat('t', event_id % 3, '_', CAST(user_id % 5 - 2 AS STRING), '.5_', CAST(event_id % 5 - 2 AS STRING), '.25') AS file_stub,
   CAST(value AS DOUBLE) AS value
 FROM {events}""",
+    # Metadata of the plane pass, for some of the images; ring pixels; what an inventory knows of some bodies.
+    "backplanes": """
+SELECT o_custkey AS image_ord, CAST(count(*) AS BIGINT) AS n_planes, max(o_orderstatus) AS kind FROM {orders} GROUP BY o_custkey""",
+    "ring_pixels": """
+SELECT l_orderkey % 50 AS image_ord, CAST(l_linenumber AS BIGINT) AS ring, l_partkey % 8 AS v, l_suppkey % 8 AS u, CAST(l_quantity AS DOUBLE) AS value, l_returnflag <> 'R' AS valid, CAST(l_quantity AS DOUBLE) * 2.0 AS distance, 'RADIUS' AS plane FROM {lineitem}""",
+    "inventory": """
+SELECT s_suppkey % 50 AS image_ord, s_suppkey // 50 AS body_ord, s_nationkey * 3 AS center_u, s_nationkey * 5 AS center_v, s_suppkey * 11 AS range, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_nationkey + 1 END AS u_pixel_size, s_nationkey + 2 AS v_pixel_size FROM {supplier}""",
     # Catalogues of three ranks on one sphere; jitter makes duplicates between them.
     "stars": """
 SELECT 0 AS catalog_rank, 'a' AS catalog, c_custkey AS unique_number, CAST(NULL AS STRING) AS name, CAST((c_custkey * 7919) % 360000 AS DOUBLE) / 1000.0 AS ra, CAST((c_custkey * 104729) % 120000 AS DOUBLE) / 1000.0 - 60.0 AS dec,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "fields", "images", "results", "sky")
+MODULES = ("catalog", "fields", "images", "observations", "records", "results", "sky")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -73,16 +73,17 @@ def p37_glob_selection(spark, sf_dir):
     return R.matching(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_type", ["*BRASS", "Small*"]).select("p_partkey")
 
 
-@query(_NAV + " SELECT n.results_path_stub, n.status, m.value FROM navigation n JOIN navigation m ON n.results_path_stub = m.results_path_stub AND m.image_ord % 3 <> 0 WHERE n.image_ord % 2 = 0")
+_BACK = with_("navigation", "backplanes")
+
+
+@query(_BACK + " SELECT image_ord, status, n_planes FROM navigation JOIN backplanes USING (image_ord)")
 def j12_metadata_join(spark, sf_dir):
-    nav = _nav(spark, sf_dir)
-    return R.with_results(nav.filter("image_ord % 2 = 0").select("results_path_stub", "status"), nav.filter("image_ord % 3 <> 0").select("results_path_stub", "value"))[0]
+    return R.with_results(_nav(spark, sf_dir).select("image_ord", "status"), fixture(spark, sf_dir, "backplanes").select("image_ord", "n_planes"), "image_ord")[0]
 
 
-@query(_NAV + " SELECT results_path_stub FROM navigation WHERE image_ord % 2 = 0 AND image_ord % 3 = 0")
+@query(_BACK + " SELECT image_ord, results_path_stub FROM navigation WHERE image_ord NOT IN (SELECT image_ord FROM backplanes)")
 def j13_u04_missing_results(spark, sf_dir):
-    nav = _nav(spark, sf_dir)
-    return R.with_results(nav.filter("image_ord % 2 = 0").select("results_path_stub"), nav.filter("image_ord % 3 <> 0").select("results_path_stub"))[1]
+    return R.with_results(_nav(spark, sf_dir).select("image_ord", "results_path_stub"), fixture(spark, sf_dir, "backplanes"), "image_ord")[1]
 
 
 @query(_NAV + " SELECT status, count(*) AS images FROM navigation GROUP BY 1")
@@ -125,8 +126,10 @@ _GATED = with_("pixels", "navigation") + ", px AS (SELECT *, 'LONGITUDE' AS plan
   SELECT image_ord, body_ord, round(max(lo) FILTER (plane = 'LONGITUDE'), 9) AS longitude_min, round(max(hi) FILTER (plane = 'LONGITUDE'), 9) AS longitude_max, round(max(lo) FILTER (plane = 'RADIUS'), 9) AS radius_min, round(max(hi) FILTER (plane = 'RADIUS'), 9) AS radius_max FROM st GROUP BY ALL""")
 def plane_statistics(spark, sf_dir):
     good = R.successful(_nav(spark, sf_dir))[0].select("image_ord")
-    front = P.nearest(_px(spark, sf_dir).join(good, "image_ord", "left_semi"))
-    front = front.withColumn("units", F.when(F.col("plane") == "LONGITUDE", "rad").otherwise("km")).withColumn("valid", F.lit(True))
+    # The planes of a body share mask and distance, so the nearest source is found once a pixel.
+    front = P.nearest(fixture(spark, sf_dir, "pixels").withColumn("plane", F.lit("all")).join(good, "image_ord", "left_semi"))
+    each = F.explode(F.array(F.struct(F.lit("LONGITUDE").alias("plane"), F.lit("rad").alias("units"), F.col("value")), F.struct(F.lit("RADIUS").alias("plane"), F.lit("km").alias("units"), (F.col("value") * 10).alias("value"))))
+    front = front.withColumn("_p", each).select("image_ord", "body_ord", "_p.*", F.lit(True).alias("valid"))
     rows = P.index_rows(P.statistics(front), PLANES)
     return rows.select("image_ord", "body_ord", *(F.round(f"{p}_{c}", 9).alias(f"{p.lower()}_{c}") for p in PLANES for c in ("min", "max")))
 
@@ -141,16 +144,17 @@ def w02_u02_nearest_source(spark, sf_dir):
     return P.nearest(_px(spark, sf_dir)).select("image_ord", "plane", "v", "u", "body_ord", F.round("value", 9).alias("value"))
 
 
-@query(_PIX + ", b AS (SELECT image_ord, v, u, min(distance) AS f FROM pixels WHERE valid AND body_ord % 2 = 0 GROUP BY ALL) SELECT image_ord, body_ord, count(*) AS n FROM pixels p LEFT JOIN b USING (image_ord, v, u) WHERE body_ord % 2 = 1 AND (f IS NULL OR f >= distance) GROUP BY ALL")
+_RINGS = with_("pixels", "ring_pixels")
+
+
+@query(_RINGS + ", b AS (SELECT image_ord, v, u, min(distance) AS f FROM pixels WHERE valid GROUP BY ALL) SELECT image_ord, ring, count(*) AS n FROM ring_pixels LEFT JOIN b USING (image_ord, v, u) WHERE f IS NULL OR f >= distance GROUP BY ALL")
 def j15_occlusion(spark, sf_dir):
-    p = fixture(spark, sf_dir, "pixels")
-    return P.unoccluded(p.filter("body_ord % 2 = 1"), p.filter("body_ord % 2 = 0")).groupBy("image_ord", "body_ord").agg(F.count("*").alias("n"))
+    return P.unoccluded(fixture(spark, sf_dir, "ring_pixels"), fixture(spark, sf_dir, "pixels")).groupBy("image_ord", "ring").agg(F.count("*").alias("n"))
 
 
-@query(_PIX + " SELECT DISTINCT a.image_ord, a.plane FROM px a JOIN px b ON a.image_ord = b.image_ord AND a.plane = b.plane WHERE a.body_ord = 0 AND b.body_ord = 1")
+@query(_RINGS + ", px AS (SELECT *, 'LONGITUDE' AS plane FROM pixels UNION ALL SELECT *, 'RADIUS' FROM pixels) SELECT DISTINCT a.image_ord, a.plane FROM px a JOIN ring_pixels b ON a.image_ord = b.image_ord AND a.plane = b.plane")
 def j16_collisions(spark, sf_dir):
-    p = _px(spark, sf_dir)
-    return P.collisions(p.filter("body_ord = 0"), p.filter("body_ord = 1"))
+    return P.collisions(_px(spark, sf_dir), fixture(spark, sf_dir, "ring_pixels"))
 
 
 @query(_PIX + " SELECT image_ord, body_ord, count(*) AS pixels FROM (SELECT image_ord, body_ord, v, u, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS k, count(*) AS n FROM (SELECT *, valid AND (plane = 'RADIUS' OR v < 6) AS ok FROM px) GROUP BY ALL) WHERE k > 0 AND k < n GROUP BY ALL")

@@ -52,7 +52,12 @@ def documents(spark: SparkSession, path: str, schema: str, glob: str = "*.json")
 
 
 def files_below(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """Path, length and MD5 of the files below a folder."""
+    """Path and length of the files below a folder; no content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
+
+
+def file_facts(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Path, length, MD5 and number of lines of the files below a folder."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     return df.select("path", "length", F.md5("content").alias("md5"), (F.size(F.split(F.decode("content", "utf-8"), "\n"))).alias("lines"))
 

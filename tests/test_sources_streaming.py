@@ -26,7 +26,7 @@ def test_documents_and_files(spark, tmp_path):
     (tmp_path / "d" / "e" / "b.json").write_text("{broken")
     good, bad = S.documents(spark, str(tmp_path), "status string, offset array<double>")
     assert [tuple(r)[:2] for r in good.collect()] == [("success", [1.5, 2.0])] and bad.first()["file"].endswith("b.json")
-    found = S.files_below(spark, str(tmp_path), "*.json").collect()
+    found = S.file_facts(spark, str(tmp_path), "*.json").collect()
     assert sorted(r["length"] for r in found) == [7, (tmp_path / "d" / "a.json").stat().st_size]
 
 
