@@ -27,6 +27,8 @@ TRAIN_ROWS = 20_000
 #: Letters that are scored at a time.
 LETTERS = 1 << 18
 SWITCH_PENALTY = 10.0
+#: Words of a text that are labelled one after the other; longer texts are labelled in stretches of so many.
+STRETCH = 4096
 #: Candidates of a script: languages with at least this share of their training letters in it.
 SCRIPT_SHARE = 0.01
 #: First and last code points of scripts; a letter outside them has script 0.
@@ -121,11 +123,19 @@ def word_scores(c: Chunk, m: Model) -> tuple[np.ndarray, ...]:
     return row[w], start - offsets[row[w]], at[ends - 1] + 1 - offsets[row[w]], ends - w, s, (ends - w) * ok.any(1)
 
 
-def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
+def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, stretch: int = STRETCH) -> np.ndarray:
     """Best labels of sequences that lie one after the other, counts[i] rows each; ties go to the first label.
 
-    All sequences advance together, the longest first, so that each step is one operation on those still running.
+    All sequences advance together, the longest first, so that each step is one operation on those still running. A
+    sequence of more than ``stretch`` rows is labelled by itself, its stretches advancing together.
     """
+    if (counts > stretch).any():
+        path, long, end = np.zeros(len(scores), np.int32), counts > stretch, np.cumsum(counts)
+        for e, c in zip(end[long], counts[long]):
+            path[e - c : e] = _in_stretches(scores[e - c : e], penalty, stretch)
+        rest = np.repeat(~long, counts)
+        path[rest] = viterbi(scores[rest], counts[~long], penalty, stretch)
+        return path
     n, k = scores.shape
     order = np.argsort(-counts, kind="stable")
     begin = (np.cumsum(counts) - counts)[order]
@@ -158,6 +168,43 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return path
 
 
+def _in_stretches(scores: np.ndarray, penalty: float, size: int) -> np.ndarray:
+    """Best labels of one long sequence. Every stretch is run for all labels that may come before it; the best way through
+    the stretches fixes those, and a second run fills in the labels."""
+    n, k = scores.shape
+    m = -(-n // size)
+    s = np.zeros((m * size, k))  # rows beyond the end score nothing, so the last label stays
+    s[:n] = scores
+    s = s.reshape(m, size, k)
+    v = np.where(np.eye(k, dtype=bool), 0.0, -penalty)[None] + s[:, 0][:, None]
+    v[0] = s[0, 0]
+    for t in range(1, size):
+        v = np.maximum(v, v.max(2, keepdims=True) - penalty) + s[:, t][:, None]
+    best, came = v[0, 0], np.zeros((m, k), np.int64)
+    for j in range(1, m):
+        way = best[:, None] + v[j]
+        came[j] = way.argmax(0)
+        best = way.max(0)
+    last = np.zeros(m, np.int64)
+    last[-1] = best.argmax()
+    for j in range(m - 1, 0, -1):
+        last[j - 1] = came[j, last[j]]
+    x = s[:, 0].copy()
+    x[1:] += np.where(np.arange(k)[None] == last[:-1, None], 0.0, -penalty)
+    stay, top = np.zeros((size, m, k), bool), np.zeros((size, m), np.int32)
+    for t in range(1, size):
+        top[t] = x.argmax(1)
+        jump = x.max(1, keepdims=True) - penalty
+        stay[t] = x >= jump
+        x = np.maximum(x, jump) + s[:, t]
+    path, now, row = np.zeros((m, size), np.int32), last.copy(), np.arange(m)
+    for t in range(size - 1, -1, -1):
+        path[:, t] = now
+        if t:
+            now = np.where(stay[t, row, now], now, top[t])
+    return path.ravel()[:n]
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
 
 
