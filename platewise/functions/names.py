@@ -49,6 +49,14 @@ SHAPES = {
 }
 
 
+def register(profile: InstrumentProfile, form: str, of_interest: str = "") -> None:
+    """One more archive: its profile, the pattern of its file specifications, whose group is the image name, and what
+    files of interest end with. Selection, naming and numbering then work for rows of that instrument."""
+    if profile.name in PROFILES and PROFILES[profile.name] != profile:
+        raise ValueError(f"archive {profile.name!r} is known already")
+    PROFILES[profile.name], SHAPES[profile.name] = profile, (form, of_interest)
+
+
 def by_instrument(instrument: Column, f) -> Column:
     out = F.lit(None)
     for p in PROFILES.values():

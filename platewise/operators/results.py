@@ -104,7 +104,9 @@ def last_result(results: DataFrame) -> DataFrame:
 
 def error_grid(results: DataFrame) -> DataFrame:
     """Found minus original at every cell of all u and v of a template; null where nothing was found."""
-    axes = results.select("template", "u").distinct().join(results.select("template", "v").distinct(), "template")
+    # The axes of a template are short lists, gathered in one pass over the results.
+    axes = results.groupBy("template").agg(F.collect_set("u").alias("us"), F.collect_set("v").alias("vs"))
+    axes = axes.select("template", F.explode("us").alias("u"), "vs").select("template", "u", F.explode("vs").alias("v"))
     return axes.join(results, ["template", "u", "v"], "left").select("template", "u", "v", (F.col("du") - F.col("u")).alias("error_u"), (F.col("dv") - F.col("v")).alias("error_v"))
 
 

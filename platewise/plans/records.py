@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from platewise.functions import names as N
 from platewise.operators import catalog as C
 from platewise.operators import correlate as K
 from platewise.operators import fields as L
@@ -15,6 +16,7 @@ from platewise.plans.catalog import _NAMED, _entries
 from platewise.plans.fixtures import fixture, table, with_
 from platewise.plans.images import _FAR, _I, _NEAR, _PK, _S, _images, _quality_sql, _surface
 from platewise.plans.results import _BACK, _NAV, _PIX, _STATS, _nav, _px
+from platewise.session import scratch
 from platewise.sources import files as S
 from platewise.streaming import tasks as Q
 
@@ -298,3 +300,57 @@ def w11_minus_median_circle(spark, sf_dir):
   SELECT image_ord, v, u, CAST(least(255, floor(greatest(0.0, least(1.0, (value - b) / (CASE WHEN w = b THEN b + 0.01 ELSE w END - b))) * 256)) AS BIGINT) AS level FROM im JOIN q USING (image_ord, valid)""")
 def a29_stretched_regions(spark, sf_dir):
     return P.stretched(_images(spark, sf_dir), 0.1, 0.9, regions=("valid",)).select("image_ord", "v", "u", "level")
+
+
+_PLUGGED = N.InstrumentProfile("lineup", r"\.TAB$", (".TAB", ".LBL"), (".LBL", ".DAT"), r"^L\d{8}$", (2, 8), ("LINE_", 0, "xxx"))
+
+
+@query("SELECT o_orderkey AS row_ord, CASE WHEN o_orderkey % 5 <> 0 THEN concat('L', lpad(CAST(o_orderkey AS VARCHAR), 8, '0')) END AS img_name, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS img_num, concat('LINE_xxx/V', o_custkey % 9) AS volume_path, concat('run/', CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE 'L' END, lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), '.DAT') AS image, CASE WHEN o_orderkey % 5 = 0 THEN 'error' ELSE 'ok' END AS outcome FROM orders")
+def x01_plugged_archive(spark, sf_dir):
+    N.register(_PLUGGED, r"^run/(.*)\.TAB$")
+    k = F.col("o_orderkey")
+    spec = F.concat(F.lit("run/"), F.when(k % 5 == 0, "X").otherwise("L"), F.lpad(k.cast("string"), 8, "0"), F.lit(".TAB"))
+    index = table(spark, sf_dir, "orders").select(k.alias("row_ord"), F.lit("lineup").alias("instrument"), F.concat(F.lit("V"), F.col("o_custkey") % 9).alias("volume"), spec.alias("filespec"))
+    return C.entries(index).select("row_ord", "img_name", "img_num", N.volume_path(F.col("instrument"), F.col("volume")).alias("volume_path"), "image", "outcome")
+
+
+# Files are written from the tables first, then read by the source.
+
+
+@query("SELECT concat('data/s', s_suppkey, '.IMG') AS filespec FROM supplier UNION ALL SELECT concat('data/n', n_nationkey, '.IMG') FROM nation")
+def s02_spec_list(spark, sf_dir):
+    at = scratch(spark)
+    table(spark, sf_dir, "supplier").select("s_name", F.concat(F.lit("data/s"), "s_suppkey", F.lit(".IMG")).alias("primaryfilespec")).write.csv(f"{at}/a", header=True)
+    table(spark, sf_dir, "nation").select(F.concat(F.lit("data/n"), "n_nationkey", F.lit(".IMG")).alias("Primary File Spec"), "n_name").write.csv(f"{at}/b", header=True)
+    return S.spec_list(spark, [f"{at}/a", f"{at}/b"])
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN concat('x', c_custkey) ELSE concat('N', c_custkey) END AS name, c_custkey % 3 <> 0 AS valid FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0")
+def s03_name_list(spark, sf_dir):
+    at, k = scratch(spark), F.col("c_custkey")
+    line = F.when(k % 5 == 0, F.concat(F.lit("# N"), k)).when(k % 7 == 0, "").otherwise(F.concat(F.when(k % 3 == 0, "  x").otherwise("N"), k, F.lit(" note")))
+    table(spark, sf_dir, "customer").select(line.alias("value")).write.text(at)
+    good, bad = S.name_list(spark, at, F.col("name").startswith("N"))
+    return good.withColumn("valid", F.lit(True)).unionByName(bad.select(F.element_at(F.split("line", " "), 1).alias("name"), F.lit(False).alias("valid")))
+
+
+def _document_files(spark, sf_dir):
+    """One JSON document per supplier, some of them broken."""
+    at, k = scratch(spark), F.col("s_suppkey")
+    text = F.when(k % 9 == 0, "{broken").otherwise(F.to_json(F.struct(k.alias("image_ord"), F.when(k % 2 == 0, "success").otherwise("error").alias("status"))))
+    table(spark, sf_dir, "supplier").select(k.alias("id"), text.alias("value")).repartition("id").write.partitionBy("id").text(at)
+    return at
+
+
+@query("SELECT s_suppkey AS image_ord, CASE WHEN s_suppkey % 2 = 0 THEN 'success' ELSE 'error' END AS status, true AS sound FROM supplier WHERE s_suppkey % 9 <> 0 UNION ALL SELECT s_suppkey, NULL, false FROM supplier WHERE s_suppkey % 9 = 0")
+def s04_s05_s06_documents(spark, sf_dir):
+    good, bad = S.documents(spark, _document_files(spark, sf_dir), "image_ord long, status string", "*.txt")
+    number = F.regexp_extract("file", r"id=(\d+)", 1).cast("long")
+    return good.select("image_ord", "status", F.lit(True).alias("sound")).unionByName(bad.select(number.alias("image_ord"), F.lit(None).cast("string").alias("status"), F.lit(False).alias("sound")))
+
+
+@query("""SELECT image_ord, CAST(length(t) AS BIGINT) AS length, md5(t) AS md5, 2 AS lines FROM (SELECT s_suppkey AS image_ord, concat(CASE WHEN s_suppkey % 9 = 0 THEN '{broken' ELSE concat('{"image_ord":', s_suppkey, ',"status":"', CASE WHEN s_suppkey % 2 = 0 THEN 'success' ELSE 'error' END, '"}') END, chr(10)) AS t FROM supplier)""")
+def s07_s20_file_facts(spark, sf_dir):
+    at = _document_files(spark, sf_dir)
+    found = S.files_below(spark, at, "*.txt").join(S.file_facts(spark, at, "*.txt").drop("length"), "path")
+    return found.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("image_ord"), "length", "md5", "lines")

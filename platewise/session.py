@@ -1,8 +1,9 @@
-"""Makes this package importable in Python tasks."""
+"""What a session needs: this package in Python tasks, and a folder that all machines share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, for files that a job writes and reads again. Where the session names none, a
+    local master, which has one machine only, takes a temporary one; on a cluster that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    return f"{path}/{uuid.uuid4().hex}"
