@@ -27,8 +27,8 @@ TRAIN_ROWS = 20_000
 #: Letters that are scored at a time.
 LETTERS = 1 << 18
 SWITCH_PENALTY = 10.0
-#: Words of a text that are labelled one after the other; longer texts are labelled in stretches of so many.
-STRETCH = 4096
+#: A text of more than so many words is labelled by itself, in stretches of STRETCH words.
+LONG_TEXT, STRETCH = 1 << 17, 4096
 #: Candidates of a script: languages with at least this share of their training letters in it.
 SCRIPT_SHARE = 0.01
 #: First and last code points of scripts; a letter outside them has script 0.
@@ -123,18 +123,18 @@ def word_scores(c: Chunk, m: Model) -> tuple[np.ndarray, ...]:
     return row[w], start - offsets[row[w]], at[ends - 1] + 1 - offsets[row[w]], ends - w, s, (ends - w) * ok.any(1)
 
 
-def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, stretch: int = STRETCH) -> np.ndarray:
+def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, long_text: int = LONG_TEXT, stretch: int = STRETCH) -> np.ndarray:
     """Best labels of sequences that lie one after the other, counts[i] rows each; ties go to the first label.
 
     All sequences advance together, the longest first, so that each step is one operation on those still running. A
-    sequence of more than ``stretch`` rows is labelled by itself, its stretches advancing together.
+    sequence of more than ``long_text`` rows is labelled by itself, its stretches advancing together.
     """
-    if (counts > stretch).any():
-        path, long, end = np.zeros(len(scores), np.int32), counts > stretch, np.cumsum(counts)
+    if (counts > long_text).any():
+        path, long, end = np.zeros(len(scores), np.int32), counts > long_text, np.cumsum(counts)
         for e, c in zip(end[long], counts[long]):
             path[e - c : e] = _in_stretches(scores[e - c : e], penalty, stretch)
         rest = np.repeat(~long, counts)
-        path[rest] = viterbi(scores[rest], counts[~long], penalty, stretch)
+        path[rest] = viterbi(scores[rest], counts[~long], penalty, long_text, stretch)
         return path
     n, k = scores.shape
     order = np.argsort(-counts, kind="stable")

@@ -25,7 +25,7 @@ def test_viterbi_is_the_plain_one():
     counts = np.array([1, 40, 7, 300, 2, 41])
     scores = -rng.integers(0, 12, (int(counts.sum()), 4)).astype(np.float32)
     for stretch in (4096, 40, 8):
-        got, at = viterbi(scores, counts, 10.0, stretch), 0
+        got, at = viterbi(scores, counts, 10.0, stretch, stretch), 0
         for n in counts:
             want = plain_viterbi(scores[at : at + n].astype(np.float64), 10.0)
             total = lambda p: sum(scores[at + t, x] for t, x in enumerate(p)) - 10.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: E731, B023
