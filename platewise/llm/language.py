@@ -24,8 +24,8 @@ from platewise.llm.arrays import Chunk, chunks, column, ranges
 CELLS = 1 << 17
 #: At most about so many labelled rows are learned from, as many of every language; they are picked by a hash of their id.
 TRAIN_ROWS = 20_000
-#: Letters that are scored at a time.
-LETTERS = 1 << 18
+#: Letters that are scored at a time, and bytes of texts that are labelled together.
+LETTERS, GROUP_BYTES = 1 << 16, 2 << 20
 SWITCH_PENALTY = 10.0
 #: A text of more than so many words is labelled by itself, in stretches of STRETCH words.
 LONG_TEXT, STRETCH = 1 << 17, 4096
@@ -222,36 +222,37 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("spans", SPANS)
     langs = model.languages
 
-    def group(parts: list[tuple[Chunk, tuple]]) -> tuple[np.ndarray, ...]:
+    def group(parts: list[tuple[Chunk, tuple]], share: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Labels whole texts, adds their letters to share and total, and gives row, start, end and label of their spans."""
         rows = np.concatenate([r + c.lo for c, (r, *_) in parts])
         start, end, size, known = (np.concatenate([p[k] for _, p in parts]) for k in (1, 2, 3, 5))
-        scores = np.concatenate([p[4] for _, p in parts])
+        if not len(rows):
+            return rows, start, end, rows
         cut = np.flatnonzero(np.diff(rows, prepend=-1))
-        path = viterbi(scores, np.diff(np.append(cut, len(rows))), switch_penalty) if len(rows) else np.zeros(0, np.int32)
-        return rows, start, end, size, path, known
+        path = viterbi(np.concatenate([p[4] for _, p in parts]), np.diff(np.append(cut, len(rows))), switch_penalty)
+        np.add.at(share, (rows, path), known)
+        total += np.bincount(rows, weights=size, minlength=len(total))
+        cut = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(path, prepend=-1) != 0))
+        return rows[cut], start[cut], end[np.append(cut[1:], len(rows)) - 1], path[cut]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, found, parts, held = batch.num_rows, [], [], 0
+            n, found, parts, held = batch.num_rows, [(np.zeros(0, np.int64),) * 4], [], 0
+            share, total = np.zeros((n, max(1, len(langs)))), np.zeros(n)
             for c in chunks(column(batch, text)):
                 parts.append((c, word_scores(c, model)))
                 held += len(c.data)
-                if held > 8 << 20:
-                    found.append(group(parts))
+                if held > GROUP_BYTES:
+                    found.append(group(parts, share, total))
                     parts, held = [], 0
             if parts:
-                found.append(group(parts))
-            rows, start, end, size, path, known = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(6))
-            share = np.zeros((n, max(1, len(langs))))
-            np.add.at(share, (rows, path), known)
-            total = np.bincount(rows, weights=size, minlength=n)
+                found.append(group(parts, share, total))
+            rows, start, end, label = (np.concatenate([f[k] for f in found]) for k in range(4))
             best = share.argmax(1)
             pred = [langs[b] if t else UNKNOWN for b, t in zip(best, total)]
             score = np.where(total > 0, share.max(1) / np.maximum(total, 1), 0.0)
-            cut = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(path, prepend=-1) != 0)) if len(rows) else np.zeros(0, np.int64)
-            stop = np.append(cut[1:], len(rows)) - 1 if len(cut) else cut
-            spans = pa.StructArray.from_arrays([pa.array(start[cut], pa.int32()), pa.array(end[stop], pa.int32()), pa.array([langs[x] for x in path[cut]], pa.string())], ["start", "end", "lang"])
-            offsets = np.searchsorted(rows[cut], np.arange(n + 1)).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([langs[x] for x in label], pa.string())], ["start", "end", "lang"])
+            offsets = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(column(batch, x) for x in names), pa.array(pred, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], [*names, "lang_pred", "score", "spans"])
 
     return docs.select(*names, text).mapInArrow(run, schema) if text not in names else docs.select(*names).mapInArrow(run, schema)
