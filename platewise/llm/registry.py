@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "embeddings", "language", "licenses", "minhash", "mixture", "substrings", "surrogates", "tokens", "warc")
+MODULES = ("decontaminate", "embeddings", "language", "licenses", "minhash", "mixture", "negatives", "phrases", "substrings", "surrogates", "tokens", "warc", "windows")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
