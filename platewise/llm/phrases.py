@@ -187,45 +187,85 @@ def joined_words(words: Words, at: np.ndarray, n: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(0, ends - np.arange(1, len(at) + 1)).astype(np.int64)), pa.py_buffer(out))
 
 
-def exact_counts(texts: DataFrame, field: np.ndarray, longest: int, chunk: int) -> DataFrame:
-    """lang, phrase, n_words, f: occurrences of the phrases in the field, by chunk; a null phrase counts all words."""
+def exact_counts(texts: DataFrame, field: np.ndarray, longest: int, parts: int, chunk: int) -> DataFrame:
+    """lang, part, phrases (lengths and bytes), counts and words: occurrences of the phrases in the field, by chunk; words
+    are all words of the language, told once a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            lang = column(batch, "lang")
-            language = language_hashes(lang)
+            lang = column(batch, "lang").dictionary_encode()
+            code = lang.indices.to_numpy()
+            language = language_hashes(column(batch, "lang"))
             for c in chunks(column(batch, "text"), chunk):
                 words = Words(c)
-                all_ = np.bincount(words.row, minlength=c.rows)
-                columns = [[lang.slice(c.lo, c.rows)], [pa.nulls(c.rows, pa.large_string())], [np.zeros(c.rows, np.int64)], [all_]]
+                total = np.bincount(code[c.lo + words.row], minlength=len(lang.dictionary))
+                # Every language of the chunk has a row, in a part that differs from chunk to chunk.
+                told = np.unique(code[c.lo : c.hi])
+                key, phrases, counts = [told.astype(np.int64) * parts + total[told] % parts], [pa.array([""] * len(told), pa.large_string())], [np.zeros(len(told), np.int64)]
                 for n, at, h in phrase_hashes(words, language[c.lo : c.hi], tuple(range(1, longest + 1)), None, 0):
                     some = known(h, field)
                     at, h = at[some], h[some]
                     _, first, of = np.unique(h, return_index=True, return_inverse=True)
                     head = at[first][of]
-                    same = language[c.lo + words.row[at]] == language[c.lo + words.row[head]]
+                    same = code[c.lo + words.row[at]] == code[c.lo + words.row[head]]
                     for k in range(n):
-                        a, b = at + k, head + k
-                        same &= words.end[a] - words.start[a] == words.end[b] - words.start[b]
+                        x, y = at + k, head + k
+                        same &= words.end[x] - words.start[x] == words.end[y] - words.start[y]
                     for k in range(n):
                         s = np.flatnonzero(same)
-                        a, b = at[s] + k, head[s] + k
-                        same[s] = same_strings(words.low, words.start[a], words.start[b], words.end[a] - words.start[a])
+                        x, y = at[s] + k, head[s] + k
+                        same[s] = same_strings(words.low, words.start[x], words.start[y], words.end[x] - words.start[x])
                     # A phrase whose hash met that of another one counts for itself.
-                    shown, f = np.concatenate([at[first], at[~same]]), np.concatenate([np.bincount(of[same], minlength=len(first)), np.ones(int((~same).sum()), np.int64)])
-                    columns[0].append(lang.take(pa.array(c.lo + words.row[shown])))
-                    columns[1].append(joined_words(words, shown, n))
-                    columns[2].append(np.full(len(shown), n))
-                    columns[3].append(f)
-                arrays = [pa.concat_arrays([x.cast(pa.string()) for x in columns[0]]), pa.concat_arrays(columns[1]).cast(pa.string()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in columns[2:])]
-                yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "n_words", "f"])
+                    shown = np.concatenate([first, np.flatnonzero(~same)])
+                    key.append(code[c.lo + words.row[at[shown]]].astype(np.int64) * parts + ((h[shown] & U64(0xFFFFFFFF)) % U64(parts)).astype(np.int64))
+                    phrases.append(joined_words(words, at[shown], n))
+                    counts.append(np.concatenate([np.bincount(of[same], minlength=len(first)), np.ones(len(shown) - len(first), np.int64)]))
+                key, counts = np.concatenate(key), np.concatenate(counts)
+                order = np.argsort(key, kind="stable")
+                key, counts = key[order], counts[order].astype(np.uint32)
+                data, offsets, _ = text_buffers(pa.concat_arrays(phrases).take(pa.array(order)))
+                lengths = np.diff(offsets).astype(np.uint32)
+                head = np.flatnonzero(np.diff(key, prepend=-1))
+                spans = list(zip(head.tolist(), np.append(head[1:], len(key)).tolist()))
+                of, part = key[head] // parts, key[head] % parts
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        lang.dictionary.take(pa.array(of)),
+                        pa.array(part),
+                        pa.array([packer.compress(lengths[x:y].tobytes() + data[offsets[x] : offsets[y]].tobytes()) for x, y in spans], pa.binary()),
+                        pa.array([packer.compress(counts[x:y].tobytes()) for x, y in spans], pa.binary()),
+                        pa.array(np.where(total[of] % parts == part, total[of], 0)),
+                    ],
+                    ["lang", "part", "phrases", "counts", "words"],
+                )
+
+    return texts.mapInArrow(run, "lang string, part long, phrases binary, counts binary, words long")
+
 
-    return texts.mapInArrow(run, "lang string, phrase string, n_words long, f long")
+def summed(least: int):
+    """Over the packed counts of a language and part: phrases that occur ``least`` times, and the words, with no phrase."""
+
+    def run(t: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        phrases, counts = [], []
+        for a, b in zip(t["phrases"].to_pylist(), t["counts"].to_pylist()):
+            n, a = np.frombuffer(unpack(b), np.uint32), unpack(a)
+            offsets = np.append(0, np.cumsum(np.frombuffer(a, np.uint32, len(n)), dtype=np.int64))
+            phrases.append(pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(a[4 * len(n) :])))
+            counts.append(n.astype(np.int64))
+        f = pa.table({"phrase": pa.concat_arrays(phrases), "f": np.concatenate(counts)}).group_by("phrase").aggregate([("f", "sum")])
+        f = f.filter(pa.compute.greater_equal(f["f_sum"], least))
+        names = pa.chunked_array([*f["phrase"].cast(pa.string()).chunks, pa.nulls(1, pa.string())])
+        n = pa.chunked_array([*f["f_sum"].chunks, pa.array([pa.compute.sum(t["words"]).as_py()], pa.int64())])
+        return pa.table({"lang": pa.array([t["lang"][0].as_py()] * len(names), pa.string()), "phrase": names, "f": n})
+
+    return run
 
 
 def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, part: int = PART, chunk: int = CHUNK) -> DataFrame:
-    """lang, phrase, n_words, f of every phrase of 1 to ``longest`` words that occurs ``least`` times in its language; with a
-    null phrase, the number of all words of the language."""
+    """lang, phrase, n_words, f of every phrase of 1 to ``longest`` words that occurs ``least`` times in its language; rows with
+    a null phrase add up to the number of all words of the language."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     field = None
@@ -236,8 +276,10 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
             base = min(sizes) - 1
             counted = counts_by_part(texts, sizes, field, base, parts, chunk)
             field = bit_field(counted.groupBy("part").applyInArrow(survivors(least), "h long"), field)
-    counted = exact_counts(texts, field, longest, chunk).groupBy("lang", "phrase").agg(F.max("n_words").alias("n_words"), F.sum("f").alias("f"))
-    return landed(counted.filter(F.col("phrase").isNull() | (F.col("f") >= least)), "phrases")
+    parts = max(1, -(-size * longest // (WORD_BYTES * part)))
+    counted = exact_counts(texts, field, longest, parts, chunk).groupBy("lang", "part").applyInArrow(summed(least), "lang string, phrase string, f long")
+    n_words = F.coalesce(F.size(F.split("phrase", " ")), F.lit(0)).cast("long")
+    return landed(counted.select("lang", "phrase", F.when(F.col("phrase").isNull(), F.lit(0)).otherwise(n_words).alias("n_words"), "f"), "phrases")
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = TOP, cover: int = COVER, part: int = PART, chunk: int = CHUNK) -> DataFrame:
@@ -252,7 +294,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lon
     thirty bytes of work space a byte.
     """
     counts = frequent_phrases(docs, text=text, lang=lang, longest=longest, least=least, part=part, chunk=chunk)
-    total = counts.filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
+    total = counts.filter("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
     phrases = counts.filter("phrase IS NOT NULL")
     candidates = phrases.filter("n_words > 1").select("lang", "phrase", F.split("phrase", " ").alias("w"), F.col("f").alias("a"))
     piece = lambda a, n: F.array_join(F.slice("w", a, n), " ")
