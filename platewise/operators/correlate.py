@@ -27,8 +27,18 @@ def surface(image: DataFrame, model: DataFrame, reach: int, padded: int | None =
     shifts = F.sequence(F.lit(-reach), F.lit(reach))
     m = model.filter("mask").withColumn("dy", F.explode(shifts)).withColumn("dx", F.explode(shifts))
     m = m.select("pair", "dy", "dx", (F.col("v") + F.col("dy")).alias("v"), (F.col("u") + F.col("dx")).alias("u"), F.col("value").alias("m"))
+    return correlated(m, image, padded)
+
+
+def correlated(m: DataFrame, image: DataFrame, padded: int | None = None) -> DataFrame:
+    """The surface from model pixels m (pair, dy, dx, v, u, m), each at the image pixel that it meets at its shift."""
     s = m.join(image.select("pair", "v", "u", F.col("value").alias("i")), ["pair", "v", "u"], "left").withColumn("i", F.coalesce("i", F.lit(0.0)))
     s = s.groupBy("pair", "dy", "dx").agg(F.sum(F.col("i") * F.col("m")).alias("im"), F.sum("i").alias("i"), F.sum(F.col("i") * F.col("i")).alias("ii"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("w"))
+    return scored(s, padded)
+
+
+def scored(s: DataFrame, padded: int | None = None) -> DataFrame:
+    """pair, dy, dx, numerator, ncc from the sums im, i, ii, m, mm over w pixels."""
     mean_i, mean_m = F.col("i") / F.col("w"), F.col("m") / F.col("w")
     var_i = F.greatest(F.lit(0.0), F.col("ii") / F.col("w") - mean_i * mean_i)
     frame = F.col("w") if padded is None else F.lit(padded)

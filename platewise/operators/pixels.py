@@ -94,36 +94,55 @@ def reflected(x: Column, n: int) -> Column:
     return F.when(x < 0, -1 - x).when(x >= n, 2 * n - 1 - x).otherwise(x)
 
 
+def framed(px: DataFrame, axis: str, n: int, radius: int, out: dict[str, Callable], key: str = "image_ord") -> DataFrame:
+    """Columns from the pixels within ``radius`` along an axis of n pixels, each as a function of the window that frames them;
+    the image is mirrored at its borders. A border pixel stands at its mirrored places as well (column _p), so that no
+    pixel is joined with another."""
+    places = []
+    for k in range(-(-(radius + n) // (2 * n)) + 1):
+        for turn in sorted({k, -k}):
+            places += [(F.col(axis) + 2 * n * turn, turn == 0), (2 * n * turn - 1 - F.col(axis), False)]
+    places = F.array(*(F.struct(p.cast("long").alias("p"), F.lit(own).alias("own")) for p, own in places))
+    near = px.withColumn("_at", F.explode(F.filter(places, lambda e: e["p"].between(-radius, n - 1 + radius))))
+    near = near.withColumn("_p", F.col("_at.p")).withColumn("_own", F.col("_at.own")).drop("_at")
+    frame = W.partitionBy(key, "u" if axis == "v" else "v").orderBy("_p").rangeBetween(-radius, radius)
+    return near.withColumns({c: f(frame) for c, f in out.items()}).filter("_own").drop("_p", "_own")
+
+
 def box_extreme(px: DataFrame, radius: int, n_v: int, n_u: int, largest: bool = True) -> DataFrame:
     """Largest or least value in a square of side 2 radius + 1, one axis after the other."""
     f = F.max if largest else F.min
-    reach = F.sequence(F.lit(-radius), F.lit(radius))
     for axis, n in (("v", n_v), ("u", n_u)):
-        other = "u" if axis == "v" else "v"
-        # Each target asks for its mirrored sources.
-        ask = px.select("image_ord", other, axis).withColumn("_to", F.col(axis)).withColumn("_d", F.explode(reach)).withColumn(axis, reflected(F.col(axis) + F.col("_d"), n)).drop("_d").distinct()
-        px = ask.join(px, ["image_ord", "v", "u"]).groupBy("image_ord", other, F.col("_to").alias(axis)).agg(f("value").alias("value"))
-    return px
+        px = framed(px, axis, n, radius, {"value": lambda w: f("value").over(w)})
+    return px.select("image_ord", "v", "u", "value")
 
 
 def local_maxima(px: DataFrame, radius: int, n_v: int, n_u: int, tolerance: float = 1.0) -> DataFrame:
     """Pixels that are the largest of their box, and at least tolerance times what the box has at least."""
-    top = box_extreme(px, radius, n_v, n_u).withColumnRenamed("value", "_top")
-    low = box_extreme(px, radius, n_v, n_u, largest=False).withColumnRenamed("value", "_low")
-    return px.join(top, ["image_ord", "v", "u"]).join(low, ["image_ord", "v", "u"]).filter((F.col("value") == F.col("_top")) & (F.col("value") >= F.col("_low") * tolerance)).drop("_top", "_low")
+    px = px.withColumn("_top", F.col("value")).withColumn("_low", F.col("value"))
+    for axis, n in (("v", n_v), ("u", n_u)):
+        px = framed(px, axis, n, radius, {"_top": lambda w: F.max("_top").over(w), "_low": lambda w: F.min("_low").over(w)})
+    return px.filter((F.col("value") == F.col("_top")) & (F.col("value") >= F.col("_low") * tolerance)).drop("_top", "_low")
 
 
 def minus_median(px: DataFrame, radius: int, n_v: int, n_u: int, footprint: str = "square") -> DataFrame:
-    """The value less the median of its square, or of the circle of radius + 0.5 in it."""
+    """The value less the median of its square, or of the circle of radius + 0.5 in it. A pixel gathers its column and
+    then the columns beside it, so a row holds the (2 radius + 1)**2 values of its own box at most."""
     if footprint not in ("square", "circle"):
         raise ValueError(f"unknown footprint {footprint!r}")
-    reach = F.sequence(F.lit(-radius), F.lit(radius))
-    ask = px.select("image_ord", F.col("v").alias("_v"), F.col("u").alias("_u")).withColumn("_i", F.explode(reach)).withColumn("_j", F.explode(reach))
-    if footprint == "circle":
-        ask = ask.filter(F.sqrt(F.col("_i") * F.col("_i") + F.col("_j") * F.col("_j")) <= radius + 0.5)
-    ask = ask.withColumn("v", reflected(F.col("_v") + F.col("_i"), n_v)).withColumn("u", reflected(F.col("_u") + F.col("_j"), n_u))
-    med = ask.join(px.select("image_ord", "v", "u", "value"), ["image_ord", "v", "u"]).groupBy("image_ord", F.col("_v").alias("v"), F.col("_u").alias("u")).agg(F.percentile("value", F.lit(0.5)).alias("_med"))
-    return px.join(med, ["image_ord", "v", "u"]).withColumn("value", F.col("value") - F.col("_med")).drop("_med")
+    cell = lambda c: F.collect_list(F.struct(F.col("_p").alias("p"), F.col(c).alias("x")))
+    column = lambda w: F.transform(cell("value").over(w), lambda e: F.struct((e["p"] - F.col("_p")).alias("i"), e["x"].alias("x")))
+    inside = lambda i, j: F.lit(True) if footprint == "square" else i * i + j * j <= (radius + 0.5) ** 2
+
+    def box(w):
+        values = lambda e: F.transform(F.filter(e["x"], lambda c: inside(c["i"], e["p"] - F.col("_p"))), lambda c: c["x"])
+        return F.sort_array(F.flatten(F.transform(cell("_box").over(w), values)))
+
+    px = framed(px, "v", n_v, radius, {"_box": column})
+    px = framed(px, "u", n_u, radius, {"_box": box})
+    middle = lambda k: F.element_at("_box", k.cast("int"))
+    n = F.size("_box")
+    return px.withColumn("value", F.col("value") - (middle(F.floor((n + 1) / 2)) + middle(F.floor(n / 2) + 1)) / 2).drop("_box")
 
 
 def stretched(px: DataFrame, low: float = 0.001, high: float = 0.999, gamma: float = 1.0, regions: tuple[str, ...] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from platewise.functions.formats import spectral_class
 
 RA_CELL, DEC_CELL = 15.0, 5.0
+#: The band of stars without magnitude, and of all stars of a cell that isn't crowded.
+NO_BAND = -1000
 #: Pixels of the cells in which star boxes of an image are compared.
 BOX_CELL = 64.0
 #: Degrees within which stars of two catalogues may be one, and magnitudes.
@@ -32,6 +36,52 @@ def stars_in_fields(stars: DataFrame, fields: DataFrame) -> DataFrame:
     return s.join(f, ["_r", "_d"]).filter(exact).drop("_r", "_d")
 
 
+#: Cells of the sky, in degrees: fine ones for fields of up to SMALL_FIELD degrees, coarse ones for larger fields.
+FINE_CELL, COARSE_CELL, SMALL_FIELD = 0.5, 8.0, 2.0
+#: Stars of a cell from which on it is split into bands of MAGNITUDE_BAND.
+CROWDED, MAGNITUDE_BAND = 10_000, 1.0
+
+
+def catalog_search(stars: DataFrame, fields: DataFrame, doubles: bool = True, galaxies: bool = False, crowded: int = CROWDED) -> DataFrame:
+    """Stars (ra, dec, vmag, double, galaxy) in the box of each field (ra_min, ra_max, dec_min, dec_max) and in
+    its range of magnitudes (mag_min, mag_max; null sets no limit). Ends are included, and ra_min > ra_max crosses 0.
+
+    Doubles and galaxies are left out unless asked for; an unknown flag is none. A star without magnitude is in no limited
+    range; one without place is nowhere. Fields are cut into cells of the sky of a size that suits them, and stars meet
+    them by cell; cells of more than ``crowded`` stars are known beforehand (at most one for each cell of the sky) and
+    are split by magnitude, so that a narrow range reads few of their stars.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    seen = stars.filter(F.col("ra").isNotNull() & F.col("dec").isNotNull())
+    seen = seen if doubles else seen.filter(~flag("double"))
+    seen = seen if galaxies else seen.filter(~flag("galaxy"))
+    width = F.when(F.col("ra_min") <= F.col("ra_max"), F.col("ra_max") - F.col("ra_min")).otherwise(F.col("ra_max") + 360 - F.col("ra_min"))
+    small = (width <= SMALL_FIELD) & (F.col("dec_max") - F.col("dec_min") <= SMALL_FIELD)
+    exact = in_ra(F.col("ra"), F.col("ra_min"), F.col("ra_max")) & F.col("dec").between(F.col("dec_min"), F.col("dec_max"))
+    bright = F.col("mag_min").isNull() | F.coalesce(F.col("vmag") >= F.col("mag_min"), F.lit(False))
+    faint = F.col("mag_max").isNull() | F.coalesce(F.col("vmag") <= F.col("mag_max"), F.lit(False))
+    ends = seen.agg(F.floor(F.min("vmag") / MAGNITUDE_BAND).alias("_b0"), F.floor(F.max("vmag") / MAGNITUDE_BAND).alias("_b1"))
+    out = None
+    for size, part in ((FINE_CELL, fields.filter(small)), (COARSE_CELL, fields.filter(~small))):
+        last = math.ceil(360 / size) - 1
+        r = lambda c: F.greatest(F.lit(0), F.least(F.floor(F.col(c) / size), F.lit(last))).cast("int")  # noqa: B023, E731
+        d = lambda c: F.floor(F.col(c) / size).cast("int")  # noqa: B023, E731
+        s = seen.withColumn("_r", r("ra")).withColumn("_d", d("dec"))
+        full = F.broadcast(s.groupBy("_r", "_d").count().filter(F.col("count") > crowded).select("_r", "_d", F.lit(True).alias("_full")))
+        band = F.when(F.col("_full"), F.coalesce(F.floor(F.col("vmag") / MAGNITUDE_BAND).cast("int"), F.lit(NO_BAND))).otherwise(NO_BAND)
+        s = s.join(full, ["_r", "_d"], "left").withColumn("_b", band).drop("_full")
+        turn = F.when(F.col("ra_min") <= F.col("ra_max"), F.sequence(r("ra_min"), r("ra_max"))).otherwise(F.concat(F.sequence(r("ra_min"), F.lit(last)), F.sequence(F.lit(0), r("ra_max"))))
+        f = part.withColumn("_r", F.explode(F.array_distinct(turn))).withColumn("_d", F.explode(F.sequence(d("dec_min"), d("dec_max"))))
+        f = f.join(full, ["_r", "_d"], "left").crossJoin(F.broadcast(ends))
+        b0 = F.greatest(F.coalesce(F.floor(F.col("mag_min") / MAGNITUDE_BAND), F.col("_b0")), F.col("_b0"))
+        b1 = F.least(F.coalesce(F.floor(F.col("mag_max") / MAGNITUDE_BAND), F.col("_b1")), F.col("_b1"))
+        bands = F.when(F.col("_full") & (b0 <= b1), F.concat(F.sequence(b0.cast("int"), b1.cast("int")), F.array(F.lit(NO_BAND)))).otherwise(F.array(F.lit(NO_BAND)))
+        f = f.withColumn("_b", F.explode(bands)).drop("_full", "_b0", "_b1")
+        met = s.join(f, ["_r", "_d", "_b"]).filter(exact & bright & faint).drop("_r", "_d", "_b")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def psf_size(vmag: Column, sizes: list[tuple[float, int]]) -> Column:
     """Size of the least threshold strictly above the magnitude, else that of the largest one."""
     sizes = sorted(sizes)

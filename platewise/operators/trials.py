@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.functions.formats import offset_text
+from platewise.session import landed
 
 
 def task_grid(spark: SparkSession, template: str | DataFrame, u: tuple[float, float, float], v: tuple[float, float, float]) -> DataFrame:
@@ -41,6 +44,29 @@ def narrowed(errors: DataFrame, keys: list[str], step: float) -> DataFrame:
     return best.withColumn("low", F.col("twist") - 2 * step).withColumn("high", F.col("twist") + 2 * step)
 
 
+def converged(ranges: DataFrame, measure: Callable[[DataFrame], DataFrame], keys: list[str], divisions: int, precision: float, passes: int = 10) -> DataFrame:
+    """Keys, twist, error and passes: the trial of least error in ever narrower ranges (keys, low, high).
+
+    Each pass tries ``divisions`` steps of every range that isn't settled, all at once; ``measure`` gives the error of each
+    trial (keys, twist), null where there is none. The next range reaches two steps to either side of the best trial (of
+    equal ones, to nine decimals, the smallest). A range settles with a step of ``precision`` or less, or with the last
+    pass; one without any error is dropped. The state is a row a range, landed after each pass.
+    """
+    left, settled = ranges.select(*keys, "low", "high"), None
+    for k in range(1, passes + 1):
+        step = (F.col("high") - F.col("low")) / divisions
+        grid = left.withColumn("step", step).withColumn("twist", F.explode(F.transform(F.sequence(F.lit(0), F.lit(divisions)), lambda i: F.col("low") + i * F.col("step"))))
+        errors = measure(grid.select(*keys, "twist", "step")).filter("error IS NOT NULL").withColumn("error", F.round("error", 9))
+        best = errors.groupBy(*keys).agg(F.min_by(F.struct("twist", "error", "step"), F.struct("error", "twist")).alias("b")).select(*keys, "b.*")
+        best = landed(best.withColumn("passes", F.lit(k)).withColumn("done", (F.col("step") <= precision) | F.lit(k == passes)))
+        done = best.filter("done").select(*keys, "twist", "error", "passes")
+        settled = done if settled is None else settled.unionByName(done)
+        left = best.filter("NOT done").select(*keys, (F.col("twist") - 2 * F.col("step")).alias("low"), (F.col("twist") + 2 * F.col("step")).alias("high"))
+        if k < passes and left.isEmpty():
+            break
+    return settled
+
+
 def corpus_summary(df: DataFrame, corner: float) -> DataFrame:
     """Mean, std (population), median, least and largest twist, and the same of sin(twist) times the corner distance.
 

@@ -60,6 +60,21 @@ SELECT 2, 'c', s_suppkey, NULL, CAST((s_suppkey * 7919) % 360000 AS DOUBLE) / 10
     "fields": """
 SELECT CAST(n_nationkey AS BIGINT) AS image_ord, concat('f', n_nationkey) AS image_id, CAST((n_nationkey * 47) % 360 AS DOUBLE) AS ra_min, CAST((n_nationkey * 47 + 20) % 360 AS DOUBLE) AS ra_max,
   CAST((n_nationkey * 13) % 90 AS DOUBLE) - 55.0 AS dec_min, CAST((n_nationkey * 13) % 90 AS DOUBLE) - 40.0 AS dec_max FROM {nation}""",
+    # The same catalogues with flags; some stars have no magnitude. Cameras of narrow and wide fields around stars.
+    "catalog": """
+SELECT catalog_rank, unique_number, ra, dec, CASE WHEN unique_number % 29 = 3 THEN NULL ELSE vmag END AS vmag, unique_number % 11 = 4 AS double, CASE WHEN unique_number % 7 = 2 THEN NULL ELSE catalog_rank = 1 AND unique_number % 13 = 5 END AS galaxy
+FROM (SELECT 0 AS catalog_rank, c_custkey AS unique_number, CAST((c_custkey * 7919) % 360000 AS DOUBLE) / 1000.0 AS ra, CAST((c_custkey * 104729) % 120000 AS DOUBLE) / 1000.0 - 60.0 AS dec, 4.0 + CAST((c_custkey * 31) % 800 AS DOUBLE) / 100.0 AS vmag FROM {customer}
+  UNION ALL SELECT 1, o_orderkey, CAST((o_orderkey * 6151) % 360000 AS DOUBLE) / 1000.0, CAST((o_orderkey * 86028) % 120000 AS DOUBLE) / 1000.0 - 60.0, 4.0 + CAST((o_orderkey * 47) % 1000 AS DOUBLE) / 100.0 FROM {orders}) c""",
+    "cameras": """
+SELECT image_ord, CASE WHEN ra - half < 0 THEN ra - half + 360.0 ELSE ra - half END AS ra_min, CASE WHEN ra + half >= 360.0 THEN ra + half - 360.0 ELSE ra + half END AS ra_max, dec - half AS dec_min, dec + half AS dec_max,
+  CASE WHEN image_ord % 5 = 0 THEN NULL ELSE CAST(image_ord % 6 AS DOUBLE) + 2.5 END AS mag_min, CASE WHEN image_ord % 7 = 0 THEN NULL ELSE CAST(image_ord % 6 AS DOUBLE) + 5.75 END AS mag_max
+FROM (SELECT s_suppkey AS image_ord, CAST((s_suppkey * 7919) % 360000 AS DOUBLE) / 1000.0 AS ra, CAST((s_suppkey * 104729) % 120000 AS DOUBLE) / 1000.0 - 60.0 AS dec, CASE s_suppkey % 4 WHEN 0 THEN 0.175 WHEN 1 THEN 0.9 WHEN 2 THEN 3.0 ELSE 12.5 END AS half FROM {supplier}) s""",
+    # Features valid between times, open at either end or both; images with times.
+    "timed_features": """
+SELECT p_partkey AS feature_key, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE SECONDS((1073000000 + (p_partkey * 7919333) % 400000000)) END AS start_time,
+  CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE SECONDS((1073000000 + (p_partkey * 7919333) % 400000000 + CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN (p_partkey * 104729) % 100000 WHEN 2 THEN (p_partkey * 104729) % 9000000 ELSE (p_partkey * 7919) % 200000000 END)) END AS end_time FROM {part}""",
+    "timed_images": """
+SELECT s_suppkey AS image_ord, CASE WHEN s_suppkey % 19 = 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN SECONDS((1073000000 + (s_suppkey * 7919333) % 400000000)) ELSE SECONDS((1073000000 + (s_suppkey * 15838667) % 400000000)) END AS obs_time FROM {supplier}""",
     # Ring features with a validity and modes; images with a time and a radius range.
     "features": """
 SELECT p_partkey AS feature_key, CASE WHEN p_partkey % 7 = 0 THEN 'ARC' WHEN p_partkey % 2 = 0 THEN 'GAP' ELSE 'RINGLET' END AS feature_type, p_name AS name,
@@ -77,8 +92,8 @@ FROM (SELECT vec_id, CAST(px AS BIGINT) AS p, CAST(x AS DOUBLE) AS x FROM {pixel
 SELECT l_returnflag AS template, CAST(l_quantity AS BIGINT) % 10 - 5 AS u_offset, l_linenumber - 4 AS v_offset, l_orderkey AS trial_ord, l_linenumber AS line, l_extendedprice / 1000.0 - 40.0 AS diff_u, l_discount * 100.0 - 5.0 AS diff_v, l_tax AS twist FROM {lineitem}""",
 }
 #: Written differently in the two dialects.
-SPARK = {"//": "div", "{pixel_source}": "(SELECT vec_id, posexplode(embedding) AS (px, x) FROM {embeddings})"}
-DUCK = {"{pixel_source}": "(SELECT vec_id, unnest(range(len(embedding))) AS px, unnest(embedding) AS x FROM {embeddings})"}
+SPARK = {"//": "div", "SECONDS(": "timestamp_seconds(", "{pixel_source}": "(SELECT vec_id, posexplode(embedding) AS (px, x) FROM {embeddings})"}
+DUCK = {"SECONDS(": "make_timestamp(1000000 * ", "{pixel_source}": "(SELECT vec_id, unnest(range(len(embedding))) AS px, unnest(embedding) AS x FROM {embeddings})"}
 
 
 def _written(name: str, words: dict[str, str]) -> str:
