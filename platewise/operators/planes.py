@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -106,6 +106,12 @@ def write_planes(table: DataFrame, path: str) -> None:
     table.repartition("PLANE", "image_ord").sortWithinPartitions("image_ord", "v", "u").write.mode("overwrite").partitionBy("PLANE").parquet(path)
 
 
+def read_planes(spark: SparkSession, path: str, planes: list[str] | None = None) -> DataFrame:
+    """Written planes, all or some of them by name in any case; the folders of the others aren't read."""
+    df = spark.read.schema("image_ord long, plane_ord int, units string, v long, u long, value float, PLANE string").parquet(path)
+    return df if planes is None else df.filter(F.col("PLANE").isin([p.upper() for p in planes]))
+
+
 def statistics_documents(bodies: DataFrame, rings: DataFrame, inventory: DataFrame) -> DataFrame:
     """Per image the document {bodies, rings} as JSON: ranges of the planes by body, with centre (v, u), range and
     size where the inventory (center_u, center_v, range, u_pixel_size, v_pixel_size) knows them, and those of the rings.

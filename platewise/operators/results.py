@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +86,19 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.repartition("dataset", "volume").sortWithinPartitions("results_path_stub").write.mode("overwrite").partitionBy("dataset", "volume").parquet(path)
 
 
+def read_documents(spark: SparkSession, path: str, dataset: str | None = None, volumes: list[str] | None = None) -> DataFrame:
+    """Written documents, of one dataset and some volumes only if these are given; other folders aren't read."""
+    df = spark.read.schema("results_path_stub string, document string, dataset string, volume string").parquet(path)
+    df = df if dataset is None else df.filter(F.col("dataset") == dataset)
+    return df if volumes is None else df.filter(F.col("volume").isin(volumes))
+
+
+def replace_documents(documents: DataFrame, path: str) -> None:
+    """As write_documents, but only the volumes at hand are replaced, each as a whole; others stay. A run that failed is
+    repeated with no trace of what it wrote."""
+    documents.repartition("dataset", "volume").sortWithinPartitions("results_path_stub").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "volume").parquet(path)
+
+
 TWIST_COLUMNS = ("url", "img_name", "twist", "rotation_error", "int_offset_x", "int_offset_y", "opt_offset_x", "opt_offset_y", "error")
 
 

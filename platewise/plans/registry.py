@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "fields", "images", "observations", "records", "results", "searches", "sky")
+MODULES = ("catalog", "fields", "flows", "images", "observations", "records", "results", "searches", "sky")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

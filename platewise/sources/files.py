@@ -22,6 +22,55 @@ def fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int, int
     return lines.select(*(F.trim(F.substring("value", at, width)).try_cast(kind).alias(name) for name, at, width, kind in fields))
 
 
+#: Volume of an index file or its label, by path.
+INDEX_PATH = r"([^/]+)_index\.[a-zA-Z]+$"
+#: Bytes that end a line of an index.
+LINE_END = 2
+
+
+def volume_texts(spark: SparkSession, path: str, glob: str, volume: str = INDEX_PATH, whole: bool = False) -> DataFrame:
+    """volume, value: the lines of the text files below a folder, or each file as one text, with the volume that the path
+    names."""
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=whole)
+    return texts.select(F.regexp_extract(F.col("_metadata.file_path"), volume, 1).alias("volume"), "value")
+
+
+def label_layouts(labels: DataFrame) -> DataFrame:
+    """Of label texts (volume, value) the layout of the table: volume, record_bytes and layout, a map from the name of a
+    column to its first byte (from 1) and bytes. Of repeated names the first counts; a column without either is none."""
+    of = lambda c, key: F.regexp_extract(c, rf"(?m)^\s*{key}\s*=\s*\"?([^\"\r\n]*?)\"?\s*$", 1)
+    number = lambda c, key: of(c, key).try_cast("int")
+    blocks = F.regexp_extract_all("value", F.lit(r"(?s)OBJECT\s*=\s*COLUMN\s(.*?)END_OBJECT"), 1)
+    columns = F.transform(blocks, lambda b: F.struct(of(b, "NAME").alias("name"), number(b, "START_BYTE").alias("start"), number(b, "BYTES").alias("bytes")))
+    columns = F.filter(columns, lambda c: (c["name"] != "") & c["start"].isNotNull() & c["bytes"].isNotNull())
+    names = F.array_distinct(F.transform(columns, lambda c: c["name"]))
+    first = F.transform(names, lambda n: F.element_at(F.filter(columns, lambda c: c["name"] == n), 1))
+    layout = F.map_from_entries(F.transform(first, lambda c: F.struct(c["name"], F.struct(c["start"].alias("start"), c["bytes"].alias("bytes")))))
+    return labels.select("volume", number(F.col("value"), "RECORD_BYTES").alias("record_bytes"), layout.alias("layout"))
+
+
+def labelled_index(labels: DataFrame, lines: DataFrame, columns: dict[str, str], line_end: int = LINE_END) -> tuple[DataFrame, DataFrame]:
+    """The wanted columns (name to type) of the index lines (volume, value) of many volumes, each cut as its own label
+    (volume, value) says; and the lines that can't be read, with a reason.
+
+    Only the bytes of wanted columns are cut out. Texts lose quotes and spaces around them, blank numbers are null. A line is
+    malformed if it has no label, if the label lacks a wanted column or a length, if it isn't as long as the label says, or
+    if a number isn't one. Labels are as few as volumes.
+    """
+    layouts = label_layouts(labels)
+    data = F.encode("value", "utf-8")
+    at = lambda c, part: F.col("layout")[c][part]
+    raw = {c: F.trim(F.regexp_replace(F.trim(F.substr(data, at(c, "start"), at(c, "bytes")).cast("string")), '^"|"$', "")) for c in columns}
+    lacking = F.array_compact(F.array(*(F.when(at(c, "start").isNull(), F.lit(c)) for c in columns)))
+    length = F.when(F.col("record_bytes").isNull(), "label without a length").when(F.octet_length("value") + line_end != F.col("record_bytes"), "wrong length")
+    known = F.when(F.col("layout").isNull(), "no label").when(F.size(lacking) > 0, F.concat(F.lit("label without "), F.array_join(lacking, ", "))).otherwise(length)
+    cut = lines.join(F.broadcast(layouts), "volume", "left").withColumn("reason", known).select("volume", "value", "reason", *(F.when(F.col("reason").isNull(), x).alias(c) for c, x in raw.items()))
+    typed = {c: F.col(c) if t == "string" else F.when(F.col(c) != "", F.col(c)).try_cast(t) for c, t in columns.items()}
+    wrong = F.array_compact(F.array(*(F.when((F.col(c) != "") & typed[c].isNull(), F.lit(c)) for c, t in columns.items() if t != "string"))) if any(t != "string" for t in columns.values()) else F.array().cast("array<string>")
+    cut = cut.withColumn("reason", F.coalesce("reason", F.when(F.size(wrong) > 0, F.concat(F.lit("not a number: "), F.array_join(wrong, ", ")))))
+    return cut.filter("reason IS NULL").select("volume", *(typed[c].alias(c) for c in columns)), cut.filter("reason IS NOT NULL").select("volume", "value", "reason")
+
+
 def spec_list(spark: SparkSession, paths: list[str]) -> DataFrame:
     """File specifications of CSV files, from the first column with a known heading; none is an error."""
     out = None

@@ -40,3 +40,38 @@ def route(tasks: DataFrame, valid: str, rejected: str, checkpoint: str) -> Strea
         batch.filter("error IS NOT NULL").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
 
     return tasks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+SENT_TASK = f"{TASK}, sent timestamp"
+
+
+def read_deliveries(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:
+    """Task documents with the time they were sent, as they arrive in a folder; a task may be delivered again."""
+    return spark.readStream.schema(SENT_TASK).option("maxFilesPerTrigger", files_at_once).json(folder)
+
+
+def delivered_once(tasks: DataFrame, within: str) -> DataFrame:
+    """The first delivery of each task. A task is remembered for ``within`` after it was sent, so the state holds the tasks
+    of that time and no more; what is delivered later still counts as new, and what was sent before it is dropped as late."""
+    return tasks.withWatermark("sent", within).dropDuplicatesWithinWatermark(["task_id"])
+
+
+def serve(spark: SparkSession, inbox: str, outbox: str, checkpoint: str, known: tuple[str, ...], within: str, files_at_once: int = 1000) -> StreamingQuery:
+    """A stream over what has arrived in the inbox: each task once, validated, to outbox/files (valid ones, a row a
+    file), outbox/rejected and outbox/status (counts by outcome), a folder per micro-batch that a repeat overwrites.
+
+    A restart with the same checkpoint goes on where the last run ended, with the tasks it remembers."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for name, rows in (("files", files_of(batch)), ("rejected", batch.filter("error IS NOT NULL").drop("files", "sent")), ("status", status_counts(batch))):
+            rows.write.mode("overwrite").parquet(f"{outbox}/{name}/batch={number}")
+        batch.unpersist()
+
+    stream = validated(delivered_once(read_deliveries(spark, inbox, files_at_once), within), known)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def status_totals(spark: SparkSession, outbox: str) -> DataFrame:
+    """Tasks by outcome over all micro-batches so far."""
+    return spark.read.schema("status string, count long, batch long").parquet(f"{outbox}/status").groupBy("status").agg(F.sum("count").alias("count"))
