@@ -6,9 +6,10 @@ error), and the selection sends what is not ok to its rejected frame.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Directories of one archive whose second or third level holds the image.
@@ -49,73 +50,98 @@ SHAPES = {
 }
 
 
-def register(profile: InstrumentProfile, form: str, of_interest: str = "") -> None:
-    """One more archive: its profile, the pattern of its file specifications, whose group is the image name, and what
-    files of interest end with. Selection, naming and numbering then work for rows of that instrument."""
-    if profile.name in PROFILES and PROFILES[profile.name] != profile:
-        raise ValueError(f"archive {profile.name!r} is known already")
-    PROFILES[profile.name], SHAPES[profile.name] = profile, (form, of_interest)
+@dataclass(frozen=True)
+class Archive:
+    """A plug-in for one archive. Its profile, the form of its file specifications, whose group is the image name, and what
+    files of interest end with suffice; where they can't say what is needed, builders of columns take their place."""
+
+    profile: InstrumentProfile
+    form: str = ""
+    of_interest: str = ""
+    label: Callable[[Column], Column] | None = None  # of an index specification
+    image: Callable[[Column], Column] | None = None  # of a label specification
+    name: Callable[[Column], Column] | None = None  # of an index specification; null is a malformed one
+    valid: Callable[[Column], Column] | None = None  # of a name
+    number: Callable[[Column], Column] | None = None  # of a name
+    volume: Callable[[Column], Column] | None = None  # path of a volume
+    cameras: dict[str, str] = field(default_factory=lambda: {"nac": "N", "wac": "W"})  # first letters of names by camera
+    pair: Callable[[DataFrame], DataFrame] | None = None  # adds grp and place to the rows of this archive
+    variables: dict[str, Callable[[DataFrame], Column]] = field(default_factory=dict)  # label variables of its own
+
+
+#: The archives that every operator knows; ``plugged`` gives a wider choice, which is passed to the operators.
+ARCHIVES: dict[str, Archive] = {name: Archive(p, *SHAPES[name]) for name, p in PROFILES.items()}
+
+
+def plugged(*more: Archive, known: dict[str, Archive] = ARCHIVES) -> dict[str, Archive]:
+    """The known archives and more, as a choice of its own; nothing else changes. A name that is taken is an error."""
+    out = dict(known)
+    for a in more:
+        if a.profile.name in out:
+            raise ValueError(f"archive {a.profile.name!r} is known already")
+        out[a.profile.name] = a
+    return out
 
 
-def by_instrument(instrument: Column, f) -> Column:
+def by_instrument(instrument: Column, f: Callable[[Archive], Column], archives: dict[str, Archive] = ARCHIVES) -> Column:
     out = F.lit(None)
-    for p in PROFILES.values():
-        out = F.when(instrument == p.name, f(p)).otherwise(out)
+    for name, a in archives.items():
+        out = F.when(instrument == name, f(a)).otherwise(out)
     return out
 
 
-def label_spec(instrument: Column, spec: Column) -> tuple[Column, Column]:
+def label_spec(instrument: Column, spec: Column, archives: dict[str, Archive] = ARCHIVES) -> tuple[Column, Column]:
     """Label specification of an index row, and whether its suffix is right."""
 
-    def one(p: InstrumentProfile) -> Column:
-        old, new = p.label_rewrite
-        return F.replace(spec, F.lit(old), F.lit(new)) if old else spec
+    def one(a: Archive) -> Column:
+        old, new = a.profile.label_rewrite
+        return a.label(spec) if a.label else F.replace(spec, F.lit(old), F.lit(new)) if old else spec
 
-    return by_instrument(instrument, one), by_instrument(instrument, lambda p: spec.rlike(p.label_suffix))
+    return by_instrument(instrument, one, archives), by_instrument(instrument, lambda a: spec.rlike(a.profile.label_suffix), archives)
 
 
-def image_spec(instrument: Column, label: Column) -> Column:
+def image_spec(instrument: Column, label: Column, archives: dict[str, Archive] = ARCHIVES) -> Column:
     """P02."""
-    return by_instrument(instrument, lambda p: F.replace(label, F.lit(p.image_rewrite[0]), F.lit(p.image_rewrite[1])))
+    return by_instrument(instrument, lambda a: a.image(label) if a.image else F.replace(label, *(F.lit(x) for x in a.profile.image_rewrite)), archives)
 
 
-def image_name(instrument: Column, spec: Column) -> tuple[Column, Column]:
+def image_name(instrument: Column, spec: Column, archives: dict[str, Archive] = ARCHIVES) -> tuple[Column, Column]:
     """The image name, and ok, skip (a file of no interest) or error (a malformed specification)."""
     levels = F.size(F.split(spec, "/"))
-    shaped = by_instrument(instrument, lambda p: spec.rlike(SHAPES[p.name][0])) & ((instrument != "gossi") | levels.between(2, 4))
-    wanted = by_instrument(instrument, lambda p: spec.rlike(SHAPES[p.name][1]))
-    name = by_instrument(instrument, lambda p: F.regexp_extract(spec, SHAPES[p.name][0], 1))
+    shaped = by_instrument(instrument, lambda a: a.name(spec).isNotNull() if a.name else spec.rlike(a.form), archives) & ((instrument != "gossi") | levels.between(2, 4))
+    wanted = by_instrument(instrument, lambda a: spec.rlike(a.of_interest), archives)
+    name = by_instrument(instrument, lambda a: a.name(spec) if a.name else F.regexp_extract(spec, a.form, 1), archives)
     return name, F.when(~shaped, "error").when(~wanted, "skip").otherwise("ok")
 
 
-def name_valid(instrument: Column, name: Column) -> Column:
+def name_valid(instrument: Column, name: Column, archives: dict[str, Archive] = ARCHIVES) -> Column:
     """P04."""
     upper = F.replace(F.upper(name), F.lit("_CALIB"), F.lit(""))
-    return F.coalesce(by_instrument(instrument, lambda p: upper.rlike(p.valid_name)), F.lit(False))
+    return F.coalesce(by_instrument(instrument, lambda a: a.valid(name) if a.valid else upper.rlike(a.profile.valid_name), archives), F.lit(False))
 
 
-def image_number(instrument: Column, name: Column) -> Column:
+def image_number(instrument: Column, name: Column, archives: dict[str, Archive] = ARCHIVES) -> Column:
     """The digits of a valid name; null otherwise."""
-    return F.when(name_valid(instrument, name), image_digits(instrument, name))
+    return F.when(name_valid(instrument, name, archives), image_digits(instrument, name, archives))
 
 
-def image_digits(instrument: Column, name: Column) -> Column:
+def image_digits(instrument: Column, name: Column, archives: dict[str, Archive] = ARCHIVES) -> Column:
     """P05 for names that are known to be valid."""
-    return by_instrument(instrument, lambda p: F.substring(name, *p.number_at)).cast("long")
+    return by_instrument(instrument, lambda a: a.number(name).cast("string") if a.number else F.substring(name, *a.profile.number_at), archives).cast("long")
 
 
-def volume_path(instrument: Column, volume: Column) -> Column:
+def volume_path(instrument: Column, volume: Column, archives: dict[str, Archive] = ARCHIVES) -> Column:
     """Volume set and volume."""
 
-    def one(p: InstrumentProfile) -> Column:
-        before, at, after = p.volume_set
-        return F.concat(F.lit(before), F.substring(volume, at, 1) if at else F.lit(""), F.lit(after), F.lit("/"), volume)
+    def one(a: Archive) -> Column:
+        before, at, after = a.profile.volume_set
+        return a.volume(volume) if a.volume else F.concat(F.lit(before), F.substring(volume, at, 1) if at else F.lit(""), F.lit(after), F.lit("/"), volume)
 
-    return by_instrument(instrument, one)
+    return by_instrument(instrument, one, archives)
 
 
-def index_path(instrument: Column, volume: Column) -> Column:
-    return F.concat(volume_path(instrument, volume), F.lit("/"), volume, F.lit("_index.lbl"))
+def index_path(instrument: Column, volume: Column, archives: dict[str, Archive] = ARCHIVES) -> Column:
+    return F.concat(volume_path(instrument, volume, archives), F.lit("/"), volume, F.lit("_index.lbl"))
 
 
 def results_path_stub(volume: Column, spec: Column) -> Column:

@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 from platewise.functions import names as N
 
 
-def entries(index: DataFrame) -> DataFrame:
+def entries(index: DataFrame, archives: dict[str, N.Archive] = N.ARCHIVES) -> DataFrame:
     """Index rows (instrument, volume, filespec, ...) with label, image, img_name, img_num, stub and outcome.
 
-    outcome is ok, skip (not an image of interest) or error (malformed label, specification or name).
+    outcome is ok, skip (not an image of interest) or error (malformed label, specification or name). X01: archives may be a
+    choice with plug-ins.
     """
     kind, spec = F.col("instrument"), F.col("filespec")
-    (label, good), (name, state) = N.label_spec(kind, spec), N.image_name(kind, spec)
+    (label, good), (name, state) = N.label_spec(kind, spec, archives), N.image_name(kind, spec, archives)
     df = index.withColumns({"_label": label, "_good": good, "_stem": name, "_state": state})
-    df = df.withColumn("_valid", N.name_valid(kind, F.col("_stem")))
+    df = df.withColumn("_valid", N.name_valid(kind, F.col("_stem"), archives))
     df = df.withColumn("outcome", F.when(F.col("_state") != "ok", F.col("_state")).when(F.col("_good") & F.col("_valid"), "ok").otherwise("error"))
     df = df.withColumns({"label": F.when(F.col("_good"), F.col("_label")), "img_name": F.when(F.col("outcome") == "ok", F.col("_stem"))})
-    df = df.withColumns({"image": N.image_spec(kind, F.col("label")), "img_num": F.when(F.col("outcome") == "ok", N.image_digits(kind, F.col("_stem"))), "stub": N.results_path_stub(F.col("volume"), spec)})
+    df = df.withColumns({"image": N.image_spec(kind, F.col("label"), archives), "img_num": F.when(F.col("outcome") == "ok", N.image_digits(kind, F.col("_stem"), archives)), "stub": N.results_path_stub(F.col("volume"), spec)})
     return df.drop("_label", "_good", "_stem", "_state", "_valid")
 
 
@@ -75,6 +76,33 @@ def camera(df: DataFrame, which: str | None) -> DataFrame:
     return df.filter(F.col("img_name").startswith(letters[which.lower()]))
 
 
+def archive_camera(df: DataFrame, which: str | None, archives: dict[str, N.Archive] = N.ARCHIVES) -> DataFrame:
+    """The rows of a camera by the first letter that each archive gives its names; archives without that camera have
+    none, and a camera that no archive has is an error."""
+    if which is None:
+        return df
+    letters = {name: a.cameras[which.lower()] for name, a in archives.items() if which.lower() in a.cameras}
+    if not letters:
+        raise ValueError(f"unknown camera {which!r}")
+    mine = N.by_instrument(F.col("instrument"), lambda a: F.lit(letters.get(a.profile.name)), archives)
+    return df.filter(F.coalesce(F.startswith("img_name", mine), F.lit(False)))
+
+
+def archive_groups(df: DataFrame, archives: dict[str, N.Archive] = N.ARCHIVES) -> DataFrame:
+    """Grp and place of the rows, by the pairing of each archive that has one; other rows stand alone."""
+    paired = {name: a.pair for name, a in archives.items() if a.pair}
+    out = df.filter(~F.coalesce(F.col("instrument").isin(list(paired)), F.lit(False))).withColumn("grp", F.col("row_ord")).withColumn("place", F.lit(0).cast("long"))
+    for name, pair in paired.items():
+        out = out.unionByName(pair(df.filter(F.col("instrument") == name)))
+    return out
+
+
+def label_variables(df: DataFrame, archives: dict[str, N.Archive]) -> DataFrame:
+    """The rows with the label variables that their archives' plug-ins add; null in the rows of the others."""
+    names = sorted({v for a in archives.values() for v in a.variables})
+    return df.withColumns({v: N.by_instrument(F.col("instrument"), lambda a: a.variables[v](df) if v in a.variables else F.lit(None), archives) for v in names})  # noqa: B023
+
+
 def first_images(df: DataFrame, *limits: int | None) -> DataFrame:
     """The first rows in archive order, as many as the least limit; a top-k, not a sort of the archive."""
     given = [x for x in limits if x is not None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from platewise.functions import names as N
@@ -302,16 +303,52 @@ def a29_stretched_regions(spark, sf_dir):
     return P.stretched(_images(spark, sf_dir), 0.1, 0.9, regions=("valid",)).select("image_ord", "v", "u", "level")
 
 
-_PLUGGED = N.InstrumentProfile("lineup", r"\.TAB$", (".TAB", ".LBL"), (".LBL", ".DAT"), r"^L\d{8}$", (2, 8), ("LINE_", 0, "xxx"))
+_PLUGGED = N.Archive(N.InstrumentProfile("lineup", r"\.TAB$", (".TAB", ".LBL"), (".LBL", ".DAT"), r"^L\d{8}$", (2, 8), ("LINE_", 0, "xxx")), r"^run/(.*)\.TAB$")
+# An archive whose names and numbers no pattern of a profile can give: numbers count in base 36, cameras are P and Q, and
+# exposures of one second of two cameras are pairs.
+_BUILT = N.Archive(
+    N.InstrumentProfile("base36", "", ("", ""), ("", ""), "", (1, 1), ("", 0, "")),
+    label=lambda spec: F.concat(spec, F.lit(".lblx")), image=lambda label: F.regexp_replace(label, r"\.lblx$", ".fits"), name=lambda spec: F.when(F.length(spec) >= 5, F.concat(F.upper(F.substring(spec, 1, 1)), F.lit("-"), F.upper(F.substring(spec, 2, 20)))),
+    valid=lambda name: name.rlike("^[PQ]-[0-9A-Z]+$"), number=lambda name: F.conv(F.substring(name, 3, 20), 36, 10), volume=lambda v: F.concat(F.lit("b36/"), v), cameras={"left": "P", "right": "Q"},
+    pair=lambda df: df.withColumn("grp", F.min("row_ord").over(Window.partitionBy("volume", "img_num"))).withColumn("place", F.when(F.col("img_name").startswith("P"), 0).otherwise(1).cast("long")),
+    variables={"SIDE": lambda df: F.when(df["img_name"].startswith("P"), "left").otherwise("right"), "ROUND": lambda df: (df["img_num"] % 10).cast("string")},
+)
 
 
 @query("SELECT o_orderkey AS row_ord, CASE WHEN o_orderkey % 5 <> 0 THEN concat('L', lpad(CAST(o_orderkey AS VARCHAR), 8, '0')) END AS img_name, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS img_num, concat('LINE_xxx/V', o_custkey % 9) AS volume_path, concat('run/', CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE 'L' END, lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), '.DAT') AS image, CASE WHEN o_orderkey % 5 = 0 THEN 'error' ELSE 'ok' END AS outcome FROM orders")
 def x01_plugged_archive(spark, sf_dir):
-    N.register(_PLUGGED, r"^run/(.*)\.TAB$")
+    archives = N.plugged(_PLUGGED)
     k = F.col("o_orderkey")
     spec = F.concat(F.lit("run/"), F.when(k % 5 == 0, "X").otherwise("L"), F.lpad(k.cast("string"), 8, "0"), F.lit(".TAB"))
     index = table(spark, sf_dir, "orders").select(k.alias("row_ord"), F.lit("lineup").alias("instrument"), F.concat(F.lit("V"), F.col("o_custkey") % 9).alias("volume"), spec.alias("filespec"))
-    return C.entries(index).select("row_ord", "img_name", "img_num", N.volume_path(F.col("instrument"), F.col("volume")).alias("volume_path"), "image", "outcome")
+    return C.entries(index, archives).select("row_ord", "img_name", "img_num", N.volume_path(F.col("instrument"), F.col("volume"), archives).alias("volume_path"), "image", "outcome")
+
+
+_B36 = r"""WITH RECURSIVE x AS (SELECT c_custkey AS k, c_custkey // 2 + 46656 AS n, c_nationkey AS volume, CASE WHEN c_custkey % 13 = 0 THEN '!' WHEN c_custkey % 2 = 0 THEN 'P' ELSE 'Q' END AS side FROM customer),
+  d AS (SELECT DISTINCT n, n AS left_, '' AS t FROM x UNION ALL SELECT n, left_ // 36, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'[left_ % 36 + 1] || t FROM d WHERE left_ > 0), b AS (SELECT n, t FROM d WHERE left_ = 0),
+  ok AS (SELECT x.*, side || '-' || t AS img_name FROM x JOIN b USING (n) WHERE side <> '!')"""
+
+
+@query(_B36 + """ SELECT k AS row_ord, 'base36' AS instrument, img_name, n AS img_num, min(k) OVER (PARTITION BY volume, n) AS grp, CASE side WHEN 'P' THEN 0 ELSE 1 END AS place, CASE side WHEN 'P' THEN 'left' ELSE 'right' END AS "SIDE", CAST(n % 10 AS VARCHAR) AS "ROUND" FROM ok
+  UNION ALL SELECT o_orderkey, 'lineup', concat('L', lpad(CAST(o_orderkey AS VARCHAR), 8, '0')), o_orderkey, o_orderkey, 0, NULL, NULL FROM orders""")
+def x01_plugged_builders(spark, sf_dir):
+    k = F.col("c_custkey")
+    spec = F.concat(F.when(k % 13 == 0, "!").when(k % 2 == 0, "p").otherwise("q"), F.conv((F.floor(k / 2) + 46656).cast("string"), 10, 36))
+    one = table(spark, sf_dir, "customer").select(k.alias("row_ord"), F.lit("base36").alias("instrument"), F.col("c_nationkey").cast("string").alias("volume"), spec.alias("filespec"))
+    k = F.col("o_orderkey")
+    two = table(spark, sf_dir, "orders").select(k.alias("row_ord"), F.lit("lineup").alias("instrument"), F.lit("V").alias("volume"), F.concat(F.lit("run/L"), F.lpad(k.cast("string"), 8, "0"), F.lit(".TAB")).alias("filespec"))
+    archives = N.plugged(_PLUGGED, _BUILT)
+    good = C.quarantine(C.entries(one.unionByName(two), archives))[0]
+    return C.label_variables(C.archive_groups(good, archives), archives).select("row_ord", "instrument", "img_name", "img_num", "grp", "place", "SIDE", "ROUND")
+
+
+@query(_B36 + " SELECT k AS row_ord, img_name FROM ok WHERE side = 'Q'")
+def x01_p25_plugged_camera(spark, sf_dir):
+    k = F.col("c_custkey")
+    spec = F.concat(F.when(k % 13 == 0, "!").when(k % 2 == 0, "p").otherwise("q"), F.conv((F.floor(k / 2) + 46656).cast("string"), 10, 36))
+    index = table(spark, sf_dir, "customer").select(k.alias("row_ord"), F.lit("base36").alias("instrument"), F.col("c_nationkey").cast("string").alias("volume"), spec.alias("filespec"))
+    archives = N.plugged(_BUILT)
+    return C.archive_camera(C.quarantine(C.entries(index, archives))[0], "right", archives).select("row_ord", "img_name")
 
 
 # Files are written from the tables first, then read by the source.

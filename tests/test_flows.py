@@ -116,3 +116,18 @@ def test_written_planes_are_pruned_and_replaced(spark, tmp_path):
         A.write_planes(A.plane_table(broken, ids, {}), at)
     A.write_planes(A.plane_table(px.filter("plane = 'phase'"), ids.limit(0), {}), at)
     assert {r["PLANE"] for r in A.read_planes(spark, at).collect()} == {"PHASE"} and not (tmp_path / "planes" / "PLANE=RADIUS").exists()
+
+
+def test_plugged_archives_stay_apart():
+    from platewise.functions import names as N
+
+    a = N.Archive(N.InstrumentProfile("new", "", ("", ""), ("", ""), "", (1, 1), ("", 0, "")), "(.*)")
+    before = dict(N.ARCHIVES)
+    assert set(N.plugged(a)) == {*before, "new"} and N.ARCHIVES == before  # another choice knows nothing of it
+    for known in (N.ARCHIVES["coiss"], a):
+        with pytest.raises(ValueError):
+            N.plugged(known, known=N.plugged(a))
+    with pytest.raises(ValueError):
+        from platewise.operators.catalog import archive_camera
+
+        archive_camera(None, "left", N.ARCHIVES)
