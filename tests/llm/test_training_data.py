@@ -1,5 +1,6 @@
 import struct
 import textwrap
+import time
 
 import pytest
 import zstandard
@@ -118,6 +119,16 @@ def test_wrapped_headers_and_full_licences(spark):
     assert got == {"m/LICENSE": "MIT", "b/LICENSE": "BSD-2-Clause", "g/COPYING": "GPL-3.0", "a.c": "MPL-2.0", "b.c": "MIT", "c.c": "LGPL-2.1", "d.c": None}
 
 
+def test_licences_in_texts_of_many_lines(spark):
+    header = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    many = [f"line {i} of a log" if i % 10 else f"copyright check {i}" for i in range(100_000)]
+    files = [("a.log", "\n".join(many)), ("b.log", "\n".join([*many, header, *many])), ("c.log", "\n" * 200_000)]
+    start = time.perf_counter()
+    got = {r["path"]: r["license"] for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"a.log": None, "b.log": "MPL-2.0", "c.log": None}
+    assert time.perf_counter() - start < 120
+
+
 def test_pipeline_stages(spark, tmp_path, model):
     rows = [(i, f"{ENGLISH} number {i} {' '.join(str(j * i) for j in range(1, 40))}", "en", "s", 1, "x") for i in range(12)]
     rows += [(20, rows[3][1] + " more", "en", "s", 1, "x"), (21, "12345", "en", "s", 1, "x"), (22, None, None, None, None, None), (23, ENGLISH + " mail me at jo.1@mail3.example.com", "en", "t", 2, "x")]
