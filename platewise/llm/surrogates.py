@@ -101,10 +101,23 @@ def _luhn(x: Column) -> Column:
     return F.aggregate(twice, F.lit(0), lambda a, b: a + b) % 10
 
 
-def draw(kind: Column, norm: Column, gender: Column, key: str, attempt: int) -> Column:
-    """The surrogate of an entity, in normal form. Names and addresses grow with the attempts."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, F.lit(str(attempt))), 256)
-    digits, letters = F.translate(h, "abcdef", "012345"), F.translate(h, "0123456789", "ghijklmnop")
+def _mod97(x: Column) -> Column:
+    """The number that capital letters (10 to 35) and digits spell, modulo 97."""
+    letter = lambda c: c.rlike("^[A-Z]$")
+    step = lambda a, c: (a * F.when(letter(c), 100).otherwise(10) + F.ascii(c) - F.when(letter(c), 55).otherwise(48)) % 97
+    return F.aggregate(F.filter(F.split(x, ""), lambda c: c.rlike("^[A-Z0-9]$")), F.lit(0), step)
+
+
+def drawn(entities: DataFrame, key: str, attempt: int) -> DataFrame:
+    """kind, norm and core: a surrogate of each entity. An entity is hashed once, whatever its length."""
+    h = F.sha2(F.concat_ws("|", F.lit(key), "kind", "norm", F.lit(str(attempt))), 256)
+    hashed = entities.withColumn("_h", h).withColumns({"_digits": F.translate("_h", "abcdef", "012345"), "_letters": F.translate("_h", "0123456789", "ghijklmnop")})
+    return hashed.select("kind", "norm", draw(*map(F.col, ("kind", "norm", "gender", "_h", "_digits", "_letters")), attempt).alias("core"))
+
+
+def draw(kind: Column, norm: Column, gender: Column, h: Column, digits: Column, letters: Column, attempt: int) -> Column:
+    """The surrogate of an entity, in normal form, from its hash. Names and addresses grow with the attempts. Cards and
+    account numbers whose check digits hold get some that hold."""
     n = F.length(norm)
 
     def at(s: Column, i: Column) -> Column:
@@ -120,7 +133,10 @@ def draw(kind: Column, norm: Column, gender: Column, key: str, attempt: int) ->
     byte = [F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") for i in range(4)]
     ip = F.concat_ws(".", (1 + byte[0] % 223).cast("string"), *(b.cast("string") for b in byte[1:]))
     email = F.concat(alike(F.substring_index(norm, "@", 1)), F.lit("@m"), F.substring(letters, 41, 6 + min(attempt, 18)), F.lit(".example.net"))
-    iban = F.concat(F.substring(norm, 1, 2), alike(F.substring(norm, F.lit(3), n - 2)))
+    country, account = F.substring(norm, 1, 2), alike(F.substring(norm, F.lit(5), n - 4))
+    check = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, F.lit("0"))
+    sound = _mod97(F.concat(F.substring(norm, F.lit(5), n), F.substring(norm, 1, 4))) == 1
+    iban = F.concat(country, F.when(sound, check).otherwise(alike(F.substring(norm, 3, 2))), account)
     name = None
     for script, (syllables, endings) in reversed(SCRIPTS.items()):
         known = F.array(*map(F.lit, syllables))
@@ -139,7 +155,7 @@ def surrogates(entities: DataFrame, key: str = KEY, most_draws: int = MOST_DRAWS
     real = entities.select("kind", F.col("norm").alias("core"))
     done, open_ = None, entities
     for attempt in range(most_draws):
-        new = open_.select("kind", "norm", draw(F.col("kind"), F.col("norm"), F.col("gender"), key, attempt).alias("core"))
+        new = drawn(open_, key, attempt)
         best = new.groupBy("kind", "core").agg(F.min("norm").alias("norm"))  # one of several keeps it
         best = best.join(real, ["kind", "core"], "left_anti")
         if done is not None:
@@ -200,11 +216,14 @@ def replace_private(docs: DataFrame, *, text: str = "text", key_column: str = "d
     """The rows with their mentions replaced, and n_entities (mentions) and kinds (sorted) added.
 
     Null and empty texts and texts without mentions stay as they are. Repeated rows get equal results. Columns of the
-    names n_entities and kinds are replaced; others stay. Equal entities get equal surrogates wherever they occur,
+    names n_entities and kinds are replaced; others stay, whatever their names. Equal entities get equal surrogates wherever they occur,
     different ones different surrogates. A very long text is one value of an expression; its cost grows with its length,
     and with the number of its words times that of its different names.
     """
-    columns = [c for c in docs.columns if c not in ("n_entities", "kinds")]
+    names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
+    columns = [f"_{i}" for i in range(len(names))]
+    docs = docs.select(*(F.col(f"`{c}`") for c in names)).toDF(*columns)
+    text, key_column = columns[names.index(text)], columns[names.index(key_column)]
     at = ["_id", "_mark"]
     # Texts pass the patterns once; what follows reads the mentions.
     base = docs.select(*columns, F.coalesce(F.col(key_column).cast("string"), F.lit("")).alias("_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_mark"), mentions(F.col(text)).alias("_m"))
@@ -236,4 +255,4 @@ def replace_private(docs: DataFrame, *, text: str = "text", key_column: str = "d
     marked = marked.select(*(changed.alias(text) if c == text else F.col(c) for c in columns), F.size("new").cast("long").alias("n_entities"), "kinds")
     none = F.array().cast("array<string>")
     plain = base.filter(F.size("_m") == 0).select(*columns, F.lit(0).cast("long").alias("n_entities"), none.alias("kinds"))
-    return marked.unionByName(plain)
+    return marked.unionByName(plain).toDF(*names, "n_entities", "kinds")

@@ -126,3 +126,28 @@ def test_long_text(spark):
 
 def test_empty(spark):
     assert replace_private(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_clashing_columns(spark):
+    odd = ["new", "alone", "_m", "_id", "_mark", "mention", "kind", "cores", "_0", "_1", "a.b", "kinds"]
+    df = spark.createDataFrame([(1, "Mr Smith at a@b.org", *odd), (2, "nothing", *odd), (None, None, *odd)], ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in odd)]))
+    out = replace_private(df)
+    assert out.columns == ["doc_id", "text", *odd[:-1], "n_entities", "kinds"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert all(r[c] == c for r in rows.values() for c in odd[:-1])
+    assert rows[1]["n_entities"] == 2 and "Smith" not in rows[1]["text"] and rows[2]["text"] == "nothing" and rows[None]["text"] is None
+
+
+def test_account_numbers_keep_check_digits_that_hold(spark):
+    def remainder(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    sound = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"]
+    rows = [(i, f"pay to {x} now") for i, x in enumerate([*sound, "DE00370400440532013000"])]
+    got = {r["doc_id"]: r["text"] for r in replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate(sound):
+        y = got[i][len("pay to ") : -len(" now")]
+        assert remainder(x) == remainder(y) == 1 and x != y and x[:2] == y[:2] and len(x) == len(y)
+        assert [c.isspace() for c in x] == [c.isspace() for c in y]
+    assert got[3][7:9] == "DE" and "370400440532013000" not in got[3]
