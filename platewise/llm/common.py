@@ -62,6 +62,13 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, how:
     return big.join(small, [*on, "_salt"], how).drop("_salt")
 
 
+def reject_names(names: list[str], *outputs: str) -> None:
+    """A kept column that is named (letter case aside) as an output is an error, as two columns of that name would be."""
+    clash = {x.lower() for x in names} & {x.lower() for x in outputs}
+    if clash or len({x.lower() for x in names}) < len(names):
+        raise ValueError(f"columns to keep clash: {sorted(clash) or names}")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

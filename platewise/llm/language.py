@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.arrays import Chunk, chunks, column, ranges
+from platewise.llm.arrays import Chunk, chunks, column
+from platewise.llm.common import reject_names
 
 #: Trigrams are hashed into so many cells.
 CELLS = 1 << 17
@@ -27,8 +28,12 @@ TRAIN_ROWS = 20_000
 #: Letters that are scored at a time, and bytes of texts that are labelled together.
 LETTERS, GROUP_BYTES = 1 << 16, 2 << 20
 SWITCH_PENALTY = 10.0
-#: A text of more than so many words is labelled by itself, in stretches of STRETCH words.
+#: A text of more than so many words is labelled by itself, in stretches of STRETCH words; the labels are the same.
 LONG_TEXT, STRETCH = 1 << 17, 4096
+#: Scores are added up in whole numbers of one part in so many.
+POINTS = 1 << 16
+#: Languages that a model knows at most: 512 KB of its table each. The ones with most rows are learned.
+MOST_LANGUAGES = 200
 #: Candidates of a script: languages with at least this share of their training letters in it.
 SCRIPT_SHARE = 0.01
 #: First and last code points of scripts; a letter outside them has script 0.
@@ -123,11 +128,27 @@ def word_scores(c: Chunk, m: Model) -> tuple[np.ndarray, ...]:
     return row[w], start - offsets[row[w]], at[ends - 1] + 1 - offsets[row[w]], ends - w, s, (ends - w) * ok.any(1)
 
 
+def points(x: np.ndarray | float) -> np.ndarray:
+    """Scores as whole numbers of 2**-16. Sums of them are exact, so equal ways are equal however they are summed."""
+    return np.rint(np.asarray(x) * np.float32(POINTS)).astype(np.int64)
+
+
+def _step(x: np.ndarray, penalty: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values before the next words, less the best of each row; which labels stay, and the best label, from which others
+    come."""
+    top = x.argmax(1)
+    x = x - x[np.arange(len(x)), top][:, None]
+    stay = x >= -penalty
+    return np.where(stay, x, -penalty), stay, top
+
+
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, long_text: int = LONG_TEXT, stretch: int = STRETCH) -> np.ndarray:
-    """Best labels of sequences that lie one after the other, counts[i] rows each; ties go to the first label.
+    """Best labels of sequences that lie one after the other, counts[i] rows each.
 
-    All sequences advance together, the longest first, so that each step is one operation on those still running. A
-    sequence of more than ``long_text`` rows is labelled by itself, its stretches advancing together.
+    The last row takes the first of the best labels; going back, a label stays where that costs no more than a change,
+    and else comes from the first of the best labels before it. All sequences advance together, the longest first, so
+    that each step is one operation on those still running. A sequence of more than ``long_text`` rows is labelled by
+    itself, its stretches advancing together, with the same values and so the same labels.
     """
     if (counts > long_text).any():
         path, long, end = np.zeros(len(scores), np.int32), counts > long_text, np.cumsum(counts)
@@ -137,72 +158,72 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, long_text: i
         path[rest] = viterbi(scores[rest], counts[~long], penalty, long_text, stretch)
         return path
     n, k = scores.shape
+    change = int(points(penalty))
     order = np.argsort(-counts, kind="stable")
     begin = (np.cumsum(counts) - counts)[order]
     length = counts[order]
     active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
-    stay, best_before = np.zeros((n, k), bool), np.zeros(n, np.int32)
-    v = np.zeros((len(order), k), np.float32)
+    stay, top = np.ones((n, k), bool), np.zeros(n, np.int32)
+    v = np.zeros((len(order), k), np.int64)
     last = np.zeros(len(order), np.int64)
     path = np.zeros(n, np.int32)
     for t, a in enumerate(active):
         at = begin[:a] + t
-        x = v[:a]
-        if t:
-            top = x.argmax(1)
-            jump = x[np.arange(a), top] - np.float32(penalty)
-            keep = x >= jump[:, None]
-            stay[at], best_before[at] = keep, top
-            x = np.where(keep, x, jump[:, None])
-        x = x + scores[at]
-        x -= x.max(1, keepdims=True)
-        v[:a] = x
+        x, stay[at], top[at] = _step(v[:a], change)
+        v[:a] = x + points(scores[at])
     for t in range(len(active) - 1, -1, -1):
         a = active[t]
         b = active[t + 1] if t + 1 < len(active) else 0
         last[b:a] = v[b:a].argmax(1)
         at, now = begin[:a] + t, last[:a]
         path[at] = now
-        if t:
-            last[:a] = np.where(stay[at, now], now, best_before[at])
+        last[:a] = np.where(stay[at, now], now, top[at])
     return path
 
 
 def _in_stretches(scores: np.ndarray, penalty: float, size: int) -> np.ndarray:
-    """Best labels of one long sequence. Every stretch is run for all labels that may come before it; the best way through
-    the stretches fixes those, and a second run fills in the labels."""
+    """Labels of one long sequence as viterbi gives them, its stretches of ``size`` rows advancing together.
+
+    First every stretch is run from each label alone, which gives the values before each stretch in turn; from those it is
+    run again as one of many sequences. Going back, the label before each stretch is found for every label at its end;
+    once the last is known these give the labels at all ends, and a last run fills in the rest.
+    """
     n, k = scores.shape
-    m = -(-n // size)
-    s = np.zeros((m * size, k))  # rows beyond the end score nothing, so the last label stays
-    s[:n] = scores
-    s = s.reshape(m, size, k)
-    v = np.where(np.eye(k, dtype=bool), 0.0, -penalty)[None] + s[:, 0][:, None]
-    v[0] = s[0, 0]
-    for t in range(1, size):
-        v = np.maximum(v, v.max(2, keepdims=True) - penalty) + s[:, t][:, None]
-    best, came = v[0, 0], np.zeros((m, k), np.int64)
+    m, change = -(-n // size), int(points(penalty))
+    v = np.tile(np.where(np.eye(k, dtype=bool), 0, -change), (m, 1, 1))  # stretch, label before it, label now
+    for t in range(size):
+        s = points(scores[t::size])  # row t of every stretch that has one
+        x = v[: len(s)]
+        if t:
+            np.maximum(x, x.max(2, keepdims=True) - change, out=x)
+        x += s[:, None]
+    before = np.zeros((m, k), np.int64)
     for j in range(1, m):
-        way = best[:, None] + v[j]
-        came[j] = way.argmax(0)
-        best = way.max(0)
-    last = np.zeros(m, np.int64)
-    last[-1] = best.argmax()
+        before[j] = (before[j - 1][:, None] + v[j - 1]).max(0)
+        before[j] -= before[j].max()
+    stay, top, x = np.zeros((n, k), bool), np.zeros(n, np.int32), before
+    for t in range(size):
+        s = points(scores[t::size])
+        y, stay[t::size], top[t::size] = _step(x[: len(s)], change)
+        x[: len(s)] = y + s
+
+    def back(now: np.ndarray, path: np.ndarray | None = None) -> np.ndarray:
+        """Labels before the stretches, of the labels (stretch, way) at their ends."""
+        for t in range(size - 1, -1, -1):
+            kept, came = stay[t::size], top[t::size]
+            a = now[: len(came)]
+            if path is not None:
+                path[t::size] = a[:, 0]
+            now[: len(came)] = np.where(np.take_along_axis(kept, a, 1), a, came[:, None])
+        return now
+
+    came, last = back(np.tile(np.arange(k), (m, 1))), np.zeros((m, 1), np.int64)
+    last[-1] = x[-1].argmax()
     for j in range(m - 1, 0, -1):
         last[j - 1] = came[j, last[j]]
-    x = s[:, 0].copy()
-    x[1:] += np.where(np.arange(k)[None] == last[:-1, None], 0.0, -penalty)
-    stay, top = np.zeros((size, m, k), bool), np.zeros((size, m), np.int32)
-    for t in range(1, size):
-        top[t] = x.argmax(1)
-        jump = x.max(1, keepdims=True) - penalty
-        stay[t] = x >= jump
-        x = np.maximum(x, jump) + s[:, t]
-    path, now, row = np.zeros((m, size), np.int32), last.copy(), np.arange(m)
-    for t in range(size - 1, -1, -1):
-        path[:, t] = now
-        if t:
-            now = np.where(stay[t, row, now], now, top[t])
-    return path.ravel()[:n]
+    path = np.zeros(n, np.int32)
+    back(last, path)
+    return path
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
@@ -216,9 +237,10 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
     code point offsets. Null, empty and letterless texts: ``und``, score 0, no spans. Rows are independent, so
     repeated rows get equal results; other columns don't matter; an empty frame stays empty. A tie between languages
     goes to the one that sorts first. A very long text is scored some letters at a time and labelled as one sequence,
-    with four bytes a word and language.
+    with six bytes a word and language. A column of ``keep`` that is called lang_pred, score or spans is an error.
     """
     names = list(keep)
+    reject_names(names, "lang_pred", "score", "spans")
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("spans", SPANS)
     langs = model.languages
 
@@ -258,21 +280,23 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
     return docs.select(*names, text).mapInArrow(run, schema) if text not in names else docs.select(*names).mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS, smoothing: float = 0.05) -> Model:
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS, smoothing: float = 0.05, languages: int = MOST_LANGUAGES) -> Model:
     """Learns from about ``rows`` rows with non-null lang and text, picked by a hash of ``key``: the same number of every
     language, and all rows of a language that has fewer, so that a rare language is learned however large the table is.
 
-    The driver receives sums per language and trigram cell, at most CELLS of them a language. Without any labelled
-    row the model knows no language and every text is ``und``.
+    The driver receives sums per language and trigram cell, at most CELLS of them a language, and of more than
+    ``languages`` labels only those with most rows (ties to the label that sorts first) are learned. Without any
+    labelled row the model knows no language and every text is ``und``.
     """
     docs = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    seen = docs.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    labels = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    seen = labels.orderBy(F.desc("n"), "lang").limit(languages).collect()
     langs = sorted(r["lang"] for r in seen)
     if not langs:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
     quota, scale = max(1, rows // len(langs)), 1 << 60
     share = F.create_map(*(F.lit(x) for r in seen for x in (r["lang"], min(scale, scale * quota // r["n"] + 1))))
-    picked = docs.filter(F.pmod(F.xxhash64("k"), F.lit(scale)) < share[F.col("lang")])
+    picked = docs.filter(F.pmod(F.xxhash64("k"), F.lit(scale)) < share[F.col("lang")])  # null, so false, for labels not learned
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,3 +74,69 @@ def hits(rows, items, window=10):
                     found |= ids
         out[doc] = (len(w), len(hit), sorted(found))
     return out
+
+
+def viterbi(scores, penalty):
+    """Best labels of one sequence, step by step; of equals the label that stays, then the first."""
+    k = range(len(scores[0]))
+    best, back = list(scores[0]), []
+    for now in scores[1:]:
+        top = max(k, key=lambda j: (best[j], -j))
+        back.append([j if best[j] >= best[top] - penalty else top for j in k])
+        best = [max(best[j], best[top] - penalty) + now[j] for j in k]
+    path = [max(k, key=lambda j: (best[j], -j))]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    return path[::-1]
+
+
+def _letter_words(text):
+    """Words as lists of (trigram cell, script) of their letters."""
+    import unicodedata
+
+    low = [0] * (len(text) + 2)
+    for i, c in enumerate(text):
+        if c.isalpha():
+            low[i + 1] = ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+    out = []
+    for i, c in enumerate(text):
+        if low[i + 1]:
+            h = (low[i] * 0x9E3779B97F4A7C15 + low[i + 1] * 0xC2B2AE3D27D4EB4F + low[i + 2] * 0x165667B19E3779F9) % 2**64
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+            script = unicodedata.name(c).split()[0]
+            if low[i] == 0 or script in ("CJK", "HIRAGANA", "KATAKANA"):
+                out.append([])
+            out[-1].append((h >> 47, script))
+    return out
+
+
+def languages(labelled, texts, penalty=10.0, smoothing=0.05, least=0.01):
+    """(label, share of letters) of each text, learned from (text, lang) rows."""
+    import math
+    from collections import Counter
+
+    langs = sorted({x for _, x in labelled})
+    cells, scripts = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for text, lang in labelled:
+        for w in _letter_words(text):
+            cells[lang].update(c for c, _ in w)
+            scripts[lang].update(s for _, s in w)
+    size = {x: cells[x].total() for x in langs}
+    out = []
+    for text in texts:
+        scores, known, letters = [], [], []
+        for w in _letter_words(text or ""):
+            s = [sum(math.log((cells[x][c] + smoothing) / (size[x] + smoothing * 2**17)) for c, _ in w) for x in langs]
+            seen = [scripts[x][w[0][1]] > least * max(1, size[x]) for x in langs]
+            s = [a - (10_000 if any(seen) and not ok else 0) for a, ok in zip(s, seen)]
+            scores.append([round((a - max(s)) * 2**16) for a in s])
+            known.append(len(w) if any(seen) else 0)
+            letters.append(len(w))
+        if not scores:
+            out.append(("und", 0.0))
+            continue
+        share = [0] * len(langs)
+        for x, n in zip(viterbi(scores, penalty * 2**16), known):
+            share[x] += n
+        out.append((langs[share.index(max(share))], max(share) / sum(letters)))
+    return out

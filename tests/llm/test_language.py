@@ -1,36 +1,52 @@
+import zlib
+
+import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from platewise.llm.language import Model, identify, train, viterbi
 from platewise.llm.queries_language import fold, fitted, op10_language_id
 
 
-def plain_viterbi(scores, penalty):
-    """Best labels of one sequence, step by step; of equals the label that stays, then the first."""
-    n, k = scores.shape
-    best, back = scores[0].copy(), []
-    for t in range(1, n):
-        top = int(best.argmax())
-        came = [j if best[j] >= best[top] - penalty else top for j in range(k)]
-        back.append(came)
-        best = np.array([max(best[j], best[top] - penalty) for j in range(k)]) + scores[t]
-    path = [int(best.argmax())]
-    for came in reversed(back):
-        path.append(came[path[-1]])
-    return path[::-1]
-
-
 def test_viterbi_is_the_plain_one():
     rng = np.random.default_rng(4)
-    counts = np.array([1, 40, 7, 300, 2, 41])
-    scores = -rng.integers(0, 12, (int(counts.sum()), 4)).astype(np.float32)
-    for stretch in (4096, 40, 8):
-        got, at = viterbi(scores, counts, 10.0, stretch, stretch), 0
-        for n in counts:
-            want = plain_viterbi(scores[at : at + n].astype(np.float64), 10.0)
-            total = lambda p: sum(scores[at + t, x] for t, x in enumerate(p)) - 10.0 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: E731, B023
-            assert total(got[at : at + n].tolist()) == total(want)
-            at += n
+    for k in (1, 4):
+        for penalty in (10.0, 0.0):
+            counts = np.array([1, 40, 7, 300, 2, 41, 80])
+            scores = -rng.integers(0, 12, (int(counts.sum()), k)).astype(np.float32)
+            ends = np.cumsum(counts)
+            want = sum((brute.viterbi(scores[e - n : e].tolist(), penalty) for n, e in zip(counts, ends)), [])
+            for stretch in (4096, 40, 8, 1):  # whole, and in stretches, with many ties
+                assert viterbi(scores, counts, penalty, stretch, stretch).tolist() == want
+
+
+def test_whole_query_is_the_plain_one(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    labelled = [(r["text"], r["lang"]) for r in docs if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    want = dict(zip([r["doc_id"] for r in docs], brute.languages(labelled, [r["text"] for r in docs])))
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in op10_language_id(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for i, (held, label, score) in got.items():
+        assert held == (zlib.crc32(str(i).encode()) % 5 == 0) and label == want[i][0] and abs(score - want[i][1]) < 1e-9
+
+
+def test_mixed_texts_and_scripts_are_the_plain_ones(spark):
+    labelled = [("the lazy dog sleeps and the quick fox jumps", "en"), ("der faule Hund schläft und der Fuchs springt", "de"), ("ленивая собака спит", "ru"), ("懒狗在睡觉", "zh")] * 3
+    texts = ["the lazy dog der faule Hund schläft ленивая", "собака the fox", "懒狗 the dog sleeps", "ελληνικά", "ελληνικά the dog", "123 ...", "", None, "Ǆ İstanbul", "dog" * 50]
+    model = train(spark.createDataFrame([(i, *r) for i, r in enumerate(labelled)], "doc_id long, text string, lang string"))
+    got = identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, switch_penalty=3.0).orderBy("doc_id").collect()
+    for r, (label, score) in zip(got, brute.languages(labelled, texts, penalty=3.0)):
+        assert (r["lang_pred"], round(r["score"], 9)) == (label, round(score, 9)), r
+
+
+def test_labels_are_bounded_and_columns_may_not_clash(spark):
+    rows = [(i, t, x) for i, (t, x) in enumerate([("the lazy dog", "en")] * 5 + [("der faule Hund", "de")] * 4 + [("dirt", "x"), (None, "y"), ("le chien", "fr")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert train(docs, languages=2).languages == ["de", "en"] and train(docs, languages=3).languages == ["de", "en", "fr"]
+    with pytest.raises(ValueError, match="score"):
+        identify(docs.withColumn("Score", F.lit(1)), train(docs), keep=("doc_id", "Score"))
 
 
 def test_held_out_accuracy(spark):
