@@ -76,13 +76,13 @@ def typed(pages: DataFrame, *, key: str = "page_id", url: str = "url", body: str
     """page_id, url, body, record_type and refers_to: of equal bodies of at least ``least`` bytes the page with the
     smallest id is the response and the others revisit it; shorter bodies are all responses. Null bodies are empty.
 
-    Bodies are equal if their SHA-1 digests and lengths are. However many pages share a body, they are spread over tasks.
+    Bodies are equal if their SHA-256 digests are; their SHA-1, which the records carry, decides nothing. However many
+    pages share a body, they are spread over tasks.
     """
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(body).cast("binary"), F.lit("").cast("binary")).alias("body"))
-    p = p.withColumn("d", F.sha1("body"))
-    p = p.withColumn("n", F.octet_length("body"))
-    first = p.groupBy("d", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("pages"))
-    p = salted_join(p, first.filter("pages > 1").drop("pages"), ["d", "n"], "page_id", "left").withColumn("first", F.coalesce("first", "page_id"))
+    p = p.withColumn("d", F.sha2("body", 256))
+    first = p.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("pages"))
+    p = salted_join(p, first.filter("pages > 1").drop("pages"), ["d"], "page_id", "left").withColumn("first", F.coalesce("first", "page_id"))
     revisit = (F.octet_length("body") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))
     kind = F.when(revisit, "revisit").otherwise("response")
     return p.select("page_id", "url", "body", kind.alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
