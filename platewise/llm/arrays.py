@@ -112,13 +112,15 @@ def fixed_hashes(v: np.ndarray, start: np.ndarray, n: int, seed: int = 0) -> np.
     return h
 
 
-def same_lanes(v: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the strings of ``size`` bytes at a and at b are equal, byte by byte, from the lanes of the bytes."""
+def same_lanes(v: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    """Whether the strings of ``size`` bytes at a and at b are equal, byte by byte, from the lanes of the bytes: v, and
+    those of b's bytes if they are others."""
+    w = v if w is None else w
     same = np.ones(len(a), bool)
     some, off = np.flatnonzero(size > 0), 0
     while len(some):
         mask = _MASKS[np.minimum(size[some] - off, 8)]
-        same[some] = (v[a[some] + off] & mask) == (v[b[some] + off] & mask)
+        same[some] = (v[a[some] + off] & mask) == (w[b[some] + off] & mask)
         off += 8
         some = some[same[some] & (size[some] > off)]
     return same

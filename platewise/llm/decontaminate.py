@@ -5,15 +5,17 @@ one length are searched together: the last two words of the text window index a
 skipped by more than one word, and where the shift is 0 the block's hash selects the bucket of patterns that end so,
 which are compared word by word and confirmed on the bytes.
 
-Patterns are numbers of words in one array of the items' bytes. They reach the tasks with the function itself, in
-blocks of about BLOCK_BYTES of item text, each some ten times as large in memory; every block is one more pass over
-each batch of documents, so a large benchmark costs time.
+Patterns are numbers of words in one array of the items' bytes. They reach the tasks with the function itself, some
+ten times as large in memory as the items' text, and so in blocks of about BLOCK_BYTES of it: one block at a time is on
+the driver and in a task. Every block but the last is a job of its own over the texts, of which only the texts with
+hits are written, under a digest of the text, and joined to the last block's pass. A large benchmark costs time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewise.llm.arrays import LONG, U64, Chunk, chunks, column, lanes, lower_table, mix, ranges, runs, same_lanes, string_hashes
+from platewise.llm.common import landed, reject_names, salted_join
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -101,14 +104,14 @@ def compile_patterns(items: pa.RecordBatch | pa.Table, window: int = WINDOW) ->
     return Words(low, start, end, h, ids), out
 
 
-def same_words(x: Words, seen: np.ndarray, own: int, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether words a of a text and words b of the items are equal by bytes. ``seen`` are the lanes of the text's bytes
-    and, from ``own`` on, the items'; words of more than LONG bytes are known by their BLAKE2b hashes alone."""
+def same_words(x: Words, seen: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether words a of a text and words b of the items are equal by bytes. ``seen`` are the lanes of the text's bytes,
+    ``own`` the items'; words of more than LONG bytes are known by their BLAKE2b hashes alone."""
     size = end[a] - start[a]
-    return (size == x.end[b] - x.start[b]) & ((size > LONG) | same_lanes(seen, start[a], own + x.start[b], np.minimum(np.where(size > LONG, 0, size), x.end[b] - x.start[b])))
+    return (size == x.end[b] - x.start[b]) & ((size > LONG) | same_lanes(seen, start[a], x.start[b], np.where(size > LONG, 0, np.minimum(size, x.end[b] - x.start[b])), own))
 
 
-def search(p: Patterns, x: Words, seen: np.ndarray, own: int, start: np.ndarray, end: np.ndarray, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def search(p: Patterns, x: Words, seen: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words of the occurrences, and which pattern each is."""
     none = np.zeros(0, np.int64)
     if len(h) < p.m:
@@ -149,38 +152,50 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     A word is hit if it lies in an occurrence of any pattern; items are those with a pattern that occurs. Null and
     empty texts have no words; items without words have no patterns; an empty benchmark hits nothing. Items are named by
     their ids, of any type; repeated ids count once, and a null id is one more name, listed last. Rows are independent,
-    repeated rows get equal results, and other columns don't matter. A very long text is a chunk of its own, of some
-    fifty bytes of work space a byte.
+    repeated rows get equal results, and other columns don't matter; a column of ``keep`` that is called as an output is an
+    error. A very long text is a chunk of its own, of some fifty bytes of work space a byte.
     """
     names = list(keep)
+    reject_names(names, "n_words", "hits", "n_hit", "items")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    schema = docs.select(*names).schema.add("n_words", "long").add("hits", "binary").add("n_hit", "long").add("items", T.ArrayType(benchmark.schema["item_id"].dataType))
-    out = docs.select(*names, *([text] if text not in names else []))
-    for b in range(blocks):
+    # Columns get names of their own, so that none of docs can clash with what is added.
+    kept = [f"c{i}" for i in range(len(names))]
+    out = docs.select(*(F.col(x).alias(k) for x, k in zip(names, kept)), F.col(text).alias("text"))
+
+    def patterns(b: int) -> tuple[Words, list[Patterns], pa.DataType]:
         part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").toArrow()
-        last = b == blocks - 1
-        out = _pass(out, *compile_patterns(part, window), schema, names, text, b == 0, last, pa.list_(part.schema.field("item_id").type))
-    return out
+        return *compile_patterns(part, window), part.schema.field("item_id").type
+
+    item = benchmark.schema["item_id"].dataType
+    if blocks > 1:
+        out = out.withColumn("digest", F.sha2("text", 256))
+        found = [landed(_pass(out, ["digest"], *patterns(b), item).filter("n_hit > 0").groupBy("digest").agg(F.first("hits").alias("hits"), F.first("items").alias("items")), "hits") for b in range(blocks - 1)]
+        # A text has at most one row of each block here.
+        earlier = reduce(DataFrame.union, found).groupBy("digest").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+        out = salted_join(out, landed(earlier, "hits"), ["digest"], kept[0] if kept else "text", "left")
+    out = _pass(out, kept, *patterns(blocks - 1), item)
+    return out.toDF(*names, "n_words", "hits", "n_hit", "items")
 
 
-def _pass(df: DataFrame, known: Words, patterns: list[Patterns], schema, names: list[str], text: str, first: bool, last: bool, id_type: pa.DataType) -> DataFrame:
-    """One search; what earlier passes found is carried in the columns that this one adds to."""
-    carried = [] if last or text in names else [text]
-    if carried:
-        schema = type(schema)([*schema.fields, df.schema[text]])
+def _pass(df: DataFrame, names: list[str], known: Words, patterns: list[Patterns], id_type: pa.DataType, item: T.DataType) -> DataFrame:
+    """One search of the column text, which adds to what earlier ones found (columns hits and items: a list of each, or
+    null), if df has that."""
+    more = "hits" in df.columns
+    schema = T.StructType([*df.select(*names).schema.fields]).add("n_words", "long").add("hits", "binary").add("n_hit", "long").add("items", T.ArrayType(item))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lanes(known.low)
         for batch in batches:
             n_words, n_hit, hits, items = [], [], [], []
-            before = None if first else (column(batch, "hits").to_pylist(), column(batch, "items").to_pylist())
-            for c in chunks(column(batch, text)):
+            before = {k: (batch_hits, batch_items) for k, (batch_hits, batch_items) in enumerate(zip(column(batch, "hits").to_pylist(), column(batch, "items").to_pylist())) if batch_hits} if more else {}
+            for c in chunks(column(batch, "text")):
                 low, start, end, row, h = words(c)
                 edge = np.zeros(len(h) + 1, np.int64)
-                seen = lanes(np.concatenate([low, known.low]))
-                mine: list[set] = [set() for _ in range(c.rows)] if first else [set(x) for x in before[1][c.lo : c.hi]]
+                seen = lanes(low)
+                mine: list[set] = [set() for _ in range(c.rows)]
                 for p in patterns:
-                    at, which = search(p, known, seen, len(low), start, end, row, h)
+                    at, which = search(p, known, seen, own, start, end, row, h)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + p.m, -1)
                     for r, k in zip(row[at].tolist(), which.tolist()):
@@ -189,15 +204,16 @@ def _pass(df: DataFrame, known: Words, patterns: list[Patterns], schema, names:
                 cut = np.searchsorted(row, np.arange(c.rows + 1))
                 for i in range(c.rows):
                     bits = hit[cut[i] : cut[i + 1]]
-                    if not first:
-                        bits = bits | np.unpackbits(np.frombuffer(before[0][c.lo + i], np.uint8), count=len(bits)).astype(bool)
+                    for packed, ids in zip(*before.get(c.lo + i, ((), ()))):
+                        bits = bits | np.unpackbits(np.frombuffer(packed, np.uint8), count=len(bits)).astype(bool)
+                        mine[i].update(ids)
                     n_words.append(len(bits))
                     n_hit.append(int(bits.sum()))
                     hits.append(np.packbits(bits).tobytes())
                     items.append(sorted(mine[i], key=lambda x: (x is None, x)))
             yield pa.RecordBatch.from_arrays(
-                [*(column(batch, x) for x in names), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(n_hit, pa.int64()), pa.array(items, id_type), *(column(batch, x) for x in carried)],
-                [*names, "n_words", "hits", "n_hit", "items", *carried],
+                [*(column(batch, x) for x in names), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(id_type))],
+                [*names, "n_words", "hits", "n_hit", "items"],
             )
 
     return df.mapInArrow(run, schema)

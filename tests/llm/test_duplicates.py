@@ -121,6 +121,21 @@ def test_decontaminate(spark, rows):
         assert got == want
 
 
+def test_decontaminate_a_large_benchmark(spark, rows):
+    items = [(i, " ".join((t or "").split()[:12])) for i, t in rows[:60]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    odd = frame(spark, [*rows, rows[3], (None, rows[5][1])]).selectExpr("doc_id", "text", "text AS digest", "1 AS c0")
+    size = sum(len((t or "").encode()) for _, t in items)
+    found = decontaminate(odd, bench, keep=("c0", "doc_id", "digest"), block_bytes=-(-size // 12))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one block of patterns in a task, however many there are
+    want = hits(rows, items)
+    got = [(r["doc_id"], (r["n_words"], r["n_hit"], list(r["items"]))) for r in found.collect()]
+    assert len(got) == len(rows) + 2 and dict(got) == {**want, None: want[rows[5][0]]}
+    with pytest.raises(ValueError, match="hits"):
+        decontaminate(odd.withColumnRenamed("c0", "hits"), bench, keep=("doc_id", "hits"))
+
+
 def test_decontaminate_ids_and_long_texts(spark):
     long = "word " * 200_000 + "alpha beta gamma " + "x" * 1_000_000 + " end"
     items = [(None, "alpha beta gamma"), ("b", "x" * 1_000_000), ("a", "end"), (None, None), ("c", "y" * 1_000_000)]
