@@ -162,8 +162,8 @@ def long_count(text: np.ndarray, known: list[int], v: Vocabulary) -> int:
 def count_tokens(docs: DataFrame, costs: dict[bytes, int], *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus n_bytes, n_pre_tokens and n_tokens of each row.
 
-    Null and empty texts count 0. Rows are independent, repeated rows get equal counts, other columns don't matter,
-    and an empty frame stays empty. A very long text is a chunk of its own, of some fifty bytes of work space a byte; a
+    Null and empty texts count 0. Rows are independent, repeated rows get equal counts, other columns don't matter (one
+    of ``keep`` must not be called as an output), and an empty frame stays empty. A very long text is a chunk of its own, of some fifty bytes of work space a byte; a
     word without spaces takes a few seconds a megabyte.
     """
     names = list(keep)
