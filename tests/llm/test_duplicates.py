@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from brute import hits, near, repeats
 
@@ -167,6 +168,21 @@ def test_vectors(spark):
         assert got[907] == (1, 906, False) and all(got[i] == (0, i, True) for i, _ in odd[:6]) and got[None] == (0, None, True)
 
 
+def test_recall_of_the_trees(spark):
+    """20,000 vectors, more than a leaf holds: pairs around the threshold and a group that lies within it."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((14_000, 64)))
+    mates = unit(base[:5000] + unit(rng.standard_normal((5000, 64))) * rng.uniform(0.25, 0.33, (5000, 1)))
+    group = unit(base[:1] + unit(rng.standard_normal((1000, 64))) * 0.23)
+    x = np.concatenate([base, mates, group]).astype(np.float32)
+    y = unit(x.astype(np.float64))
+    want = np.concatenate([(y[i : i + 2000] @ y.T >= 0.95).sum(1) - 1 for i in range(0, len(y), 2000)])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()})).selectExpr("vec_id", "cast(embedding AS array<float>) AS embedding")
+    got = near_vectors(df).select("id", "n_links").toPandas().set_index("id")["n_links"].reindex(range(len(x))).to_numpy()
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum() > 500_000
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
