@@ -73,28 +73,39 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (id, component_id) for each id that has an edge.
 
-    component_id is the smallest id of the component. Each round hooks every vertex to its smallest neighbour,
-    follows the hooks twice and contracts the edges, which shrink by half at least; sums and minima are combined
-    before they are shuffled, so a vertex with very many edges is no burden. Empty edges give no rows; loops count.
+    component_id is the smallest id of the component. Each round hooks every vertex to its smallest neighbour, follows
+    the hooks twice and contracts the edges; sums and minima are combined before they are shuffled, so a vertex with
+    very many edges is no burden. Only vertices smaller than all their neighbours are left, which are few but in a star
+    around a large id; that takes one round more. Empty edges give no rows; loops count.
+
+    ``known`` is what an earlier call returned, for other edges: only edges between its components are then followed,
+    and the result is that of all edges together. Where they join nothing, ids are added and no round is run.
     """
     edges = landed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "edges")
-    labels = landed(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b"))).distinct().withColumn("component_id", F.col("id")), "labels")
+    labels = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component_id", F.col("id"))
     left = edges.filter("a <> b")
+    if known is not None:
+        labels = known.unionByName(labels.join(known, "id", "left_anti"))
+        ka, kb = known.toDF("a", "pa"), known.toDF("b", "pb")
+        mapped = left.join(ka, "a", "left").join(kb, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+        left = landed(mapped.filter("a <> b").distinct(), "edges")
+    hooks = []
     for _ in range(max_rounds):
         if left.isEmpty():
-            return labels
-        both = left.union(left.select("b", "a"))
-        hook = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("p"))
-        hook = landed(hook, "hooks")
-        up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        hook = hook.join(up, "p").select("v", F.col("q").alias("p"))
-        up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        hook = landed(hook.join(up, "p").select("v", F.col("q").alias("p")), "hooks")
-        labels = landed(labels.join(hook, labels.component_id == hook.v, "left").select("id", F.coalesce("p", "component_id").alias("component_id")), "labels")
-        ha, hb = hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+            break
+        hook = left.union(left.select("b", "a")).groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("p"))
+        up = hook.toDF("p", "q")
+        hook = hook.join(up, "p").select("v", F.col("q").alias("p")).join(up, "p").select("v", F.col("q").alias("p"))
+        hooks.append(landed(hook, "hooks"))
+        ha, hb = hooks[-1].toDF("a", "pa"), hooks[-1].toDF("b", "pb")
         left = left.join(ha, "a").join(hb, "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
         left = landed(left, "edges")
-    raise RuntimeError("components did not settle")
+    else:
+        raise RuntimeError("components did not settle")
+    # A hook leads to a vertex of the next round, if that one had edges left.
+    for hook in hooks:
+        labels = labels.join(hook.toDF("component_id", "p"), "component_id", "left").select("id", F.coalesce("p", "component_id").alias("component_id"))
+    return landed(labels, "labels")

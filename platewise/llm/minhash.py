@@ -249,8 +249,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     def links(spread: DataFrame) -> DataFrame:
         return spread.join(sets.select("id", "members"), "id").groupBy("tree", "label", "i", "j").applyInArrow(links_in_block(least, out_of), "a long, b long")
 
-    edges = landed(links(member), "links")
-    comp = components(edges)
+    comp = components(links(member))
     # What the first trees join needn't be compared in the others.
     for first, end in OPEN_ROUNDS:
         part = uncut.filter(F.col("tree").between(first, end - 1))
@@ -258,8 +257,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
             continue
         spread = landed(open_block_pairs(part, comp, block, shingles_), "open")
         if not spread.isEmpty():
-            edges = edges.unionByName(landed(links(spread), "links"))
-            comp = components(edges)
+            comp = components(links(spread), comp)
     # Only classes of several documents, or in a component of several, tell their documents something.
     told = reps.join(comp, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")).filter("copies > 1 OR component_id <> id").select(*same, "component_id")
     rows = salted_join(base.drop("sig"), told, same, "id", "left")

@@ -189,6 +189,22 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), 200: 200, 201: 200}
 
 
+def test_components_of_more_edges(spark):
+    """Edges that come later, a star around its largest id among them, give what all edges give at once."""
+    r = random.Random(5)
+    parts = [[(r.randrange(400), r.randrange(400)) for _ in range(90)] for _ in range(2)]
+    parts += [[(999, i) for i in range(0, 400, 9)], [(5000, 5001), (5002, 5002)], [], [(999, 5001), (3, 3)]]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    known, root = None, {}
+    find = lambda v: v if root.setdefault(v, v) == v else find(root[v])
+    for edges in parts:
+        known = components(frame(edges), known)
+        for a, b in edges:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        assert sorted(map(tuple, known.collect())) == sorted((v, find(v)) for v in list(root))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(none).collect() == remove_repeats(none).collect() == []
