@@ -97,15 +97,17 @@ def components(edges: DataFrame, known: DataFrame | None = None, max_rounds: int
         if left.isEmpty():
             break
         hook = left.union(left.select("b", "a")).groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("p"))
-        up = hook.toDF("p", "q")
-        hook = hook.join(up, "p").select("v", F.col("q").alias("p")).join(up, "p").select("v", F.col("q").alias("p"))
+        # The hooks of vertices that others hook to; one without a smaller neighbour leads nowhere else.
+        up = hook.filter("p < v").join(hook.select(F.col("p").alias("v")).distinct(), "v", "left_semi").toDF("p", "q")
+        for _ in range(2):
+            hook = salted_join(hook, up, ["p"], "v", "left").select("v", F.coalesce("q", "p").alias("p"))
         hooks.append(landed(hook, "hooks"))
         ha, hb = hooks[-1].toDF("a", "pa"), hooks[-1].toDF("b", "pb")
         left = left.join(ha, "a").join(hb, "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
         left = landed(left, "edges")
     else:
         raise RuntimeError("components did not settle")
-    # A hook leads to a vertex of the next round, if that one had edges left.
+    # A hook leads to a vertex of the next round, if that one had edges left. Very many ids may share a component by then.
     for hook in hooks:
-        labels = labels.join(hook.toDF("component_id", "p"), "component_id", "left").select("id", F.coalesce("p", "component_id").alias("component_id"))
+        labels = salted_join(labels, hook.toDF("component_id", "p"), ["component_id"], "id", "left").select("id", F.coalesce("p", "component_id").alias("component_id"))
     return landed(labels, "labels")
