@@ -17,26 +17,61 @@ def surface(image: DataFrame, model: DataFrame, reach: int, padded: int | None =
     """Masked normalized correlation of image (pair, v, u, value) and model (pair, v, u, value, mask)
     for every whole-pixel shift up to reach: pair, dy, dx, numerator, ncc.
 
-    Model pixels under the mask are spread over the shifts and meet the image by equality; the sums are combined
-    before they are shuffled. Image pixels outside the frame count as 0. With ``padded``, the pixels of a padded frame,
-    the model's variance is taken over that frame, the model being 0 outside its mask. X04: filters are applied to both
-    sides first.
+    Model pixels under the mask meet the image of their pair, and only then are spread over the shifts: pixels are shuffled
+    once, and the sums of a pair stay where they are. Image pixels outside the frame count as 0. With ``padded``, the
+    pixels of a padded frame, the model's variance is taken over that frame, the model being 0 outside its mask. X04:
+    filters are applied to both sides first.
     """
     image = image if image_filter is None else image.transform(image_filter)
     model = model if model_filter is None else model.transform(model_filter)
     shifts = F.sequence(F.lit(-reach), F.lit(reach))
-    m = model.filter("mask").withColumn("dy", F.explode(shifts)).withColumn("dx", F.explode(shifts))
-    m = m.select("pair", "dy", "dx", (F.col("v") + F.col("dy")).alias("v"), (F.col("u") + F.col("dx")).alias("u"), F.col("value").alias("m"))
-    return correlated(m, image, padded)
+    m = model.filter("mask").select("pair", "v", "u", F.col("value").alias("m"))
+    m = with_frames(m, image).withColumn("dy", F.explode(shifts)).withColumn("dx", F.explode(shifts))
+    return _summed(m.withColumn("i", in_frame(F.col("v") + F.col("dy"), F.col("u") + F.col("dx"))), padded)
 
 
 def correlated(m: DataFrame, image: DataFrame, padded: int | None = None) -> DataFrame:
-    """The surface from model pixels m (pair, dy, dx, v, u, m), each at the image pixel that it meets at its shift."""
-    s = m.join(image.select("pair", "v", "u", F.col("value").alias("i")), ["pair", "v", "u"], "left").withColumn("i", F.coalesce("i", F.lit(0.0)))
+    """The surface from model pixels m (pair, dy, dx, v, u, m), each at the image pixel that it meets at its shift. Pixels
+    that come from a join by pair aren't shuffled."""
+    return _summed(with_frames(m, image).withColumn("i", in_frame(F.col("v"), F.col("u"))), padded)
+
+
+def _summed(s: DataFrame, padded: int | None) -> DataFrame:
+    s = s.select("pair", "dy", "dx", "m", F.coalesce("i", F.lit(0.0)).alias("i"))
     s = s.groupBy("pair", "dy", "dx").agg(F.sum(F.col("i") * F.col("m")).alias("im"), F.sum("i").alias("i"), F.sum(F.col("i") * F.col("i")).alias("ii"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("w"))
     return scored(s, padded)
 
 
+def with_frames(df: DataFrame, image: DataFrame, *values: str) -> DataFrame:
+    """df with the image (pair, v, u, value) of its pair beside every row, for ``in_frame``: _v and _u, its first row and
+    column, _n, its columns, and _px, the pixels of the smallest frame around it, row by row, null where one is missing.
+
+    A pair's image is one array, as large as its frame. Pixels are dealt by pair before they are gathered, and rows by
+    pair meet them by a merge, so that what follows by pair is neither shuffled nor sorted again.
+    """
+    x = F.struct(*values) if values else F.col("value")
+    px = image.repartition("pair").groupBy("pair").agg(F.min("v").alias("_v"), F.max("v").alias("_v1"), F.min("u").alias("_u"), F.max("u").alias("_u1"), F.sort_array(F.collect_list(F.struct("v", "u", x.alias("x")))).alias("_all"))
+    n = F.col("_u1") - F.col("_u") + 1
+    px = px.select("pair", "_v", "_u", n.alias("_n"), ((F.col("_v1") - F.col("_v") + 1) * n).alias("_size"), "_all")
+    # Where pixels are missing, every place of the frame gets an empty one that stands behind the real one.
+    place = lambda p: (p["v"] - F.col("_v")) * F.col("_n") + p["u"] - F.col("_u")
+    nothing = F.when(F.lit(False), F.element_at("_all", 1)["x"])
+    real = F.transform("_all", lambda p: F.struct(place(p).cast("long").alias("k"), F.lit(0).alias("o"), p["x"].alias("x")))
+    empty = F.transform(F.sequence(F.lit(0).cast("long"), (F.col("_size") - 1).cast("long")), lambda k: F.struct(k.alias("k"), F.lit(1).alias("o"), nothing.alias("x")))
+    full = F.size("_all") == F.col("_size")
+    px = px.withColumn("_both", F.when(~full, F.sort_array(F.concat(real, empty))))
+    first = lambda p, at: (at == 0) | (F.get("_both", at - 1)["k"] != p["k"])
+    sparse = F.transform(F.filter("_both", first), lambda p: p["x"])
+    px = px.select("pair", "_v", "_u", "_n", F.when(full, F.transform("_all", lambda p: p["x"])).otherwise(sparse).alias("_px"))
+    return df.join(px.hint("merge"), "pair", "left")
+
+
+def in_frame(v: Column, u: Column) -> Column:
+    """The pixel at (v, u) of the image beside a row; null outside its frame."""
+    at = (v - F.col("_v")) * F.col("_n") + u - F.col("_u")
+    return F.when((u - F.col("_u")).between(0, F.col("_n") - 1), F.get("_px", at.cast("int")))
+
+
 def scored(s: DataFrame, padded: int | None = None) -> DataFrame:
     """pair, dy, dx, numerator, ncc from the sums im, i, ii, m, mm over w pixels."""
     mean_i, mean_m = F.col("i") / F.col("w"), F.col("m") / F.col("w")
@@ -68,11 +103,11 @@ def _background(c: str, guard: float) -> Column:
     return F.when(far, F.col(c))
 
 
-#: Quality of a peak, from the surface c and the peak value.
+#: Quality of a peak, from the surface c and the peak value, which one row or each holds.
 METRICS: dict[str, Callable[[str, float], Column]] = {
-    "psr": lambda c, guard: (F.first("peak") - F.avg(_background(c, guard))) / (F.stddev_pop(_background(c, guard)) + EPS),
-    "pmr": lambda c, guard: F.first("peak") / (F.avg(c) + EPS),
-    "per": lambda c, guard: F.first("peak") / (F.sqrt(F.sum(F.col(c) * F.col(c))) + EPS),
+    "psr": lambda c, guard: (F.max("peak") - F.avg(_background(c, guard))) / (F.stddev_pop(_background(c, guard)) + EPS),
+    "pmr": lambda c, guard: F.max("peak") / (F.avg(c) + EPS),
+    "per": lambda c, guard: F.max("peak") / (F.sqrt(F.sum(F.col(c) * F.col(c))) + EPS),
 }
 
 
@@ -81,8 +116,10 @@ def quality(s: DataFrame, peaks: DataFrame, metric: str = "psr", guard: float =
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     at = peaks.select("pair", "place", F.col("dy").alias("py"), F.col("dx").alias("px"))
-    at = at.join(s.select("pair", F.col("dy").alias("py"), F.col("dx").alias("px"), F.col(value).alias("peak")), ["pair", "py", "px"])
-    return at.join(s, "pair").groupBy("pair", "place", F.col("py").alias("dy"), F.col("px").alias("dx")).agg(METRICS[metric](value, guard).alias("quality"))
+    here = (F.col("dy") == F.col("py")) & (F.col("dx") == F.col("px"))
+    met = at.join(s.hint("merge"), "pair").withColumn("peak", F.when(here, F.col(value)))
+    found = met.groupBy("pair", "place", F.col("py").alias("dy"), F.col("px").alias("dx")).agg(METRICS[metric](value, guard).alias("quality"), F.bool_or(here).alias("_on"))
+    return found.filter("_on").drop("_on")
 
 
 def best_candidate(found: DataFrame, weight: float, prior: tuple[float, float] = (0.0, 0.0), pairs: DataFrame | None = None) -> DataFrame:
