@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from platewise.operators.correlate import METRICS, correlated, scored
+from platewise.operators.correlate import METRICS, correlated, in_frame, scored, with_frames
 from platewise.operators.pixels import framed
 from platewise.session import landed
 
@@ -41,10 +41,11 @@ def blurred(px: DataFrame, sigma: float, n_v: int, n_u: int, values: tuple[str,
 
 def pyramid(px: DataFrame, levels: int, n_v: int, n_u: int, values: tuple[str, ...] = ("value",), key: str = "image_ord") -> DataFrame:
     """key, level, v, u and values: the image at levels 1 to ``levels``, blurred by half the step and thinned by it."""
-    out = None
+    # Dealt by image once; windows along either axis find their pixels there.
+    out, px = None, px.select(key, "v", "u", *values).repartition(key)
     for level in range(1, levels + 1):
         s = 2 ** (level - 1)
-        b = blurred(px.select(key, "v", "u", *values), s / 2, n_v, n_u, values, key).filter((F.col("v") % s == 0) & (F.col("u") % s == 0))
+        b = blurred(px, s / 2, n_v, n_u, values, key).filter((F.col("v") % s == 0) & (F.col("u") % s == 0))
         b = b.select(key, F.lit(level).alias("level"), F.floor(F.col("v") / s).alias("v"), F.floor(F.col("u") / s).alias("u"), *values)
         out = b if out is None else out.unionByName(b)
     return out
@@ -70,14 +71,15 @@ def pyramid_search(image: DataFrame, model: DataFrame, levels: int, reach: int,
         steps = F.sequence(F.lit(-near), F.lit(near))
         around = lambda c: F.explode(F.transform(steps, lambda d: F.col(c) + d))
         shifts = shifts.withColumn("dy", around("_y")).withColumn("dx", around("_x"))
-        spread = m.join(shifts.select("pair", "dy", "dx"), "pair")
+        # Shifts are many more than the rows that they come from: a merge, whatever their estimated size.
+        spread = m.join(shifts.select("pair", "dy", "dx").hint("merge"), "pair")
         s = correlated(spread.select("pair", "dy", "dx", (F.col("v") + F.col("dy")).alias("v"), (F.col("u") + F.col("dx")).alias("u"), F.col("value").alias("m")), i)
         ranked = F.struct(F.round("ncc", 9).alias("r"), (-F.col("dy")).alias("y"), (-F.col("dx")).alias("x"))
         best = s.groupBy("pair").agg(F.max_by(F.struct("dy", "dx", "ncc"), ranked).alias("b"), F.collect_list(F.struct("dy", "dx", "ncc")).alias("_near"))
         best = best.select("pair", "b.*", "_near")
         step = F.array(F.struct(F.lit(level).alias("level"), "dy", "dx"))
         path = step if found is None else F.concat("path", step)
-        best = best if found is None else best.join(found.select("pair", "path"), "pair")
+        best = best if found is None else best.join(found.select("pair", "path").hint("merge"), "pair")
         # One row a pair; finer levels and the path read it, and nothing before it runs again.
         found = landed(best.withColumn("path", path))
     # The last surface is as small as the neighbourhood of one shift.
@@ -88,7 +90,7 @@ def pyramid_search(image: DataFrame, model: DataFrame, levels: int, reach: int,
 def running_sums(image: DataFrame, key: str = "pair") -> DataFrame:
     """Per pixel the sums of the values (i) and of their squares (ii) of all pixels up to it on both axes."""
     down, along = (W.partitionBy(key, o).orderBy(a).rowsBetween(W.unboundedPreceding, 0) for a, o in (("v", "u"), ("u", "v")))
-    first = image.select(key, "v", "u", F.sum("value").over(down).alias("i"), F.sum(F.col("value") * F.col("value")).over(down).alias("ii"))
+    first = image.repartition(key).select(key, "v", "u", F.sum("value").over(down).alias("i"), F.sum(F.col("value") * F.col("value")).over(down).alias("ii"))
     return first.select(key, "v", "u", F.sum("i").over(along).alias("i"), F.sum("ii").over(along).alias("ii"))
 
 
@@ -97,27 +99,28 @@ def box_sums(image: DataFrame, boxes: DataFrame, reach: int, n_v: int, n_u: int)
     every shift up to ``reach``, from four running sums instead of all pixels; outside the image they are 0. w is the
     number of pixels of the box."""
     steps = F.sequence(F.lit(-reach), F.lit(reach))
-    at = boxes.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+    at = with_frames(boxes, running_sums(image), "i", "ii").withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+    return at.select("pair", "dy", "dx", *_box_totals(n_v, n_u))
+
+
+def _box_totals(n_v: int, n_u: int) -> tuple[Column, ...]:
+    """i, ii and w of a box at a shift, its running sums beside it."""
     inside = lambda x, n: F.greatest(F.lit(-1), F.least(x, F.lit(n - 1)))
     v0, v1 = inside(F.col("v0") - 1 + F.col("dy"), n_v), inside(F.col("v1") + F.col("dy"), n_v)
     u0, u1 = inside(F.col("u0") - 1 + F.col("dx"), n_u), inside(F.col("u1") + F.col("dx"), n_u)
-    corner = lambda v, u, sign: F.struct(v.cast("long").alias("v"), u.cast("long").alias("u"), F.lit(sign).alias("sign"))
-    corners = F.array(corner(v1, u1, 1), corner(v0, u1, -1), corner(v1, u0, -1), corner(v0, u0, 1))
-    area = (F.col("v1") - F.col("v0") + 1) * (F.col("u1") - F.col("u0") + 1)
-    at = at.select("pair", "dy", "dx", area.alias("w"), F.explode(corners).alias("c")).select("pair", "dy", "dx", "w", "c.*")
-    s = at.join(running_sums(image), ["pair", "v", "u"], "left")
-    total = lambda c: F.coalesce(F.sum(F.col("sign") * F.col(c)), F.lit(0.0)).alias(c)
-    return s.groupBy("pair", "dy", "dx").agg(total("i"), total("ii"), F.first("w").alias("w"))
+    at = lambda v, u, c: F.coalesce(in_frame(v, u)[c], F.lit(0.0))
+    total = lambda c: (at(v1, u1, c) - at(v0, u1, c) - at(v1, u0, c) + at(v0, u0, c)).alias(c)
+    return total("i"), total("ii"), ((F.col("v1") - F.col("v0") + 1) * (F.col("u1") - F.col("u0") + 1)).alias("w")
 
 
 def box_surface(image: DataFrame, model: DataFrame, boxes: DataFrame, reach: int, n_v: int, n_u: int) -> DataFrame:
     """A09 for masks that are boxes: pair, dy, dx, numerator, ncc as ``correlate.surface`` gives; only the products of model and
     image are summed pixel by pixel."""
     steps = F.sequence(F.lit(-reach), F.lit(reach))
-    inside = model.join(boxes, "pair").filter(F.col("v").between(F.col("v0"), F.col("v1")) & F.col("u").between(F.col("u0"), F.col("u1"))).select("pair", "v", "u", "value")
-    facts = inside.groupBy("pair").agg(F.sum("value").alias("m"), F.sum(F.col("value") * F.col("value")).alias("mm"))
-    spread = inside.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
-    spread = spread.select("pair", "dy", "dx", (F.col("v") + F.col("dy")).alias("v"), (F.col("u") + F.col("dx")).alias("u"), F.col("value").alias("_m"))
-    products = spread.join(image.select("pair", "v", "u", "value"), ["pair", "v", "u"]).groupBy("pair", "dy", "dx").agg(F.sum(F.col("value") * F.col("_m")).alias("im"))
-    s = box_sums(image, boxes, reach, n_v, n_u).join(products, ["pair", "dy", "dx"], "left").join(facts, "pair").withColumn("im", F.coalesce("im", F.lit(0.0)))
+    inside = model.join(boxes.hint("merge"), "pair").filter(F.col("v").between(F.col("v0"), F.col("v1")) & F.col("u").between(F.col("u0"), F.col("u1"))).select("pair", "v", "u", "value")
+    spread = with_frames(inside.withColumnRenamed("value", "_m"), image).withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+    spread = spread.withColumn("value", in_frame(F.col("v") + F.col("dy"), F.col("u") + F.col("dx")))
+    products = spread.groupBy("pair", "dy", "dx").agg(F.coalesce(F.sum(F.col("value") * F.col("_m")), F.lit(0.0)).alias("im"), F.sum("_m").alias("m"), F.sum(F.col("_m") * F.col("_m")).alias("mm"))
+    summed = with_frames(boxes, running_sums(image), "i", "ii")
+    s = products.join(summed.hint("merge"), "pair").select("pair", "dy", "dx", "im", "m", "mm", *_box_totals(n_v, n_u))
     return scored(s)

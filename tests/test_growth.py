@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from platewise.operators import correlate as C
+from platewise.operators import pyramid as Y
 
 
 def dealt(df):
@@ -44,3 +45,16 @@ def test_quality_leaves_out_peaks_beside_the_surface(spark):
     peaks = spark.createDataFrame([(0, 0, 2, 2), (0, 1, 9, 9)], "pair long, place int, dy int, dx int")
     got = C.quality(s, peaks, "pmr").collect()
     assert [(r["place"], round(r["quality"], 9)) for r in got] == [(0, 2.0)]
+
+
+def test_windows_of_a_pyramid_stay_with_their_image(spark):
+    image, model, _ = images(spark, 8)
+    assert dealt(Y.pyramid(image, 2, 8, 8, key="pair")) == {"pair"}
+    assert Y.pyramid_search(image, model, 2, 4, 8, 8).count() == 3
+
+
+def test_box_sums_look_their_corners_up_where_they_are(spark):
+    image, model, _ = images(spark, 8)
+    boxes = model.select("pair").distinct().withColumns({"v0": F.lit(1), "v1": F.lit(5), "u0": F.lit(2), "u1": F.lit(6)})
+    assert dealt(Y.box_sums(image, boxes, 2, 8, 8)) == {"pair"}
+    assert dealt(Y.box_surface(image, model, boxes, 2, 8, 8)) == {"pair"}
