@@ -56,7 +56,8 @@ def converged(ranges: DataFrame, measure: Callable[[DataFrame], DataFrame], keys
     for k in range(1, passes + 1):
         step = (F.col("high") - F.col("low")) / divisions
         grid = left.withColumn("step", step).withColumn("twist", F.explode(F.transform(F.sequence(F.lit(0), F.lit(divisions)), lambda i: F.col("low") + i * F.col("step"))))
-        errors = measure(grid.select(*keys, "twist", "step")).filter("error IS NOT NULL").withColumn("error", F.round("error", 9))
+        # The grid is many times the table that it comes from, whose size Spark goes by: it is never broadcast.
+        errors = measure(grid.select(*keys, "twist", "step").hint("merge")).filter("error IS NOT NULL").withColumn("error", F.round("error", 9))
         best = errors.groupBy(*keys).agg(F.min_by(F.struct("twist", "error", "step"), F.struct("error", "twist")).alias("b")).select(*keys, "b.*")
         best = landed(best.withColumn("passes", F.lit(k)).withColumn("done", (F.col("step") <= precision) | F.lit(k == passes)))
         done = best.filter("done").select(*keys, "twist", "error", "passes")

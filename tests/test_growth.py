@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators import correlate as C
 from platewise.operators import pyramid as Y
+from platewise.operators import trials as T
 
 
 def dealt(df):
@@ -58,3 +59,17 @@ def test_box_sums_look_their_corners_up_where_they_are(spark):
     boxes = model.select("pair").distinct().withColumns({"v0": F.lit(1), "v1": F.lit(5), "u0": F.lit(2), "u1": F.lit(6)})
     assert dealt(Y.box_sums(image, boxes, 2, 8, 8)) == {"pair"}
     assert dealt(Y.box_surface(image, model, boxes, 2, 8, 8)) == {"pair"}
+
+
+def test_grids_of_a_twist_search_are_never_broadcast(spark):
+    seen = []
+    stars = spark.createDataFrame([(i, 1.0, 0.1 * i) for i in range(4)], "image long, magnitude double, angle double")
+
+    def measure(grid):
+        e = T.twist_error(grid.join(stars, "image").withColumn("diff_angle", F.col("angle") - F.col("twist")), ["image", "twist", "step"])
+        seen.append(e._jdf.queryExecution().executedPlan().toString())
+        return e
+
+    ranges = spark.createDataFrame([(i, -0.5, 0.5) for i in range(4)], "image long, low double, high double")
+    assert T.converged(ranges, measure, ["image"], divisions=8, precision=0.01, passes=3).count() == 4
+    assert len(seen) == 3 and not any("BroadcastHashJoin" in p for p in seen)
