@@ -214,17 +214,18 @@ def body_conflicts(stars: DataFrame, bodies: DataFrame, margin: float = 5.0) ->
     """Stars (image_ord, star, v, u) with conflicts: 'BODY: name' of the first body (body_ord, body, v, u of its
     pixels) that covers a pixel within ``margin`` of the star, else empty.
 
-    Pixels lie in one cell, a star asks the cells its square touches.
+    Of the bodies that cover a pixel only the first counts. Pixels lie in one cell, a star asks the cells its square touches.
     """
     size = 2 * margin + 1
     cell = lambda c: F.floor(c / size)
     ask = stars.select("image_ord", "star", F.col("v").alias("_v"), F.col("u").alias("_u"))
     for axis in ("v", "u"):
         ask = ask.withColumn(f"_c{axis}", F.explode(F.sequence(cell(F.col(f"_{axis}") - margin - 1), cell(F.col(f"_{axis}") + margin))))
-    at = bodies.select("image_ord", "body_ord", "body", "v", "u", cell(F.col("v")).alias("_cv"), cell(F.col("u")).alias("_cu"))
+    covered = bodies.groupBy("image_ord", "v", "u").agg(F.min(F.struct("body_ord", "body")).alias("_b"))
+    at = covered.withColumn("_cv", cell(F.col("v"))).withColumn("_cu", cell(F.col("u")))
     near = lambda a, b: (a + 1 > b - margin) & (a < b + margin)
     hit = ask.join(at, ["image_ord", "_cv", "_cu"]).filter(near(F.col("v"), F.col("_v")) & near(F.col("u"), F.col("_u")))
-    first = hit.groupBy("image_ord", "star").agg(F.min(F.struct("body_ord", "body")).alias("_b"))
+    first = hit.groupBy("image_ord", "star").agg(F.min("_b").alias("_b"))
     return stars.join(first, ["image_ord", "star"], "left").withColumn("conflicts", F.when(F.col("_b").isNotNull(), F.concat(F.lit("BODY: "), F.col("_b.body"))).otherwise("")).drop("_b")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators import correlate as C
 from platewise.operators import pyramid as Y
+from platewise.operators import stars as S
 from platewise.operators import trials as T
 
 
@@ -73,3 +74,12 @@ def test_grids_of_a_twist_search_are_never_broadcast(spark):
     ranges = spark.createDataFrame([(i, -0.5, 0.5) for i in range(4)], "image long, low double, high double")
     assert T.converged(ranges, measure, ["image"], divisions=8, precision=0.01, passes=3).count() == 4
     assert len(seen) == 3 and not any("BroadcastHashJoin" in p for p in seen)
+
+
+def test_a_pixel_under_many_bodies_meets_a_star_once(spark):
+    stars = spark.createDataFrame([(0, "a", 5.0, 5.0), (0, "b", 50.0, 50.0), (1, "c", 5.0, 5.0)], "image_ord long, star string, v double, u double")
+    bodies = spark.createDataFrame([(0, b, f"B{b}", 5, 5) for b in range(9, 0, -1)], "image_ord long, body_ord long, body string, v long, u long")
+    got = S.body_conflicts(stars, bodies, 2.0)
+    assert {r["star"]: r["conflicts"] for r in got.collect()} == {"a": "BODY: B1", "b": "", "c": ""}
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate [image_ord") == 2  # pixels before the join, stars after it
