@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators import correlate as C
 from platewise.operators import pyramid as Y
+from platewise.operators import rings as G
 from platewise.operators import stars as S
 from platewise.operators import trials as T
 
@@ -83,3 +84,14 @@ def test_a_pixel_under_many_bodies_meets_a_star_once(spark):
     assert {r["star"]: r["conflicts"] for r in got.collect()} == {"a": "BODY: B1", "b": "", "c": ""}
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Aggregate [image_ord") == 2  # pixels before the join, stars after it
+
+
+def test_fade_widths_of_a_crowded_strip(spark):
+    rows = [(i, f"f{k}", "x", 1000.0 + (k * 37 % 101) * 1.5, k % 2 == 0) for i in range(2) for k in range(150)]
+    df = spark.createDataFrame(rows, "image_ord long, feature_key string, label string, a double, shade_above boolean")
+    out = G.fade_widths(df, 100.0, 0.0)
+    got = {(r["image_ord"], r["feature_key"]): r["fade_width"] for r in out.collect()}
+    for i, k, _, a, above in rows:
+        near = min((b for j, _, _, b, _ in rows if j == i and (a < b <= a + 100 if above else a - 100 <= b < a)), default=None)
+        assert got[i, k] == (100.0 if near is None else abs(near - a) / 2)
+    assert len(got) == 300 and "Join Inner" not in out._jdf.queryExecution().optimizedPlan().toString()
