@@ -2,6 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from platewise.functions.formats import five_decimals
 from platewise.operators import correlate as C
 from platewise.operators import pyramid as Y
 from platewise.operators import rings as G
@@ -95,3 +96,9 @@ def test_fade_widths_of_a_crowded_strip(spark):
         near = min((b for j, _, _, b, _ in rows if j == i and (a < b <= a + 100 if above else a - 100 <= b < a)), default=None)
         assert got[i, k] == (100.0 if near is None else abs(near - a) / 2)
     assert len(got) == 300 and "Join Inner" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_five_decimals_are_those_of_the_stored_number(spark):
+    xs = [k / 1e6 * s for k in (5, 15, 25, 1000005, 1000015, 359999995, 123456785, 2675) for s in (1, -1)] + [0.015625, 0.046875, -0.015625, 0.0, 1e-9, -1e-9, 359.999999, 12.5, 1e12]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [(r["x"], r["t"]) for r in df.select("x", five_decimals(F.col("x")).alias("t")).collect()] == [(x, "%.5f" % x) for x in xs]
