@@ -371,11 +371,18 @@ def s03_name_list(spark, sf_dir):
     return good.withColumn("valid", F.lit(True)).unionByName(bad.select(F.element_at(F.split("line", " "), 1).alias("name"), F.lit(False).alias("valid")))
 
 
+#: Files that one task writes.
+DOCUMENTS_A_TASK = 200
+
+
 def _document_files(spark, sf_dir):
     """One JSON document per supplier, some of them broken."""
     at, k = scratch(spark), F.col("s_suppkey")
     text = F.when(k % 9 == 0, "{broken").otherwise(F.to_json(F.struct(k.alias("image_ord"), F.when(k % 2 == 0, "success").otherwise("error").alias("status"))))
-    table(spark, sf_dir, "supplier").select(k.alias("id"), text.alias("value")).repartition("id").write.partitionBy("id").text(at)
+    suppliers = table(spark, sf_dir, "supplier")
+    # Their bytes are few and their files are not: by size alone Spark would write all of them in one task.
+    files = max(1, suppliers.count() // DOCUMENTS_A_TASK)
+    suppliers.select(k.alias("id"), text.alias("value")).repartition(files, "id").write.partitionBy("id").text(at)
     return at
 
 
