@@ -1,4 +1,5 @@
 import re
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from platewise.operators import pyramid as Y
 from platewise.operators import rings as G
 from platewise.operators import stars as S
 from platewise.operators import trials as T
+from platewise.operators.blocks import block_join
 
 
 def dealt(df):
@@ -102,3 +104,28 @@ def test_five_decimals_are_those_of_the_stored_number(spark):
     xs = [k / 1e6 * s for k in (5, 15, 25, 1000005, 1000015, 359999995, 123456785, 2675) for s in (1, -1)] + [0.015625, 0.046875, -0.015625, 0.0, 1e-9, -1e-9, 359.999999, 12.5, 1e12]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     assert [(r["x"], r["t"]) for r in df.select("x", five_decimals(F.col("x")).alias("t")).collect()] == [(x, "%.5f" % x) for x in xs]
+
+
+def test_block_join_makes_the_rows_of_the_join(spark):
+    left = spark.createDataFrame([(k, i) for k in range(4) for i in range(40 if k == 1 else 3)] + [(2, 0)] * 30, "k long, x long")
+    right = spark.createDataFrame([(k, 100 + i) for k in range(1, 5) for i in range(50 if k == 1 else 2)], "k long, y long")
+    rows = sorted(map(tuple, left.join(right, "k").select("k", "x", "y").collect()))
+    for block, pairs in ((7, 100), (1, 50), (1000, 100), (4096, 10**6)):
+        got = block_join(left, right, ["k"], block=block, pairs=pairs)
+        assert got.columns == ["k", "x", "y"] and sorted(map(tuple, got.collect())) == rows
+    assert block_join(left.limit(0), right, ["k"], pairs=1).count() == 0
+
+
+def shares(df):
+    """Shares of the rows that the tasks make."""
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return [x / sum(n) for x in n]
+
+
+def test_a_bin_of_time_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(G, "block_join", partial(block_join, block=16, pairs=1000))
+    features = spark.range(200).selectExpr("id AS feature_key", "CAST(NULL AS timestamp) AS start_time", "CAST(NULL AS timestamp) AS end_time")
+    images = spark.range(200).selectExpr("id AS image_ord", "timestamp_seconds(1100000000 + id) AS obs_time")
+    found = G.in_validity(features, images)
+    assert found.count() == 40_000 and found.distinct().count() == 40_000
+    assert max(shares(found)) < 0.2
