@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.functions.formats import spectral_class
+from platewise.operators.blocks import block_join
 
 RA_CELL, DEC_CELL = 15.0, 5.0
 #: The band of stars without magnitude, and of all stars of a cell that isn't crowded.
@@ -49,7 +50,7 @@ def catalog_search(stars: DataFrame, fields: DataFrame, doubles: bool = True, ga
     Doubles and galaxies are left out unless asked for; an unknown flag is none. A star without magnitude is in no limited
     range; one without place is nowhere. Fields are cut into cells of the sky of a size that suits them, and stars meet
     them by cell; cells of more than ``crowded`` stars are known beforehand (at most one for each cell of the sky) and
-    are split by magnitude, so that a narrow range reads few of their stars.
+    are split by magnitude, so that a narrow range reads few of their stars. Stars and fields of a cell are joined in blocks.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     seen = stars.filter(F.col("ra").isNotNull() & F.col("dec").isNotNull())
@@ -77,7 +78,7 @@ def catalog_search(stars: DataFrame, fields: DataFrame, doubles: bool = True, ga
         b1 = F.least(F.coalesce(F.floor(F.col("mag_max") / MAGNITUDE_BAND), F.col("_b1")), F.col("_b1"))
         bands = F.when(F.col("_full") & (b0 <= b1), F.concat(F.sequence(b0.cast("int"), b1.cast("int")), F.array(F.lit(NO_BAND)))).otherwise(F.array(F.lit(NO_BAND)))
         f = f.withColumn("_b", F.explode(bands)).drop("_full", "_b0", "_b1")
-        met = s.join(f, ["_r", "_d", "_b"]).filter(exact & bright & faint).drop("_r", "_d", "_b")
+        met = block_join(s, f, ["_r", "_d", "_b"]).filter(exact & bright & faint).drop("_r", "_d", "_b")
         out = met if out is None else out.unionByName(met)
     return out
 

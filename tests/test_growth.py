@@ -129,3 +129,13 @@ def test_a_bin_of_time_is_dealt_out(spark, monkeypatch):
     found = G.in_validity(features, images)
     assert found.count() == 40_000 and found.distinct().count() == 40_000
     assert max(shares(found)) < 0.2
+
+
+def test_a_cell_of_the_sky_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(S, "block_join", partial(block_join, block=16, pairs=1000))
+    stars = spark.range(200).selectExpr("id AS n", "100.0D + id / 100000.0D AS ra", "10.0D AS dec", "5.0D AS vmag", "false AS double", "false AS galaxy")
+    fields = spark.range(200).selectExpr("id AS image", "99.0D AS ra_min", "100.001D + id / 100000.0D AS ra_max", "9.0D AS dec_min", "10.1D AS dec_max", "CAST(NULL AS double) AS mag_min", "CAST(NULL AS double) AS mag_max")
+    found = S.catalog_search(stars, fields)
+    rows = sorted(map(tuple, found.select("n", "image").collect()))
+    assert rows == [(n, i) for n in range(200) for i in range(200) if 100.0 + n / 100000.0 <= 100.001 + i / 100000.0]
+    assert max(shares(found)) < 0.2
