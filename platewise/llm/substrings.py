@@ -4,7 +4,7 @@ Every window of WINDOW bytes holds an anchor, its least hashed K-gram (the leftm
 equal anchors at equal places, so it is enough to compare the contexts of equal anchors, the WINDOW - K bytes on
 either side. One shuffle brings together the anchors of all texts by K-gram hash, with a hash of the context:
 
-* an anchor whose whole context occurs earlier loses the whole context. Inside a batch of texts the bytes are compared
+* an anchor whose whole context occurs earlier loses the whole context. Inside a batch of texts (of PART bytes) the bytes are compared
   at once and only the outcome goes on, so an anchor meets at most one row per context and batch. Across batches the
   repeats of a text are joined to spans that lie alike in an earlier text, and the spans are compared by BLAKE2b
   digests of their bytes. Where these differ, two contexts had one hash, and the search is repeated with another hash;
@@ -50,7 +50,9 @@ BUSY = 4
 #: Bits of the context hashes of the first search and of those that a collision asks for.
 HASH_BITS = (64, 64, 64)
 #: Windows whose anchors are found at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Bytes of text that are hashed at a time, and in which repeats are looked for at once; one text may be longer.
+CHUNK, PART = 1 << 18, 16 << 20
 LAST_ID = (1 << 63) - 1
 POSITION = U64((1 << 24) - 1)
 
@@ -93,55 +95,87 @@ def joined(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return head, start[head], np.maximum.reduceat(stop, head)
 
 
+def parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most PART bytes of text, or of one text."""
+    _, offsets, _ = text_buffers(column(batch, text))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PART, "right")) - 1)
+        hi = min(hi, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def anchor_rows(texts: DataFrame, window: int, k: int, seed: int, bits: int) -> DataFrame:
     """Of (doc, mark, text) rows: anchor and context hashes, doc, mark and pos of the anchors, and whether the anchor is
     busy here; with a null anchor, spans pos..stop that lie in an earlier text of the batch byte by byte."""
     side = window - k
     mask = U64((1 << bits) - 1)
 
+    def found_in(col: pa.Array) -> tuple[np.ndarray, ...]:
+        """Anchor and context hashes, row and pos of all anchors of some texts."""
+        found = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for c in chunks(col, CHUNK):
+            place = anchors_of_windows(c.data, window, k)
+            if not len(place):
+                continue
+            row = np.searchsorted(c.ends, np.arange(len(place)), "right")
+            a = np.unique(place[np.arange(len(place)) + window <= c.ends[row]])
+            row = np.searchsorted(c.ends, a, "right")
+            l, r = np.maximum(a - side, c.starts[row]), np.minimum(a + window, c.ends[row])
+            context = mix(string_hashes(c.data, l, r, seed) + (a - l).astype(U64) * U64(0xC2B2AE3D27D4EB4F)) & mask
+            found.append((string_hashes(c.data, a, a + k), context, (row + c.lo).astype(np.int32), (a - c.starts[row]).astype(np.int32)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             ids, marks = column(batch, "doc").to_numpy(), column(batch, "mark").to_numpy()
             data, offsets, _ = text_buffers(column(batch, "text"))
-            found = [tuple(np.zeros(0, t) for t in (U64, U64, *[np.int64] * 5))]
-            for c in chunks(column(batch, "text")):
-                place = anchors_of_windows(c.data, window, k)
-                if not len(place):
-                    continue
-                row = np.searchsorted(c.ends, np.arange(len(place)), "right")
-                inside = np.arange(len(place)) + window <= c.ends[row]
-                a = np.unique(place[inside])
-                row = np.searchsorted(c.ends, a, "right")
-                l, r = np.maximum(a - side, c.starts[row]), np.minimum(a + window, c.ends[row])
-                context = mix(string_hashes(c.data, l, r, seed) + (a - l).astype(U64) * U64(0xC2B2AE3D27D4EB4F)) & mask
-                found.append((string_hashes(c.data, a, a + k), context, row + c.lo, a - c.starts[row], l + offsets[c.lo], a - l, r - l))
-            anchor, context, row, pos, at, left, size = (np.concatenate([f[i] for f in found]) for i in range(7))
-            doc, mark = ids[row], marks[row]
-            order = np.lexsort((pos, doc, context, anchor))
-            anchor, context, doc, mark, pos, at, left, size = (x[order] for x in (anchor, context, doc, mark, pos, at, left, size))
-            again = np.zeros(len(order), bool)
+            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+            anchor, context, row, pos = found_in(column(batch, "text"))
+            order = np.lexsort((pos, ids[row], context, anchor))
+            anchor, context, row, pos = anchor[order], context[order], row[order], pos[order]
+            n = len(order)
+            del order
+            again = np.zeros(n, bool)
             again[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
-            group = np.cumsum(np.diff(anchor, prepend=~anchor[:1]) != 0) - 1
-            busy = (np.bincount(group, weights=~again) >= BUSY)[group] if len(group) else again
-            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order)))) if len(order) else order
-            here = again & (doc == doc[head]) & (pos == pos[head]) & (mark == mark[head])  # a repeated row
-            sure = np.flatnonzero(again & ~here & ((doc != doc[head]) | (pos != pos[head])) & (left == left[head]) & (size == size[head]))
-            sure = sure[same_strings(data, at[sure], at[head[sure]], size[sure])]
-            keep = ~here
+            group = np.cumsum(np.diff(anchor, prepend=~anchor[:1]) != 0, dtype=np.int32) - 1
+            busy = (np.bincount(group, weights=~again) >= BUSY)[group] if n else again
+            del group
+            x = np.flatnonzero(again)
+            head = np.maximum.accumulate(np.where(again, 0, np.arange(n, dtype=np.int32)))[x] if n else x
+            same = (ids[row[x]] == ids[row[head]]) & (pos[x] == pos[head])
+            here = same & (marks[row[x]] == marks[row[head]])  # a repeated row
+
+            def context_of(i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """Start in data, bytes before the anchor and size of contexts."""
+                p, r = pos[i].astype(np.int64), row[i]
+                left = np.minimum(p, side)
+                return offsets[r] + p - left, left, left + np.minimum(window, offsets[r + 1] - offsets[r] - p)
+
+            keep = np.ones(n, bool)
+            keep[x[here]] = False
+            sure, head = x[~same], head[~same]
+            (at, left, size), (at_head, left_head, size_head) = context_of(sure), context_of(head)
+            alike = np.flatnonzero((left == left_head) & (size == size_head))
+            alike = alike[same_strings(data, at[alike], at_head[alike], size[alike])]
+            sure, start, size = sure[alike], pos[sure[alike]] - left[alike], size[alike]
             keep[sure] = False
-            sure = sure[np.lexsort((pos[sure], mark[sure], doc[sure]))]
-            text = np.cumsum((np.diff(doc[sure], prepend=-1) != 0) | (np.diff(mark[sure], prepend=0) != 0))
-            first, start, stop = joined(text, pos[sure] - left[sure], pos[sure] - left[sure] + size[sure])
-            first = sure[first]
-            none = np.zeros(len(first), np.int64)
-            columns = [np.concatenate(x) for x in ((anchor[keep].view(np.int64), none), (context[keep].view(np.int64), none), (doc[keep], doc[first]), (mark[keep], mark[first]), (pos[keep], start), (none[:0], np.zeros(int(keep.sum()), np.int64), stop), (busy[keep], none.astype(bool)))]
-            masks = np.arange(len(columns[0])) >= int(keep.sum())
-            for lo in range(0, len(masks), 100_000):
+            doc, mark = ids[row[sure]], marks[row[sure]]
+            order = np.lexsort((pos[sure], mark, doc))
+            doc, mark, start, size = doc[order], mark[order], start[order], size[order]
+            text = np.cumsum((np.diff(doc, prepend=-1) != 0) | (np.diff(mark, prepend=0) != 0))
+            first, start, stop = joined(text, start, start + size)
+            doc, mark = doc[first], mark[first]
+            names = ["anchor", "context", "doc", "mark", "pos", "stop", "busy"]
+            kept = np.flatnonzero(keep)
+            for lo in range(0, len(kept), 100_000):
+                p = kept[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[p].view(np.int64), context[p].view(np.int64), ids[row[p]], marks[row[p]], pos[p], np.zeros(len(p), np.int32), busy[p])], names)
+            for lo in range(0, len(doc), 100_000):
                 p = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x[p], mask=masks[p]) for x in columns[:2]), *(pa.array(x[p]) for x in columns[2:4]), *(pa.array(x[p].astype(np.int32)) for x in columns[4:6]), pa.array(columns[6][p])],
-                    ["anchor", "context", "doc", "mark", "pos", "stop", "busy"],
-                )
+                none = pa.nulls(len(doc[p]), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x[p]) for x in (doc, mark, start.astype(np.int32), stop.astype(np.int32))), pa.array(np.zeros(len(none), bool))], names)
 
     return texts.mapInArrow(run, "anchor long, context long, doc long, mark long, pos int, stop int, busy boolean")
 

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from brute import hits, near, repeats
 
@@ -9,7 +11,7 @@ from platewise.llm.common import components
 from platewise.llm.decontaminate import decontaminate
 from platewise.llm.embeddings import near_vectors
 from platewise.llm.minhash import near_duplicates
-from platewise.llm.substrings import remove_repeats
+from platewise.llm.substrings import anchor_rows, remove_repeats
 
 DOCS = "doc_id long, text string, n string, z string"
 
@@ -210,3 +212,25 @@ def test_empty(spark):
     assert near_duplicates(none).collect() == remove_repeats(none).collect() == []
     assert decontaminate(none, spark.createDataFrame([], "item_id long, text string")).collect() == []
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_memory_of_anchors_follows_a_part_of_the_batch():
+    class Frame:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    def peak(mb):
+        data = np.random.default_rng(mb).integers(97, 123, (mb << 10, 1 << 10), dtype=np.uint8)
+        texts = pa.array([x.tobytes().decode() for x in data])
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64())] * 2 + [texts], ["doc", "mark", "text"])
+        run = anchor_rows(Frame(), 100, 29, 0, 64).run
+        tracemalloc.start()
+        n = sum(len(x) for x in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n / mb, most / (1 << 20)
+
+    (rows, small), (more, large) = peak(16), peak(40)
+    assert rows == pytest.approx(more, rel=0.01)
+    assert large < 1.25 * small and small < 8 * 16
