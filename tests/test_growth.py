@@ -139,3 +139,43 @@ def test_a_cell_of_the_sky_is_dealt_out(spark, monkeypatch):
     rows = sorted(map(tuple, found.select("n", "image").collect()))
     assert rows == [(n, i) for n in range(200) for i in range(200) if 100.0 + n / 100000.0 <= 100.001 + i / 100000.0]
     assert max(shares(found)) < 0.2
+
+
+def written(df):
+    """Rows that the shuffles of a plan write when it runs."""
+    df.collect()
+
+    def below(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return below(node.executedPlan())
+        own = node.metrics().get("shuffleRecordsWritten")
+        inner = [node.plan()] if "QueryStage" in name else [node.children().apply(k) for k in range(node.children().size())]
+        return (own.get().value() if own.isDefined() else 0) + sum(map(below, inner))
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+def test_rows_are_written_a_few_times_whatever_they_meet(spark, monkeypatch):
+    for module in (G, S):
+        monkeypatch.setattr(module, "block_join", partial(block_join, block=16, pairs=1000))
+    left, right = spark.range(400).selectExpr("id AS x", "1 AS k"), spark.range(400).selectExpr("id AS y", "1 AS k")
+    joined = block_join(left, right, ["k"], block=16, pairs=1000)
+    assert joined.count() == 160_000 and written(joined) <= 4 * 800
+    features = spark.range(400).selectExpr("id AS feature_key", "CAST(NULL AS timestamp) AS start_time", "CAST(NULL AS timestamp) AS end_time")
+    images = spark.range(400).selectExpr("id AS image_ord", "timestamp_seconds(1100000000 + id) AS obs_time")
+    assert written(G.in_validity(features, images)) <= 4 * 800
+    stars = spark.range(400).selectExpr("id AS n", "100.0D AS ra", "10.0D AS dec", "5.0D AS vmag", "false AS double", "false AS galaxy")
+    fields = spark.range(400).selectExpr("id AS image", "99.9D AS ra_min", "100.1D AS ra_max", "9.9D AS dec_min", "10.1D AS dec_max", "CAST(NULL AS double) AS mag_min", "CAST(NULL AS double) AS mag_max")
+    assert written(S.catalog_search(stars, fields)) <= 4 * 800 * 4  # a field touches up to four cells
+
+
+def test_spans_of_like_length_meet_few_packs(spark):
+    left = spark.range(3000).selectExpr("id AS k", "id * 1000 AS a", "id * 1000 + IF(id % 100 = 0, 1000000, 10) AS b")
+    right = spark.range(3000).selectExpr("id AS n", "id * 1000 + 5 AS at", "map('n', id) AS more")
+    met = block_join(left, right, [], block=16, pairs=10**6, span=("a", "b", "at"))
+    assert met.columns == ["k", "n", "more"] and met.count() < 3000 * 3000 / 20
+    found = {(r["k"], r["n"]) for r in met.collect()}
+    assert found >= {(k, k) for k in range(3000)} | {(k, n) for k in range(0, 3000, 100) for n in range(k, min(k + 1000, 3000))}
+    assert len(found) == met.count()
+    assert block_join(left.limit(0), right, [], span=("a", "b", "at")).count() == 0
